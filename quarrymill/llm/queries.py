@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, token_counts, warc
+from . import sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
 from .common import scratch_path, table
 
 
@@ -16,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = scratch_path(spark, "token-cache")  # starts empty, so the whole cost is in the query
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), cache)
@@ -30,6 +35,32 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.kept_digests(table(spark, sf_dir, "documents"))
+
+
+SQL_OP1 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as ints from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.ints, c.ints) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.ints) = len(q.ints) where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+SQL_OP10 = r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from t)),
+m as (select k, min(doc_id) as d from w group by k),
+s as (select distinct w.doc_id, w.i + j as i from w join m using (k), range(0, 13) g(j) where m.d < w.doc_id),
+p as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as i from t),
+k as (select p.doc_id, string_agg(p.x, ' ' order by p.i) as kept, count(*) as n from p anti join s on p.doc_id = s.doc_id and p.i = s.i group by p.doc_id)
+select t.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from t left join k using (doc_id)
+"""
+
 SQL_OP7 = """
 with p as (select page_id, coalesce(html, '') as h from pages),
 d as (
@@ -51,8 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_warc": op7_warc,
+        "op1_vector_topk": op1_vector_topk,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": SQL_OP7}
+    return {"op1_vector_topk": SQL_OP1, "op7_warc": SQL_OP7, "op10_substring_dedup": SQL_OP10}
