@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
+from . import fingerprints, quality, sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
 from .common import scratch_path, table
 
 
@@ -31,10 +31,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), columns)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
@@ -82,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_warc": op7_warc,
+        "op6_fingerprints": op6_fingerprints,
+        "op8_quality": op8_quality,
         "op1_vector_topk": op1_vector_topk,
         "op10_substring_dedup": op10_substring_dedup,
     }
