@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, quality, sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
+from . import fingerprints, jaccard_join, quality, sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
 from .common import scratch_path, table
 
 
@@ -21,6 +21,10 @@ def op1_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, threshold="0.9")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = scratch_path(spark, "token-cache")  # starts empty, so the whole cost is in the query
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), cache)
@@ -69,6 +73,21 @@ select t.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n,
 from t left join k using (doc_id)
 """
 
+SQL_OP3 = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (
+  select distinct doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 2], ' ') end as k
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) as i from t where len(ws) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b on a.k = b.k and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select x, y, c from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+r as (select x as doc_id, x as y from l union select r.doc_id, l.y from r join l on l.x = r.y),
+m as (select doc_id, min(y) as component_id from r group by doc_id),
+k as (select x as doc_id, count(*) as n_links from l group by x)
+select t.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(m.component_id, t.doc_id) as component_id, cast(coalesce(k.n_links, 0) as bigint) as n_links
+from t left join n using (doc_id) left join m using (doc_id) left join k using (doc_id)
+"""
+
 SQL_OP7 = """
 with p as (select page_id, coalesce(html, '') as h from pages),
 d as (
@@ -92,10 +111,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": op7_warc,
         "op6_fingerprints": op6_fingerprints,
         "op8_quality": op8_quality,
+        "op3_jaccard_join": op3_jaccard_join,
         "op1_vector_topk": op1_vector_topk,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_topk": SQL_OP1, "op7_warc": SQL_OP7, "op10_substring_dedup": SQL_OP10}
+    return {"op1_vector_topk": SQL_OP1, "op3_jaccard_join": SQL_OP3, "op7_warc": SQL_OP7, "op10_substring_dedup": SQL_OP10}

@@ -40,11 +40,14 @@ def window_hashes(words: np.ndarray, size: int, roll: int = 0) -> np.ndarray:
 
 def batch_windows(hashes: WordHashes, texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, document of each window, start of each window in its document, start in the batch) of whole texts."""
-    lists = [t.split() for t in texts]
+    return list_windows(hashes, [t.split() for t in texts], size)
+
+
+def list_windows(hashes: WordHashes, lists: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     words = hashes.of([w for x in lists for w in x])
     per_doc = np.maximum(counts - size + 1, 0)
-    doc = np.repeat(np.arange(len(texts)), per_doc)
+    doc = np.repeat(np.arange(len(lists)), per_doc)
     first = np.cumsum(per_doc) - per_doc
     start = np.arange(len(doc)) - first[doc]
     at = start + (np.cumsum(counts) - counts)[doc]
