@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, quality, sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
+from . import fingerprints, jaccard_join, lm_scoring, quality, sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
 from .common import scratch_path, table
 
 
@@ -47,6 +47,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprints": op6_fingerprints,
         "op8_quality": op8_quality,
         "op3_jaccard_join": op3_jaccard_join,
+        "op9_lm_scoring": op9_lm_scoring,
         "op1_vector_topk": op1_vector_topk,
         "op10_substring_dedup": op10_substring_dedup,
     }
