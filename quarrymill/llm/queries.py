@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, lm_scoring, quality, sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
+from . import fingerprints, jaccard_join, lm_scoring, mixing, quality, sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
 from .common import scratch_path, table
 
 
@@ -21,6 +21,11 @@ def op1_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus's tokens as budget; no source more than 4 times."""
+    return mixing.mix(table(spark, sf_dir, "documents"), max_repetition=4.0)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, threshold="0.9")
 
@@ -115,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": op7_warc,
         "op6_fingerprints": op6_fingerprints,
         "op8_quality": op8_quality,
+        "op2_mixing": op2_mixing,
         "op3_jaccard_join": op3_jaccard_join,
         "op9_lm_scoring": op9_lm_scoring,
         "op1_vector_topk": op1_vector_topk,
