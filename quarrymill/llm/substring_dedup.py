@@ -36,7 +36,7 @@ from .words import WordHashes, batch_windows, window_hashes
 
 BLOCK_BITS = 20
 #: Windows that a task gathers before it sketches or groups them; bounds its memory.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: A word with a sixth of a separator more: bytes of text for each window when the sketch is sized.
 BYTES_A_WINDOW = 6
 
@@ -156,8 +156,10 @@ def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8,
             first = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
             least = np.minimum.reduceat(ids, np.flatnonzero(first))[np.cumsum(first) - 1]
             open_ = ids == least
-            n = int(open_.sum())
-            yield as_batch(schema, [h[open_].view(np.int64), g[open_].view(np.int32), ids[open_], at[open_], pa.nulls(n, pa.binary())])
+            # in the documents' order: neighbours then share bytes, and the shuffle's compression finds them
+            order = np.flatnonzero(open_)
+            order = order[np.lexsort((at[order], ids[order]))]
+            yield as_batch(schema, [h[order].view(np.int64), g[order].view(np.int32), ids[order], at[order], pa.nulls(len(order), pa.binary())])
             ids, at = ids[~open_], at[~open_]
             if len(ids):
                 order = np.lexsort((at, ids))
