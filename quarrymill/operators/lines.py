@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DOC = Window.partitionBy("docno").orderBy("line")
-UP_TO = DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("docno").orderBy("line")
+
+
+def up_to() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
 
 #: A table separator row, and list, table and quote marks that no prose line starts with.
 SEPARATOR = r"^\|[\s\-:|]+\|$"
@@ -29,7 +38,7 @@ def with_fence(lines: DataFrame) -> DataFrame:
     """lines with is_fence and fenced; ``` and ~~~ blocks both count, each closed by its own mark's parity."""
     mark = F.regexp_extract("text", r"^\s*(```|~~~)", 1)
     marked = lines.withColumn("is_fence", mark != "")
-    return marked.withColumn("fenced", (F.sum(F.col("is_fence").cast("int")).over(UP_TO) % 2 == 1) | F.col("is_fence"))
+    return marked.withColumn("fenced", (F.sum(F.col("is_fence").cast("int")).over(up_to()) % 2 == 1) | F.col("is_fence"))
 
 
 def headings(lines: DataFrame, min_depth: int = 1) -> DataFrame:
@@ -41,8 +50,8 @@ def headings(lines: DataFrame, min_depth: int = 1) -> DataFrame:
 def collapse_blank(lines: DataFrame) -> DataFrame:
     """Of a run of blank lines the first stays, emptied; lines are numbered anew."""
     blank = F.trim("text") == ""
-    kept = lines.withColumn("blank", blank).withColumn("after", F.lag("blank").over(DOC)).where(~(F.col("blank") & F.coalesce("after", F.lit(False))))
-    return kept.select("docno", F.row_number().over(DOC).alias("line"), F.when(F.col("blank"), "").otherwise(F.col("text")).alias("text"))
+    kept = lines.withColumn("blank", blank).withColumn("after", F.lag("blank").over(in_order())).where(~(F.col("blank") & F.coalesce("after", F.lit(False))))
+    return kept.select("docno", F.row_number().over(in_order()).alias("line"), F.when(F.col("blank"), "").otherwise(F.col("text")).alias("text"))
 
 
 def drop_orphan_separators(lines: DataFrame) -> DataFrame:
@@ -50,7 +59,7 @@ def drop_orphan_separators(lines: DataFrame) -> DataFrame:
     once = collapse_blank(lines)
     separator = F.trim("text").rlike(SEPARATOR)
     # a separator after a kept separator follows a table row; so only the last line that isn't a separator decides
-    last = F.last(F.when(~separator, F.col("text")), ignorenulls=True).over(BEFORE)
+    last = F.last(F.when(~separator, F.col("text")), ignorenulls=True).over(before())
     good = ~separator | F.coalesce(F.ltrim(last).startswith("|"), F.lit(False))
     return collapse_blank(once.withColumn("good", good).where("good").drop("good"))
 
@@ -86,7 +95,7 @@ def numbered_headings(lines: DataFrame) -> DataFrame:
     """Candidates `1.1` alone before a title line, or `1.1 title`: docno, line, num, title, last (line consumed)."""
     text = F.trim("text")
     rows = lines.withColumn("s", text).withColumn("solid", F.when(text != "", F.struct(F.col("line"), text.alias("s"))))
-    rows = rows.withColumn("following", F.first("solid", ignorenulls=True).over(DOC.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("following", F.first("solid", ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing)))
     alone, inline = r"^(\d+(?:\.\d+)*)(\.?)$", r"^(\d{1,3}(?:\.\d+){0,4})[.\s、:：]{1,4}(\S.*)$"
     num = F.coalesce(F.nullif(F.regexp_extract("s", alone, 1), F.lit("")), F.regexp_extract("s", inline, 1))
     single, dotted = F.col("s").rlike(alone), F.col("s").rlike(r"\.$")
@@ -113,7 +122,7 @@ def inject_headings(lines: DataFrame, heads: DataFrame) -> DataFrame:
     level = F.least(F.size(F.split("num", r"\.")) + 1, F.lit(6))
     marked = heads.select("docno", "line", "last", F.concat_ws(" ", F.repeat(F.lit("#"), level), "num", "title").alias("head"))
     own = lines.join(marked.select("docno", "line", "head", "last"), ["docno", "line"], "left")
-    until = F.max("last").over(UP_TO)
+    until = F.max("last").over(up_to())
     rows = own.withColumn("until", until).where(F.col("head").isNotNull() | F.col("until").isNull() | (F.col("line") > F.col("until")))
     new = F.when(F.col("head").isNotNull(), F.array(F.lit(""), F.col("head"), F.lit(""))).otherwise(F.array(F.rtrim("text")))
     out = rows.select("docno", "line", F.posexplode(new).alias("part", "text"))
@@ -181,7 +190,7 @@ def nearest_heading(lines: DataFrame, min_depth: int = 2) -> DataFrame:
     """Backward as-of join of lines to headings: lines with section and section_line; lines before any have null."""
     heads = headings(lines, min_depth).select("docno", "line", F.col("text").alias("head"))
     rows = lines.join(heads, ["docno", "line"], "left")
-    last = F.last(F.when(F.col("head").isNotNull(), F.struct(F.col("head").alias("section"), F.col("line").alias("section_line"))), ignorenulls=True).over(UP_TO)
+    last = F.last(F.when(F.col("head").isNotNull(), F.struct(F.col("head").alias("section"), F.col("line").alias("section_line"))), ignorenulls=True).over(up_to())
     return rows.withColumn("at", last).select("docno", "line", "text", F.col("at.section").alias("section"), F.col("at.section_line").alias("section_line"))
 
 
@@ -227,7 +236,7 @@ def outline_quality(heads: DataFrame, expected: Column | None = None) -> DataFra
     """Coverage times jump penalty times order penalty, three decimals: docno, headings, jumps, disorder, score."""
     num = F.regexp_extract("text", r"^(\d+(?:\.\d+)*)", 1)
     t = F.when(num != "", F.transform(F.split(num, r"\."), lambda p: p.cast("int")))
-    rows = heads.withColumn("t", t).withColumn("jump", F.col("depth") - F.lag("depth").over(DOC) > 2).withColumn("before", F.last("t", ignorenulls=True).over(BEFORE))
+    rows = heads.withColumn("t", t).withColumn("jump", F.col("depth") - F.lag("depth").over(in_order()) > 2).withColumn("before", F.last("t", ignorenulls=True).over(before()))
     # with no number before, nothing is out of order
     sums = rows.groupBy("docno").agg(
         F.count(F.lit(1)).alias("headings"), F.count_if(F.col("jump")).alias("jumps"), F.count_if(F.col("t") < F.col("before")).alias("disorder"), F.count("t").alias("numbered")
@@ -240,7 +249,7 @@ def outline_quality(heads: DataFrame, expected: Column | None = None) -> DataFra
 
 def empty_sections(lines: DataFrame) -> DataFrame:
     """`## ` lines that only blanks separate from the next one, or from the end."""
-    following = F.first(F.when(F.trim("text") != "", F.col("text")), ignorenulls=True).over(DOC.rowsBetween(1, Window.unboundedFollowing))
+    following = F.first(F.when(F.trim("text") != "", F.col("text")), ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing))
     rows = lines.withColumn("following", following)
     return rows.where(F.col("text").startswith("## ") & (F.col("following").isNull() | F.col("following").startswith("## "))).select("docno", "line", "text")
 
@@ -249,7 +258,7 @@ def section_slice(lines: DataFrame, title: str) -> DataFrame:
     """Lines from a heading of rank 2 to 4 whose text holds title to before the next heading of rank 1 to 4."""
     head = F.col("text").rlike(r"^#{1,4}\s")
     opens = F.col("text").rlike(r"^#{2,4}\s") & F.col("text").contains(title)
-    island = F.last(F.when(head, opens), ignorenulls=True).over(UP_TO)
+    island = F.last(F.when(head, opens), ignorenulls=True).over(up_to())
     return lines.withColumn("inside", island).where(F.coalesce("inside", F.lit(False))).select("docno", "line", "text")
 
 
@@ -266,7 +275,7 @@ def markdown_faults(lines: DataFrame) -> DataFrame:
     """docno, kind, line: not exactly one H1, first line no H1, stray trailing blanks, table separators of another width."""
     whole = Window.partitionBy("docno")
     h1 = F.col("text").rlike(r"^#\s")
-    rows = with_fence(lines).withColumn("h1s", F.sum((h1 & ~F.col("fenced")).cast("int")).over(whole)).withColumn("before", F.lag("text").over(DOC))
+    rows = with_fence(lines).withColumn("h1s", F.sum((h1 & ~F.col("fenced")).cast("int")).over(whole)).withColumn("before", F.lag("text").over(in_order()))
     pipes = lambda c: F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit("")))
     faults = F.array(
         F.when((F.col("line") == 1) & (F.col("h1s") != 1), "h1_count"),
