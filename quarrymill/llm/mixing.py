@@ -129,11 +129,12 @@ def mix(docs: DataFrame, budget: float | None = None, target_entropy: float | No
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as it is dealt (rows alike in doc_id and text share their turns evenly)."""
-    turns = mix(docs, **options).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("__turns"))
-    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__key", F.xxhash64(null_free("text")))
-    turns = turns.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "__turns")
-    found = keyed.join(turns, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
-    copies = keyed.groupBy("__doc", "__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("__doc").alias("__d2"), F.col("__key").alias("__k2"), "__n")
-    found = found.join(copies, F.col("__doc").eqNullSafe(F.col("__d2")) & (F.col("__key") == F.col("__k2")), "left")
-    share = F.ceil(F.col("__turns") / F.coalesce("__n", F.lit(1))).cast("int")
-    return found.withColumn("__turn", F.explode(F.sequence(F.lit(1), share))).select(*docs.columns)
+    doc, key = F.col("doc_id").cast("long"), F.xxhash64(null_free("text"))
+    turns = mix(docs, **options).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("turns"))
+    copies = docs.groupBy(doc.alias("d"), key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    # all of it narrow; texts move once, in the last join
+    shares = turns.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    shares = shares.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.ceil(F.col("turns") / F.col("n")).cast("int").alias("__share"))
+    keyed = docs.withColumn("__doc", doc).withColumn("__key", key)
+    found = keyed.join(shares, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
+    return found.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__share")))).select(*docs.columns)
