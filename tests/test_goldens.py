@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as tx
-from quarrymill.operators import cdc, events, lines as ln, modules as mo, records as rc
+from quarrymill.operators import cdc, events, evidence, lines as ln, modules as mo, records as rc
 
 
 def lines_of(spark, texts, docno="d"):
@@ -178,3 +178,14 @@ def test_top_ties_follow_first_occurrence(spark):
 def test_paths_and_links(spark):
     assert one(spark, "`a/b.py` `x` `/cmd` `http://x/y` `a\\b.c.` `../x/y` `f(x)/y`", tx.local_paths) == ["a/b.py", "a/b.c"]
     assert one(spark, "[a](x.md) ![b](<c d.png>) [e](#f)", tx.links) == ["x.md", "c d.png", "#f"]
+
+
+def test_configuration_hash_and_merge():
+    a = evidence.config_hash({"b": 1, "a": [1], "_note": "x"})
+    assert a == evidence.config_hash({"a": [1], "b": 1}) != evidence.config_hash({"a": [1], "b": 2}) and len(a) == 16
+    assert evidence.merged_config({"a": {"x": 1, "y": 2}, "l": [1]}, {"a": {"y": 3}, "l": [2]}) == {"a": {"x": 1, "y": 3}, "l": [2]}
+
+
+def test_bins_are_bounded():
+    sizes = [(f"d{i}", ".c", 9) for i in range(6)] + [("e", ".py", 99)]
+    assert evidence.binned(sizes) == [(".c", ["d0", "d1", "d2"]), (".c", ["d3", "d4", "d5"]), (".py", ["e"])]
