@@ -94,16 +94,16 @@ def emitted_dirs(files: DataFrame, max_depth: int) -> DataFrame:
     loose = up.groupBy("dir").agg(F.count(F.lit(1)).alias("loose"))
     dirs = up.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("dir")), lambda n: F.slice("dir", 1, n))).alias("dir")).distinct().join(loose, "dir", "left")
     dirs = dirs.select("dir", F.size("dir").alias("depth"), F.coalesce("loose", F.lit(0)).alias("loose"))
-    done = None
+    done = below = None
     for depth in range(max_depth, 0, -1):
         level = dirs.where(F.col("depth") == depth)
-        if done is None:
+        if below is None:
             level = level.withColumn("children", F.lit(0))
         else:
-            kids = done.where((F.col("depth") == depth + 1) & F.col("emitted")).groupBy(F.slice("dir", 1, depth).alias("dir")).agg(F.count(F.lit(1)).alias("children"))
+            kids = below.where("emitted").groupBy(F.slice("dir", 1, depth).alias("dir")).agg(F.count(F.lit(1)).alias("children"))
             level = level.join(kids, "dir", "left").withColumn("children", F.coalesce("children", F.lit(0)))
         level = level.withColumn("emitted", (F.col("depth") == 1) | (F.col("loose") >= 2) | (F.col("children") >= 2))
-        level = level.select("dir", "depth", "loose", F.col("children").cast("long").alias("children"), "emitted")
+        below = level = level.select("dir", "depth", "loose", F.col("children").cast("long").alias("children"), "emitted")
         done = level if done is None else done.unionByName(level)
     return done.where("emitted").select(F.array_join("dir", "/").alias("dir"), "depth", "loose", "children")
 
