@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, materialise, slices
+from .common import as_batch, materialise, scratch_path
 
 RESULT = "query_id long, vec_id long, score long"
 _RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -119,7 +119,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: int = 102
     total = queries.count()
     parts = -(-total // query_block)
     blocked = queries.distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    found = None
+    found, kept = None, scratch_path(spark, "va-found")
     for block in range(parts):
         rows = blocked.where(F.col("block") == block).select("vec_id", "ints").orderBy("vec_id").collect()
         by_length: dict[int, list] = {}
@@ -141,6 +141,10 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: int = 102
                     yield as_batch(_RESULT, list(out))
 
         part = candidates.mapInArrow(run, RESULT)
-        found = part if found is None else found.unionByName(part)
+        if parts > 1:  # each block's rows are kept as they come, so the plan stays short however many blocks there are
+            part.write.parquet(f"{kept}/block={block}")
+        found = part if parts == 1 else None
+    if found is None:
+        found = spark.read.schema(RESULT).parquet(kept)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
