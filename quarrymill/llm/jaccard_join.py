@@ -36,12 +36,14 @@ from .components import components
 from .substring_dedup import BLOCK_BITS, _planes, _unplaned, sketch_bits
 from .words import WordHashes, list_windows, window_hashes
 
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: A region is joined in one task up to so many members and shingles; larger ones are dealt out.
 TASK_MEMBERS, TASK_SHINGLES = 1000, 4_000_000
 #: Members of a region that are compared directly.
 LEAF = 200
 PIVOTS = 16
+#: Cluster members of at most this number go to every task (three short values each); more meet their texts by a shuffle.
+BROADCAST_MEMBERS = 1_000_000
 
 
 # ---- shingle sets
@@ -186,7 +188,7 @@ class SetTable:
         place = np.full(self.width, -1)
         place[columns] = np.arange(len(columns))
         out = np.zeros((len(a), len(b)), np.float32)
-        step = max(1, 20_000_000 // max(1, len(a) + len(b)))
+        step = max(1, 5_000_000 // max(1, len(a) + len(b)))
         for at in range(0, len(columns), step):
             width = min(step, len(columns) - at)
             left, right = (self._dense(x, place, at, width) for x in (a, b))
@@ -373,6 +375,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: str | Fraction
     clusters = components(near, "jaccard-clusters")
     weights = classes.groupBy("cid").agg(F.sum("weight").alias("weight"))
     members = clusters.join(weights, F.col("node") == F.col("cid")).select("cid", F.col("root").cast("string").alias("region"), "weight")
+    members = materialise(members, "jaccard-member-ids")
+    if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
+        members = F.broadcast(members)
     rows = docs.where("text is not null").join(members, docs["doc_id"] == members["cid"]).select("region", F.lit(0).alias("side"), F.lit(True).alias("home"), "cid", "weight", "text")
     rows = materialise(rows, "jaccard-members")
 
