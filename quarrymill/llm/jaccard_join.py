@@ -42,6 +42,8 @@ TASK_MEMBERS, TASK_SHINGLES = 1000, 4_000_000
 #: Members of a region that are compared directly.
 LEAF = 200
 PIVOTS = 16
+#: Regions of at most so many classes pair them, by size and signature; in larger ones all go with the least.
+PAIRED = 12
 #: Cluster members of at most this number go to every task (three short values each); more meet their texts by a shuffle.
 BROADCAST_MEMBERS = 1_000_000
 
@@ -130,15 +132,29 @@ def _level_map(name: str, bits: int, blocks: dict[int, bytes]) -> np.ndarray:
     return _LEVELS[name]
 
 
+def parity_signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, longs): for each set a bit map that every shingle flips one bit of.
+
+    Two maps of one width differ in at most as many bits as their sets differ in shingles, so they can only rule out
+    links, never lose one. The width follows the size, so that unrelated sets differ in more bits than a link allows.
+    """
+    width = np.where(n < 900, 4, np.where(n < 3600, 16, 64))
+    offsets = np.concatenate(([0], np.cumsum(width)))
+    out = np.zeros(offsets[-1], np.uint64)
+    bit = ((h >> np.uint64(7)).astype(np.int64) & 0xFFFFFFFF) % (width[doc] * 64)
+    np.bitwise_xor.at(out, offsets[doc] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return offsets, out.view(np.int64)
+
+
 def class_rows(docs: DataFrame, size: int, threshold: Fraction, max_sketch_bytes: int = 64 << 20) -> DataFrame:
-    """Rows (doc_id, n_shingles, k1, k2, regions): the set's size and identity, and the shingles it is regioned by."""
+    """Rows (doc_id, n_shingles, k1, k2, regions, signature): the set's size and identity, the shingles it is regioned by."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(total, 2, max_sketch_bytes // 2)  # two bits a cell
     merged = _merge_levels(_document_sketches(docs, size, bits)).collect()  # at most max_sketch_bytes
     sent = spark.sparkContext.broadcast({r.block: bytes(r.levels) for r in merged})
     name = xxhash.xxh64_hexdigest(b"".join(r.levels for r in sorted(merged, key=lambda r: r.block))) + str(bits)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("regions", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("regions", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, levels = WordHashes(), _level_map(name, bits, sent.value)
@@ -155,14 +171,16 @@ def class_rows(docs: DataFrame, size: int, threshold: Fraction, max_sketch_bytes
             keep = (place < window[doc]) & (level[order] > 0)
             ends = np.concatenate(([0], np.cumsum(np.bincount(doc[keep], minlength=batch.num_rows))))
             chosen = h[order][keep].view(np.int64)
+            edges, longs = parity_signatures(doc, h, n)
             keys = [h[a : a + c].tobytes() for a, c in zip(first.tolist(), n.tolist())]
             k = [np.frombuffer(xxhash.xxh3_128_digest(x), np.int64) for x in keys]
             yield as_batch(schema, [
                 batch.column("doc_id").cast(pa.int64()), n.astype(np.int64), [int(x[0]) for x in k], [int(x[1]) for x in k],
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(chosen, pa.int64())),
+                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(longs, pa.int64())),
             ])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, regions array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, regions array<long>, signature array<long>")
 
 
 # ---- exact joins
@@ -361,18 +379,43 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text") / 2).alias("shingles"))
 
 
+def near_classes(classes: DataFrame, t: Fraction) -> DataFrame:
+    """Edges (u, v) of classes that may link: every link between two classes lies inside a component of these edges.
+
+    Two classes that share a region and are within a factor t in size are candidates. In regions of few classes each
+    pair is tested by its signatures' distance, which bounds that of the sets (a link's sets differ in at most
+    (1 - t) / (1 + t) of their sizes' sum); in larger regions all classes of a size window go with the least of it,
+    so edges grow with the members, not with their square.
+    """
+    num, den = t.numerator, t.denominator
+    regioned = classes.where(F.size("regions") > 0).select("cid", F.col("n_shingles").alias("n"), F.explode("regions").alias("r"))
+    shared = regioned.groupBy("r").agg(F.min("cid").alias("least"), F.max("cid").alias("most"), F.count(F.lit(1)).alias("c")).where("least < most").select("r", "c")
+    rows = materialise(regioned.join(shared, "r"), "jaccard-shared")
+    few = rows.where(F.col("c") <= PAIRED).select("r", "cid", "n")
+    a, b = few.toDF("r", "u", "nu"), few.toDF("r", "v", "nv")
+    fits = (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num) & (F.col("u") < F.col("v"))
+    pairs = a.join(b, "r").where(fits).select("u", "v").distinct()
+    marks = classes.select("cid", F.col("n_shingles").alias("n"), "signature")
+    pairs = pairs.join(marks.toDF("u", "nu", "su"), "u").join(marks.toDF("v", "nv", "sv"), "v")
+    differing = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = (F.size("su") != F.size("sv")) | (differing * (den + num) <= (F.col("nu") + F.col("nv")) * (den - num))
+    tested = pairs.where(close).select("u", "v")
+    if num == den:
+        return tested  # equal sets are one class
+    window = F.floor(F.log("n") / (math.log(den / num) * 1.0001))
+    many = rows.where(F.col("c") > PAIRED).select("cid", "r", F.explode(F.array(window, window + 1)).alias("w"))
+    least = many.groupBy("r", "w").agg(F.min("cid").alias("v"), F.max("cid").alias("most")).where("v < most").select("r", "w", "v")
+    return tested.unionByName(many.join(least, ["r", "w"]).where("cid <> v").select(F.col("cid").alias("u"), "v"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, threshold: str | Fraction = "0.9", **sketch: int) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked to it)."""
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = materialise(class_rows(docs, size, t, **sketch), "jaccard-rows")
     real = made.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("weight"), F.first("regions").alias("regions")), "jaccard-classes")
-
-    regioned = classes.where(F.size("regions") > 0).select("cid", F.explode("regions").alias("r"))
-    least = regioned.groupBy("r").agg(F.min("cid").alias("v"), F.max("cid").alias("most")).where("v < most").select("r", "v")
-    near = regioned.join(least, "r").select(F.col("cid").alias("u"), "v").where("u <> v")
-    clusters = components(near, "jaccard-clusters")
+    classes = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("regions").alias("regions"), F.first("signature").alias("signature")), "jaccard-classes")
+    clusters = components(near_classes(classes, t), "jaccard-clusters")
     weights = classes.groupBy("cid").agg(F.sum("weight").alias("weight"))
     members = clusters.join(weights, F.col("node") == F.col("cid")).select("cid", F.col("root").cast("string").alias("region"), "weight")
     members = materialise(members, "jaccard-member-ids")
@@ -404,7 +447,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: str | Fraction
     final = classes.select("k1", "k2", "cid", "weight").join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")
     final = final.select("k1", "k2", F.coalesce("root", "cid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     hit = F.col("doc_id").isNotNull()
-    return made.drop("regions").join(final, ["k1", "k2"], "left").select(
+    return made.drop("regions", "signature").join(final, ["k1", "k2"], "left").select(
         "doc_id", "n_shingles", F.when(hit, F.coalesce("component", "doc_id")).alias("component_id"), F.when(hit, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")
     )
 

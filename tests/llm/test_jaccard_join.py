@@ -109,3 +109,14 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(want)
     assert sum(r.doc_id is None for r in kept) == 2
     assert jj.keep_one(docs(spark, rows)).columns == docs(spark, rows).columns
+
+
+def test_signatures_never_exceed_the_distance():
+    rng = np.random.default_rng(2)
+    for n in (5, 300, 1500, 5000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate((x[n // 10 :], rng.integers(0, 2**63, n // 20, dtype=np.uint64))))
+        doc = np.repeat([0, 1], [len(x), len(y)])
+        edges, longs = jj.parity_signatures(doc, np.concatenate((x, y)), np.array([n, n]))
+        a, b = longs[edges[0] : edges[1]].view(np.uint64), longs[edges[1] : edges[2]].view(np.uint64)
+        assert sum(int(v).bit_count() for v in a ^ b) <= len(np.setxor1d(x, y))
