@@ -3,13 +3,14 @@
 Counts: every training word is counted exactly (a worker's partial counts, then one grouping). The most frequent
 `head` words go to every task; counts of all other words stay a distributed table, which tail words meet by join.
 
-Model: the `classes` - 1 most frequent tokens and one class for all others. The next class is predicted from the two
+Model: the `classes` - 1 most frequent tokens are a class each; every other word is in one of `groups` classes by its
+ending, so each word has a class, as target and as context, whatever its count. The next class is predicted from the two
 before it: prediction = r[u] C1 + r[v] C2, score = prediction . q[w] + b[w]. It is trained in numpy on every training
 document with noise-contrastive estimation: tasks train on their own documents from common parameters, which are
 averaged by tokens over a tree of constant-memory sums after each round (rounds split the documents, so one pass in
 all). Scores are normalised exactly: as the score is a sum over the two context words, exp(score) summed over the
-vocabulary is one matrix product of two tables, for all pairs of context words at once. A word of the rest class
-gets that class's probability times its share (count + 1) / (tail tokens + tail words + 1).
+vocabulary is one matrix product of two tables, for all pairs of context words at once. A word of a group gets the
+group's probability times its share (count + 1) / (tokens + words of the group + 1).
 
 Defined results: a null, empty or blank text is one end token; rows with a null doc_id train and are scored;
 repeated rows each count and each give a row; without training documents all counts are 0 and the model is uniform;
@@ -22,11 +23,12 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_batch, materialise, slices, utf8_rows
@@ -37,6 +39,8 @@ END = b"\n"
 PARTIAL_COUNTS = 300_000
 BATCH, NOISE, DIM = 4096, 64, 32
 RATE = 0.15
+#: Bytes at a word's end that tell its group.
+ENDING = 2
 
 
 # ---- counts
@@ -145,14 +149,19 @@ class Trainer:
 
 
 class Classes(dict):
-    """Word to class; every other word is the last class."""
+    """Word to class; every other word is in one of the last classes, from `rest` on."""
 
-    def __init__(self, words: list[bytes], rest: int):
+    def __init__(self, words: list[bytes], rest: int, groups: int = 1):
         super().__init__(zip(words, range(len(words))))
-        self.rest = rest
+        self.rest, self.groups = rest, groups
 
     def __missing__(self, word: bytes) -> int:
-        return self.rest
+        return self.rest + crc32(word[-ENDING:]) % self.groups
+
+
+def group_of(word: str, groups: int) -> Column:
+    """The group of a word outside the classes, as `Classes` tells it."""
+    return (F.crc32(F.substring(word, -ENDING, ENDING)) % groups).cast("int")
 
 
 def _classed(texts: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -186,7 +195,7 @@ def _sum_models(rows: DataFrame, tasks: int) -> DataFrame:
 
 
 def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, rounds: int = 2) -> LogBilinear:
-    """words: the classes' words in order; the last class, of all other words, follows them. unigram: shares by class."""
+    """words: the classes' words in order; the groups of all other words follow them. unigram: shares by class."""
     spark = docs.sparkSession
     model = LogBilinear.start(unigram)
     keyed = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(rounds)).alias("turn"))
@@ -197,7 +206,7 @@ def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, rounds: int
             from pyspark import TaskContext
 
             start, known, shares = sent.value
-            classes = Classes(known, len(known))
+            classes = Classes(known, len(known), len(shares) - len(known))
             trainer, seen, left = Trainer(start, shares, 1000 * turn + TaskContext.get().partitionId()), 0, None
             for batch in slices(batches, 500):
                 w, u, v, _, _ = _classed(utf8_rows(batch.column("text")), classes)
@@ -241,12 +250,13 @@ class Fitted:
     distinct: int  # V
     head: dict[bytes, int]  # counts of the most frequent words
     words: list[bytes]  # of the classes but the last
-    tail_mass: int  # tokens + words of the last class, + 1
+    tail_mass: int  # tokens + words outside the classes, + 1
+    group_mass: np.ndarray  # tokens + words of each group, + 1
     model: LogBilinear
 
 
-def fit(docs: DataFrame, classes: int = 2048, head: int = 65536) -> Fitted:
-    """Counts and model from all of docs. classes and head bound what is broadcast; no word is left out of the counts."""
+def fit(docs: DataFrame, classes: int = 2048, head: int = 65536, groups: int = 1) -> Fitted:
+    """Counts and model from all of docs. The sizes bound what is broadcast; no word is left out of counts or model."""
     counts = materialise(token_counts(docs), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
@@ -254,67 +264,76 @@ def fit(docs: DataFrame, classes: int = 2048, head: int = 65536) -> Fitted:
     words = [END, *[w for w, _ in top if w != END][: classes - 2]]
     mass = sum(known.get(w, 0) for w in words)
     seen = sum(w in known for w in words)
-    shares = np.array([*(known.get(w, 0) + 1.0 for w in words), n - mass + 1.0])
+    group = group_of("word", groups).alias("g")
+    tail_tokens, tail_words = np.zeros(groups, np.int64), np.zeros(groups, np.int64)
+    for g, tokens, distinct in counts.groupBy(group).agg(F.sum("c"), F.count(F.lit(1))).collect():  # at most one row a group
+        tail_tokens[g], tail_words[g] = tokens, distinct
+    for w in words:
+        if w in known:
+            g = crc32(w[-ENDING:]) % groups
+            tail_tokens[g], tail_words[g] = tail_tokens[g] - known[w], tail_words[g] - 1
+    shares = np.array([*(known.get(w, 0) + 1.0 for w in words), *(tail_tokens + 1.0)])
     model = train(docs, words, shares / shares.sum())
-    return Fitted(counts, n, v, known, words, (n - mass) + (v - seen) + 1, model)
+    return Fitted(counts, n, v, known, words, (n - mass) + (v - seen) + 1, tail_tokens + tail_words + 1, model)
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, base_score, score."""
     spark: SparkSession = docs.sparkSession
     name = xxhash.xxh64_hexdigest(fitted.model.flat().tobytes())
-    sent = spark.sparkContext.broadcast((fitted.model, fitted.words, fitted.head))
-    base_log, tail_log = math.log10(fitted.tokens + fitted.distinct + 1), math.log10(max(fitted.tail_mass, 1))
-    spec = "rid long, word binary, tf long, doc_id long, n_tokens long, n_known long, n_rest long, base double, model double"
+    sent = spark.sparkContext.broadcast((fitted.model, fitted.words, fitted.head, np.log10(fitted.group_mass)))
+    base_log = math.log10(fitted.tokens + fitted.distinct + 1)
+    spec = "rid long, word binary, tf long, doc_id long, n_tokens long, n_known long, base double, model double"
     kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in spec.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, words, head = sent.value
+        model, words, head, group_logs = sent.value
         a1, a2, z = _tables(name, model)
-        classes = Classes(words, len(words))
+        classes = Classes(words, len(words), len(group_logs))
+        mass_log = np.concatenate((np.zeros(len(words)), group_logs))
         logs = {w: math.log10(c + 1) for w, c in head.items()}
         rest, rid = len(words), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 200):
             n_docs = batch.num_rows
             w, u, v, doc, lists = _classed(utf8_rows(batch.column("text")), classes)
-            logp = np.bincount(doc, (a1[u, w] + a2[v, w] - z[u, v]).astype(np.float64), n_docs) / math.log(10)
+            logp = np.bincount(doc, (a1[u, w] + a2[v, w] - z[u, v]) / math.log(10) - mass_log[w], n_docs)
             # log10(count + 1) of head words; nan marks the words that the distributed counts must tell
             flat = [x for y in lists for x in y]
             known = np.fromiter((logs.get(x, math.nan) for x in flat), np.float64, len(flat))
             tail = np.isnan(known)
-            in_rest = w == rest
+            in_rest = w >= rest
             sums = np.bincount(doc, np.where(tail, 0, known), n_docs)
             rest_sums = np.bincount(doc, np.where(tail | ~in_rest, 0, known), n_docs)
-            n, n_known, n_rest = (np.bincount(doc, x, n_docs).astype(np.int64) for x in (np.ones(len(doc)), ~tail, in_rest))
+            n, n_known = (np.bincount(doc, x, n_docs).astype(np.int64) for x in (np.ones(len(doc)), ~tail))
             rids = rid + np.arange(n_docs)
             rid += n_docs
             marks = [END + int(r).to_bytes(8, "little") for r in rids]  # no word, so it meets no count
             where = np.flatnonzero(tail)
             tf = Counter(zip(doc[where].tolist(), (flat[k] for k in where.tolist())))
             m = len(tf)
-            yield as_batch(schema, [rids, marks, np.zeros(n_docs, np.int64), batch.column("doc_id").cast(pa.int64()), n, n_known, n_rest, sums, logp + rest_sums])
+            yield as_batch(schema, [rids, marks, np.zeros(n_docs, np.int64), batch.column("doc_id").cast(pa.int64()), n, n_known, sums, logp + rest_sums])
             if m:
                 none = pa.nulls(m, pa.int64())
-                yield as_batch(schema, [rids[[d for d, _ in tf]], [x for _, x in tf], list(tf.values()), none, none, none, none, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())])
+                yield as_batch(schema, [rids[[d for d, _ in tf]], [x for _, x in tf], list(tf.values()), none, none, none, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, spec)
     found = rows.join(fitted.counts, "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 1.0) * F.col("tf")
     sums = found.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_rest").alias("n_rest"), F.max("base").alias("base"), F.max("model").alias("model"),
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("base").alias("base"), F.max("model").alias("model"),
         (F.max("n_known") + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).alias("n_known"), F.sum(log).alias("tail"),
     )
     return sums.select(
         "doc_id", "n_tokens", "n_known",
-        (F.col("base") + F.col("tail") - F.col("n_tokens") * base_log).alias("base_score"), (F.col("model") + F.col("tail") - F.col("n_rest") * tail_log).alias("score"),
+        (F.col("base") + F.col("tail") - F.col("n_tokens") * base_log).alias("base_score"), (F.col("model") + F.col("tail")).alias("score"),
     )
 
 
-def score_documents(docs: DataFrame, parts: int = 7, part: int = 2, **sizes: int) -> DataFrame:
+def score_documents(docs: DataFrame, parts: int = 7, part: int = 2, groups: int = 1024, **sizes: int) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Held-out rows never teach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fitted = fit(docs.where(~held_out("doc_id", parts, part)), **sizes)
+    fitted = fit(docs.where(~held_out("doc_id", parts, part)), groups=groups, **sizes)
     return score(docs, fitted).select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "n_tokens", "n_known", F.lit(fitted.tokens).cast("long").alias("train_tokens"), "base_score", "score")

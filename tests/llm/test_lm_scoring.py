@@ -57,6 +57,35 @@ def test_probabilities_are_normalised_and_scores_follow_them(spark):
         assert math.isclose(got[i], s, rel_tol=1e-4)
 
 
+def test_words_outside_the_classes_are_told_apart_by_group(spark):
+    data = rows(spark)
+    fitted = lm.fit(docs(spark, data), classes=40, head=60, groups=32)
+    a1, a2, z = fitted.model.tables()
+    assert len(a1) == 39 + 32 and np.allclose(np.exp(a1[:, None] + a2[None] - z[..., None]).sum(2), 1, atol=1e-4)
+    c = Counter(w for _, t in data for w in tokens(t))
+    group = {w: zlib.crc32(w[-lm.ENDING :]) % 32 for w in c if w not in fitted.words}
+    mass = Counter({g: 1 for g in range(32)})
+    for w, g in group.items():
+        mass[g] += c[w] + 1
+    assert fitted.group_mass.tolist() == [mass[g] for g in range(32)]
+    cls = {**{w: k for k, w in enumerate(fitted.words)}, **{w: 39 + g for w, g in group.items()}}
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, data[-30:]), fitted).collect()}
+    for i, t in data[-30:]:
+        u = v = cls[lm.END]
+        s = 0.0
+        for w in tokens(t):
+            k = cls[w]
+            s += (a1[u, k] + a2[v, k] - z[u, v]) / math.log(10) + (math.log10((c[w] + 1) / mass[group[w]]) if w in group else 0)
+            u, v = k, u
+        assert math.isclose(got[i], s, rel_tol=1e-4)
+
+
+def test_groups_beat_one_rest_class_on_held_out_text(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    grouped, one = (lm.score_documents(d, **x).where("held_out").agg({"score": "sum"}).first()[0] for x in ({}, {"groups": 1}))
+    assert grouped > one
+
+
 def test_model_beats_unigrams_on_held_out_text(spark):
     got = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
     held = got[got.held_out]
