@@ -127,3 +127,11 @@ def module_sizes(spark, sf):
 def reserved_sections(spark, sf):
     lines = md_lines(spark, sf).where("docno % 10 = 0")
     return lines.where(F.col("text").rlike("^#+ ")).join(lines.where(F.col("text").contains("Deep")).select("docno", "line"), ["docno", "line"], "left_anti").select("docno", "line", "text")
+
+
+@query(f"with {MD_SQL} select docno, line, text, docno % 10 = 0 as reserved from md where regexp_matches(text, '^#+ ') and not regexp_matches(text, 'Deep')")
+def all_sections(spark, sf):
+    """`reserved_sections` over every document, with reserved as a column."""
+    lines = md_lines(spark, sf)
+    kept = lines.where(F.col("text").rlike("^#+ ")).join(lines.where(F.col("text").contains("Deep")).select("docno", "line"), ["docno", "line"], "left_anti")
+    return kept.select("docno", "line", "text", (F.col("docno") % 10 == 0).alias("reserved"))
