@@ -686,5 +686,4 @@ def receipt_fields(spark, sf):
 
 @query("select doc_id, text as normal, 0 as repairs from documents where text = nfc_normalize(text) and not regexp_matches(text, '[^\\x00-\\x7FÀ-ÿ]')")
 def normalised(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike("[^\\x00-\\x7FÀ-ÿ]"))
-    return d.select("doc_id", tx.normalised("text").alias("normal"), tx.repairs("text").alias("repairs"))
+    return table(spark, sf, "documents").select("doc_id", tx.normalised("text").alias("normal"), tx.repairs("text").alias("repairs"))
