@@ -27,14 +27,10 @@ def top_dir(c: str = "rel") -> Column:
     return F.when(F.col(c).contains("/"), F.split_part(F.col(c), F.lit("/"), F.lit(1))).otherwise("")
 
 
-def dir_stats(files: DataFrame, loc_files: int = 400, loc_bytes: int = 1_000_000) -> DataFrame:
-    """Per top directory: files, loc (of the first files by name, none too large), loc_approx. files: rel, size, loc."""
-    rows = files.withColumn("dir", top_dir())
-    sums = rows.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
-    first = Window.partitionBy("dir").orderBy("rel")
-    counted = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= loc_files)
-    loc = counted.groupBy("dir").agg(F.sum(F.when(F.col("size") <= loc_bytes, F.col("loc")).otherwise(0)).alias("loc"))
-    return sums.join(loc, "dir").withColumn("loc_approx", F.col("files") > loc_files)
+def dir_stats(files: DataFrame, loc_bytes: int = 1_000_000) -> DataFrame:
+    """Per top directory: files, bytes, loc (of every file that is not too large), loc_approx (never). files: rel, size, loc."""
+    loc = F.sum(F.when(F.col("size") <= loc_bytes, F.col("loc")).otherwise(0)).alias("loc")
+    return files.groupBy(top_dir().alias("dir")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), loc).withColumn("loc_approx", F.lit(False))
 
 
 def subdir_stats(files: DataFrame, kept: int = 20) -> DataFrame:

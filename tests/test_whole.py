@@ -5,6 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as tx
+from quarrymill.operators import modules as mo
 from quarrymill.plans import catalog, reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,9 @@ def test_normalised_takes_every_document(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.normal, r.repairs) for r in catalog.QUERIES["normalised"](spark, str(tmp_path)).collect()}
     assert got == {i: (None, None) if t is None else repaired(t) for i, t in enumerate(texts)}
+
+
+def test_dir_stats_counts_lines_of_every_file(spark):
+    files = spark.range(1000).select(F.format_string("a/f%04d", "id").alias("rel"), F.when(F.col("id") % 4 == 0, 2_000_000).otherwise(10).alias("size"), F.lit(2).alias("loc"))
+    (r,) = mo.dir_stats(files).collect()
+    assert (r.dir, r.files, r.bytes, r.loc, r.loc_approx) == ("a", 1000, 250 * 2_000_000 + 7500, 1500, False)
