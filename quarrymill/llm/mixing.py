@@ -11,7 +11,7 @@ Block starts come from prefix sums over blocks, and places within the one block
 sums inside it: no window spans a source's documents. All of it is DataFrame operations.
 
 Defined results: a null source is a source of its own; documents without tokens come with their blocks and cost
-nothing; a source without tokens gets no part; repeated rows are dealt each; null ids are kept; extra columns are
+nothing; a source without tokens gets no part, but `mixed_documents` with `whole` has each of its rows once; repeated rows are dealt each; null ids are kept; extra columns are
 ignored by `mix` and kept by `mixed_documents`; an empty table gives an empty result; where even the plain shares repeat a
 source more often than the limit (a budget above limit * tokens), the plain shares are used; an entropy out of
 reach gives the nearest in reach.
@@ -128,13 +128,16 @@ def mix(docs: DataFrame, budget: float | None = None, target_entropy: float | No
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as it is dealt (rows alike in doc_id and text share their turns evenly)."""
+    """docs with each row as often as it is dealt (rows alike in doc_id and text share their turns evenly).
+
+    whole: rows that get no turn, of sources or blocks without tokens, come once.
+    """
     doc, key = F.col("doc_id").cast("long"), F.xxhash64(null_free("text"))
     turns = mix(docs, **options).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("turns"))
     copies = docs.groupBy(doc.alias("d"), key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     # all of it narrow; texts move once, in the last join
-    shares = turns.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    shares = shares.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.ceil(F.col("turns") / F.col("n")).cast("int").alias("__share"))
+    shares = copies.join(turns, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left" if options.get("whole") else "inner")
+    shares = shares.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.ceil(F.coalesce("turns", "n") / F.col("n")).cast("int").alias("__share"))
     keyed = docs.withColumn("__doc", doc).withColumn("__key", key)
     found = keyed.join(shares, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
     return found.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__share")))).select(*docs.columns)

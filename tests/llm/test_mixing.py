@@ -81,3 +81,12 @@ def test_odd_rows(spark, whole):
     assert mx.mix(docs(spark, [])).count() == 0
     assert mx.mixed_documents(docs(spark, []), whole=True).count() == 0
     assert mx.mix(docs(spark, [(1, None), (2, "")])).count() == 0
+
+
+def test_whole_keeps_documents_without_tokens(spark):
+    rows = [(i, "a b c", "s") for i in range(20)] + [(30, "", "blank"), (31, None, "blank"), (32, " ", None), (33, "", "s"), (33, "", "s"), (None, "", "blank")]
+    rows += [(i, "", "s") for i in range(100, 140)]  # some of its blocks hold empty texts only
+    out = mx.mixed_documents(docs(spark, rows), max_repetition=2.0, whole=True, block_tokens=2).collect()
+    assert sorted(str((r.doc_id, r.text, r.source)) for r in out) == sorted(map(str, rows))
+    only = docs(spark, [(1, None), (2, "")])
+    assert mx.mixed_documents(only, whole=True).count() == 2 and mx.mixed_documents(only).count() == 0
