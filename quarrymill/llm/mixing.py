@@ -11,10 +11,10 @@ Block starts come from prefix sums over blocks, and places within the one block
 sums inside it: no window spans a source's documents. All of it is DataFrame operations.
 
 Defined results: a null source is a source of its own; documents without tokens come with their blocks and cost
-nothing; a source without tokens gets no part, but `mixed_documents` with `whole` has each of its rows once; repeated rows are dealt each; null ids are kept; extra columns are
-ignored by `mix` and kept by `mixed_documents`; an empty table gives an empty result; where even the plain shares repeat a
-source more often than the limit (a budget above limit * tokens), the plain shares are used; an entropy out of
-reach gives the nearest in reach.
+nothing; a source without tokens gets no part, but `mixed_documents` with `whole` has each of its rows once; repeated
+rows are dealt each; null ids are kept; extra columns are ignored by `mix` and kept by `mixed_documents`; an empty
+table gives an empty result; where even the plain shares repeat a source more often than the limit (a budget above
+limit * tokens), the plain shares are used; an entropy out of reach gives the nearest in reach.
 """
 
 from __future__ import annotations
@@ -54,8 +54,11 @@ def find_exponent(totals: DataFrame, budget: float | None, target_entropy: float
         low, high = 0.0, 1.0
         for _ in range(PASSES):
             points = _points(low, high)
-            sums = shares.agg(*[c.alias(f"c{k}{i}") for k, a in enumerate(points) for i, c in enumerate((F.sum(F.exp(a * F.col("lp"))), F.sum(F.exp(a * F.col("lp")) * F.col("lp")), F.max(F.exp((a - 1) * F.col("lp"))), F.min(F.exp((a - 1) * F.col("lp")))))]).first()
-            ok = [ok_of(a, *sums[4 * k : 4 * k + 4]) for k, a in enumerate(points)]
+            term = F.exp(F.col("a") * F.col("lp"))
+            ratio = F.exp((F.col("a") - 1) * F.col("lp"))
+            each = shares.select("lp", F.posexplode(F.array(*map(F.lit, points))).alias("k", "a"))
+            sums = each.groupBy("k", "a").agg(F.sum(term), F.sum(term * F.col("lp")), F.max(ratio), F.min(ratio)).orderBy("k").collect()
+            ok = [ok_of(*r[1:]) for r in sums]
             at = next((k for k, x in enumerate(ok) if x), None)
             if at is None:
                 return high
@@ -127,17 +130,35 @@ def mix(docs: DataFrame, budget: float | None = None, target_entropy: float | No
     )
 
 
+def _row_keys(doc_id: Column, text_key: Column, source: Column) -> list[Column]:
+    """Equal for rows alike in id, text and source, and never null, so that one partitioning serves a join and a window."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("__d"), doc_id.isNull().alias("__dn"), text_key.alias("__k"), F.coalesce(source, F.lit("")).alias("__s"), source.isNull().alias("__sn")]
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as it is dealt (rows alike in doc_id and text share their turns evenly).
+    """docs with each row as often as `mix` deals it, in the mixture's order: partitions follow each other and are sorted.
 
-    whole: rows that get no turn, of sources or blocks without tokens, come once.
+    Rows alike in id, text and source have the same turns; where a cut leaves turns for some of them only, the first of
+    them by their other columns' hash get these. whole: rows that get no turn, of sources or blocks without tokens,
+    come once.
     """
-    doc, key = F.col("doc_id").cast("long"), F.xxhash64(null_free("text"))
-    turns = mix(docs, **options).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("turns"))
-    copies = docs.groupBy(doc.alias("d"), key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    # all of it narrow; texts move once, in the last join
-    shares = copies.join(turns, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left" if options.get("whole") else "inner")
-    shares = shares.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.ceil(F.coalesce("turns", "n") / F.col("n")).cast("int").alias("__share"))
-    keyed = docs.withColumn("__doc", doc).withColumn("__key", key)
-    found = keyed.join(shares, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
-    return found.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__share")))).select(*docs.columns)
+    spark = docs.sparkSession
+    keys = ["__d", "__dn", "__k", "__s", "__sn"]
+    dealt = mix(docs, **options)
+    dealt = dealt.select(*_row_keys(F.col("doc_id"), F.col("text_key"), F.col("source")), "epoch", "order_key", "shuffle_key")
+    # as many turns as rows alike in each whole epoch; at most one list entry an epoch
+    dealt = dealt.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("m"), F.min("order_key").alias("order_key"), F.min("shuffle_key").alias("shuffle_key"))
+    turns = dealt.groupBy(*keys).agg(F.collect_list(F.struct("order_key", "shuffle_key", "m")).alias("__turns"))
+    keyed = docs.select("*", *_row_keys(F.col("doc_id").cast("long"), F.xxhash64(null_free("text")), F.col("source")))
+    found = keyed.join(turns, keys, "left" if options.get("whole") else "inner")
+    rest = [f.name for f in docs.schema if f.name not in ("doc_id", "text", "source") and "map<" not in f.dataType.simpleString()]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(0), *rest)))
+    mine = F.filter("__turns", lambda t: F.col("__nth") <= t["m"])
+    if options.get("whole"):
+        once = F.array(F.struct(F.lit(0.0).alias("order_key"), F.col("__k").alias("shuffle_key"), F.lit(1).cast("long").alias("m")))
+        mine = F.when(F.size(F.coalesce(mine, F.array().cast(turns.schema["__turns"].dataType))) == 0, once).otherwise(mine)
+    found = found.withColumn("__nth", nth).select(*docs.columns, F.explode(mine).alias("__turn"))
+    # order keys are shares of each source's tokens dealt so far, so equal parts of [0, 1) hold about equal shares of all
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.least(F.floor(F.col("__turn.order_key") * parts), F.lit(parts - 1)).cast("int")
+    return found.repartitionById(parts, place).sortWithinPartitions("__turn.order_key", "__turn.shuffle_key", "doc_id").select(*docs.columns)

@@ -90,3 +90,15 @@ def test_whole_keeps_documents_without_tokens(spark):
     assert sorted(str((r.doc_id, r.text, r.source)) for r in out) == sorted(map(str, rows))
     only = docs(spark, [(1, None), (2, "")])
     assert mx.mixed_documents(only, whole=True).count() == 2 and mx.mixed_documents(only).count() == 0
+
+
+def test_documents_come_as_often_as_planned_and_in_the_mixture_order(spark, tmp_path):
+    rows = [(i, f"w{i} " * (1 + i % 7), f"s{i % 3}") for i in range(60)] + [(1, "w1 " * 2, "s1"), (1, "w1 " * 2, "s0"), (7, "w7 ", "s1"), (7, "w7 ", "s1")]
+    df = docs(spark, rows, extra=True)
+    for budget in (None, 333):
+        options = {"budget": budget, "max_repetition": 3.0, "block_tokens": 15}
+        plan = sorted(mx.mix(df, **options).collect(), key=lambda r: (r.order_key, r.shuffle_key, r.doc_id))
+        mx.mixed_documents(df, **options).write.parquet(f"{tmp_path}/{budget}")
+        files = sorted(tmp_path.glob(f"{budget}/part-*"), key=lambda f: f.name)
+        got = [r for f in files for r in spark.read.parquet(f"file://{f}").coalesce(1).collect()]
+        assert [(r.doc_id, r.source) for r in got] == [(r.doc_id, r.source) for r in plan]
