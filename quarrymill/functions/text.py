@@ -177,6 +177,59 @@ def receipt_fields(c: Column | str) -> Column:
     return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
+#: Labels of a receipt's lines and the fields they stand for.
+RECEIPT_LABELS = {"工程归属": "project", "复杂度": "size", "工作量": "size", "一句话结论": "conclusion", "待确认数": "pending", "报告": "report", "需人工注意": "attention", "KEY": "key"}
+CONFIDENCE = "置信度"
+
+
+def _labelled(labels: list[str]):
+    return lambda p: p["k"].isin(labels)
+
+
+def receipt_report(c: Column | str) -> Column:
+    """A receipt's `label: value` lines, either colon, list marks aside, as fields; the last line of a field counts.
+
+    The project's line may end in its confidence, after a slash; pending keeps its digits alone, 0 without any.
+    """
+    lines = F.transform(F.split(F.coalesce(_c(c), F.lit("")), "\r?\n"), lambda x: F.regexp_replace(x, "^([^:：]*)：", "$1:"))
+    pairs = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(F.regexp_replace(F.trim(F.regexp_extract(x, "^([^:]*):", 1)), r"^[-* ]+", "").alias("k"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
+
+    by_field = {f: [k for k, v in RECEIPT_LABELS.items() if v == f] for f in dict.fromkeys(RECEIPT_LABELS.values())}
+    held = {f: F.try_element_at(F.transform(F.filter(pairs, _labelled(ls)), lambda p: p["v"]), F.lit(-1)) for f, ls in by_field.items()}
+    rated = held["project"].contains("/") & held["project"].contains(CONFIDENCE)
+    project = F.when(rated, F.regexp_replace(F.split_part(held["project"], F.lit(CONFIDENCE), F.lit(1)), r"[/\s]+$", "")).otherwise(held["project"])
+    sure = F.when(rated, F.trim(F.regexp_extract(held["project"], f"{CONFIDENCE}(.*)$", 1), F.lit(" /")))
+    digits = F.regexp_replace(held["pending"], "[^0-9]", "")
+    pending = F.when(held["pending"].isNotNull(), F.coalesce(F.nullif(digits, F.lit("")).try_cast("long"), F.lit(0)))
+    rest = [held[f].alias(f) for f in ("size", "conclusion", "report", "attention", "key")]
+    return F.struct(project.alias("project"), sure.alias("confidence"), pending.alias("pending"), *rest)
+
+
+def must_hold(c: Column | str, part: str) -> Column:
+    """The text, or an error where it lacks the part."""
+    c = _c(c)
+    return F.when(F.coalesce(c.contains(part), F.lit(False)), c).otherwise(F.raise_error(F.lit(f"the text lacks {part!r}")).cast("string"))
+
+
+def thousands(c: Column | str) -> Column:
+    return F.format_number(_c(c), 0)
+
+
+def percent(part: Column | str, whole: Column | str, digits: int = 1) -> Column:
+    """`12.5%`; a dash where the whole is nothing."""
+    return F.when(_c(whole) != 0, F.format_string(f"%.{digits}f%%", 100.0 * _c(part) / _c(whole))).otherwise("-")
+
+
+def has_marker(content: Column | str, marker: str, first: int = 64) -> Column:
+    """Whether a file's first bytes hold a marker. content: binary."""
+    return F.coalesce(F.instr(F.decode(F.substring(_c(content), 1, first), "ISO-8859-1"), marker) > 0, F.lit(False))
+
+
+def repaired_characters(c: Column | str) -> Column:
+    """The radicals and private-use characters of a text, one array entry each."""
+    return F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit("[\u2e80-\u2fdf\ue000-\uf8ff]"), 0)
+
+
 def error_message(c: Column | str, most: int = 300) -> Column:
     """The first message of a JSON error body, else its beginning."""
     c = _c(c)

@@ -26,11 +26,35 @@ def change_set(current: DataFrame, state: DataFrame) -> DataFrame:
     return stay.unionByName(new).unionByName(removed)
 
 
+#: Parts that a ranking is cut into, so that no task holds all rows.
+RANK_PARTS = 256
+
+
+def ranked(rows: DataFrame, order: str, name: str = "rank", parts: int = RANK_PARTS) -> DataFrame:
+    """rows with their place in order, from 1, without a window over all of them.
+
+    Bounds that cut the order into about `parts` parts come from a sample of the keys by hash (at most 4 * parts keys);
+    places within a part are added to the rows in the parts before it. Equal keys share a part, so the sample never
+    changes the result.
+    """
+    step = max(1, rows.count() // parts)
+    drawn = rows.where(F.pmod(F.xxhash64(order), F.lit(step)) == 0).select(order).distinct().orderBy(order).limit(4 * parts)
+    bounds = F.array(*[F.lit(r[0]) for r in drawn.collect()]).cast(f"array<{rows.schema[order].dataType.simpleString()}>")
+    part = F.size(F.filter(bounds, lambda b: b <= F.col(order)))
+    placed = rows.withColumn("__part", part)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # at most 4 * parts + 1 rows
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = placed.join(sizes.withColumn("__before", before).drop("__n"), "__part")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return found.withColumn(name, (within + F.col("__before")).cast("long")).drop("__part", "__before")
+
+
 def free_numbers(used: DataFrame, wanted: int) -> DataFrame:
-    """The `wanted` smallest positive numbers not in used (n): n, rank. Bounded by used plus wanted."""
-    top = used.agg(F.count(F.lit(1)).alias("c")).select(F.explode(F.sequence(F.lit(1), F.col("c").cast("int") + wanted)).alias("n"))
-    free = top.join(used.select("n").distinct(), "n", "left_anti").orderBy("n").limit(wanted)
-    return free.withColumn("rank", F.row_number().over(Window.orderBy("n")))
+    """The `wanted` smallest positive numbers not in used (n): n, rank. Candidates are as many as used and wanted ones together."""
+    spark = used.sparkSession
+    taken = used.select(F.col("n").cast("long").alias("n")).distinct()
+    free = spark.range(1, used.count() + wanted + 1).toDF("n").join(taken, "n", "left_anti")
+    return ranked(free, "n").where(F.col("rank") <= wanted)
 
 
 def assign_numbers(changes: DataFrame, state: DataFrame, wanted: int) -> DataFrame:
@@ -40,7 +64,7 @@ def assign_numbers(changes: DataFrame, state: DataFrame, wanted: int) -> DataFra
     """
     numbers = state.select(F.col("relpath").alias("owner"), F.col("docno").cast("int").alias("n"))
     kept = changes.where("kind in ('unchanged', 'modified', 'renamed')").join(numbers, F.coalesce("from_path", "relpath") == F.col("owner")).select("relpath", "n")
-    added = changes.where("kind = 'added'").withColumn("rank", F.row_number().over(Window.orderBy("relpath"))).select("relpath", "rank")
+    added = ranked(changes.where("kind = 'added'").select("relpath"), "relpath")
     new = added.join(free_numbers(numbers.select("n"), wanted), "rank").select("relpath", "n")
     return kept.unionByName(new).select("relpath", docno(F.col("n")).alias("docno"))
 
@@ -79,6 +103,51 @@ def orphans(products: DataFrame, alive: DataFrame, reserved: DataFrame, keep: li
 def adopt(sources: DataFrame, products: DataFrame) -> DataFrame:
     """Sources to existing products: by declared number, the rest in order. sources: relpath, declared; products: docno."""
     named = sources.where("declared is not null").join(products, F.col("declared") == F.col("docno")).select("relpath", "docno")
-    left = sources.join(named.select("relpath"), "relpath", "left_anti").withColumn("n", F.row_number().over(Window.orderBy("relpath")))
-    free = products.join(named.select("docno"), "docno", "left_anti").withColumn("n", F.row_number().over(Window.orderBy(F.col("docno").cast("int"))))
+    left = ranked(sources.join(named.select("relpath"), "relpath", "left_anti").select("relpath"), "relpath", "n")
+    free = ranked(products.join(named.select("docno"), "docno", "left_anti").select("docno", F.col("docno").cast("int").alias("number")), "number", "n")
     return named.unionByName(left.join(free, "n").select("relpath", "docno"))
+
+
+def cascaded(docs: DataFrame, stages: list[str], aggregate: list[str] = ()) -> DataFrame:
+    """docs with due: the stages, in their order, that a document goes through.
+
+    docs: dirty (stages that are due by themselves), config_changed. A stage that is due makes all later ones due; a new
+    configuration makes aggregate stages due, and those after the first of them.
+    """
+    own = lambda s: F.array_contains("dirty", s) | (F.col("config_changed") & F.lit(s in aggregate))
+    due, so_far = [], F.lit(False)
+    for s in stages:
+        so_far = so_far | F.coalesce(own(s), F.lit(False))
+        due.append(F.when(so_far, F.lit(s)))
+    return docs.withColumn("due", F.array_compact(F.array(*due)))
+
+
+def union_paths(*lists: DataFrame) -> DataFrame:
+    """rel and its first position over several lists (rel, pos), an earlier list first: an ordered union without repeats."""
+    rows = None
+    for k, part in enumerate(lists):
+        part = part.select("rel", F.struct(F.lit(k).alias("list"), F.col("pos").cast("long").alias("pos")).alias("at"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.where("rel is not null and rel <> ''").groupBy("rel").agg(F.min("at").alias("at")).select("rel", "at.list", "at.pos")
+
+
+def unlisted(found: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Keys that are there and that the state doesn't hold, once each."""
+    return found.select(key).distinct().join(state.select(key), key, "left_anti")
+
+
+def patched(manifest: DataFrame, counts: DataFrame, key: str, column: str) -> DataFrame:
+    """manifest with its column renewed where counts hold the key."""
+    new = counts.select(key, F.col(column).alias("__new"))
+    return manifest.join(new, key, "left").select(*[F.coalesce("__new", column).alias(column) if c == column else F.col(c) for c in manifest.columns])
+
+
+def snapshot(raw: DataFrame, path: str, key: str, content: str) -> DataFrame:
+    """Intermediate contents as they are, beside the digest they are found by; contents that path holds are not written again."""
+    rows = raw.select(key, content).withColumn("digest", F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit(b"")), 256))
+    spark = raw.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        rows = rows.join(spark.read.parquet(path).select(key, "digest"), [key, "digest"], "left_anti")
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path)

@@ -26,10 +26,14 @@ def first_examples(events: DataFrame, by: str, order: str, *columns: str) -> Dat
 
 
 def hits_per_id(events: DataFrame, ids: DataFrame, key: str, order: str, kept: int) -> DataFrame:
-    """For each wanted id its first `kept` rows and how many there are."""
-    rows = events.join(F.broadcast(ids), key)  # ids come from one ticket's text
-    w = Window.partitionBy(key)
-    return rows.withColumn("hits", F.count(F.lit(1)).over(w)).withColumn("nth", F.row_number().over(w.orderBy(order))).where(F.col("nth") <= kept)
+    """For each wanted id its first `kept` rows and how many there are.
+
+    Counts come from partial sums, and the row limit prunes before the shuffle, so a frequent id costs `kept` rows a task.
+    """
+    rows = events.join(ids.distinct(), key)
+    hits = rows.groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= kept).join(hits, key)
 
 
 def near_times(events: DataFrame, ts: str, hints: list[str], kept: int, order: str) -> DataFrame:

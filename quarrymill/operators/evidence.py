@@ -23,16 +23,25 @@ def allowed_values(options: DataFrame, key: str, value: str, kept: int = 40) ->
     return few.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col(value).cast("string").alias("v")))), lambda x: x["v"]), ",").alias("shown"), (F.max("all") - F.count(F.lit(1))).alias("more"))
 
 
+#: What refers to an image (no blanks) or to another attachment, in two kinds of marks.
+IMAGE, OTHER = r"![^!\s]+\.(?:png|jpg|jpeg|gif|bmp|webp)!", r"[!\[][^!\]]+\.(?:log|txt|blf|dbc|tar\.gz|tgz|zip|csv|xlsx|docx|pdf)[!\]]"
+REFERENCE = f"(?i)(?:{IMAGE}|{OTHER})"
+
+
 def localised(texts: DataFrame, files: DataFrame) -> DataFrame:
-    """`!name!` references in texts (key, id, body) become their files' local paths (key, filename, local), case aside.
+    """References to files in texts (key, id, body) become their local paths (key, filename, local), case aside.
 
-    References without a file stay. The text is cut into parts, the references joined, and the parts put together.
+    A reference is REFERENCE; one without a file stays as it is, and so does any other text, marks included. References
+    are joined with the text up to the next one, and put together in order.
     """
-    parts = texts.select("key", "id", F.posexplode(F.split("body", "!")).alias("pos", "part"))
+    cut = texts.select("key", "id", F.split("body", REFERENCE, -1).alias("gaps"), F.regexp_extract_all("body", F.lit(REFERENCE), 0).alias("refs"))
+    parts = cut.select("key", "id", F.col("gaps")[0].alias("head"), F.posexplode_outer(F.zip_with("refs", F.slice("gaps", 2, F.size("gaps")), lambda r, g: F.struct(r.alias("ref"), g.alias("gap")))).alias("pos", "x"))
+    parts = parts.withColumn("name", F.lower(F.regexp_replace("x.ref", r"^[!\[]|[!\]]$", "")))
     names = files.groupBy("key", F.lower("filename").alias("name")).agg(F.min("local").alias("local"))
-    odd = F.col("pos") % 2 == 1
-    found = parts.join(names, (parts["key"] == names["key"]) & (F.lower("part") == F.col("name")), "left").select(parts["key"], "id", "pos", F.when(odd & F.col("local").isNotNull(), F.concat(F.lit("["), "local", F.lit("]"))).when(odd, F.concat(F.lit("!"), "part", F.lit("!"))).otherwise(F.col("part")).alias("part"))
-    return found.groupBy("key", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("body"))
+    found = parts.join(names, ["key", "name"], "left")
+    piece = F.concat(F.when(F.col("local").isNotNull(), F.concat(F.lit("["), "local", F.lit("]"))).otherwise(F.col("x.ref")), "x.gap")
+    pieces = F.transform(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", piece.alias("piece"))))), lambda x: x["piece"])
+    return found.groupBy("key", "id").agg(F.concat(F.first("head"), F.array_join(pieces, "")).alias("body"))
 
 
 def quick_table(rows: DataFrame, details: DataFrame) -> DataFrame:
@@ -47,8 +56,21 @@ def wrong_lines(table: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def unmapped_prefixes(modules: DataFrame, document: DataFrame) -> DataFrame:
-    """Prefixes (id, prefix) that no line of the root document (text) names."""
-    return modules.join(document.select("text"), F.expr("contains(text, prefix)"), "left_anti")
+    """Prefixes (id, prefix) that no line of the root document (text) names as a path or as the start of one.
+
+    The document's path tokens and what they begin with are exploded once, so prefixes meet them by equality.
+    """
+    from .modules import ancestors
+
+    tokens = document.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s`'\"()\[\],;|]+"), 0)).alias("token"))
+    named = tokens.select(F.explode(F.array_union(ancestors(F.col("token")), F.array("token"))).alias("prefix")).distinct()
+    return modules.join(named, "prefix", "left_anti")
+
+
+def unknown_paths(document: DataFrame, modules: DataFrame) -> DataFrame:
+    """Directory tokens (ending in /) of the root document (text) that no module's prefix is."""
+    tokens = document.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s`'\"()\[\],;|]+/"), 0)).alias("path"))
+    return tokens.distinct().join(modules, F.col("path") == F.col("prefix"), "left_anti")
 
 
 def groups_by_dir(files: DataFrame) -> DataFrame:
@@ -71,7 +93,7 @@ def unindexed(top: DataFrame, index: DataFrame) -> DataFrame:
 
 def with_spec(docs: DataFrame, specs: DataFrame, default: str) -> DataFrame:
     """docs (relpath, category) with the first declared spec (pattern, spec_index, category) that fits; the document's own category goes first."""
-    hit = docs.select("relpath").join(F.broadcast(specs.withColumnRenamed("category", "declared")), F.expr("relpath like pattern"))  # specs are configuration
+    hit = docs.select("relpath").join(specs.withColumnRenamed("category", "declared"), F.expr("relpath like pattern"))
     first = hit.groupBy("relpath").agg(F.min_by("declared", "spec_index").alias("declared"))
     return docs.join(first, "relpath", "left").select("relpath", F.coalesce("category", "declared", F.lit(default)).alias("category"))
 

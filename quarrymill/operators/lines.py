@@ -20,6 +20,8 @@ def before() -> WindowSpec:
 
 #: A table separator row, and list, table and quote marks that no prose line starts with.
 SEPARATOR = r"^\|[\s\-:|]+\|$"
+#: Fixed value: a heading's marks and text.
+HEADING = r"^(#{1,6})\s+(.*?)\s*$"
 NOT_PROSE = r"^[|#>\-*+·•]"
 #: Fixed value: line ends after which wrapped lines are not rejoined.
 SENTENCE_END = r"[。；：！？、，）】》”\"’…；:;,.)\]}>\-—*]$"
@@ -34,17 +36,32 @@ def line_stats(lines: DataFrame) -> DataFrame:
     return lines.groupBy("docno").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
 
 
-def with_fence(lines: DataFrame) -> DataFrame:
-    """lines with is_fence and fenced; ``` and ~~~ blocks both count, each closed by its own mark's parity."""
+def with_fence(lines: DataFrame, keep_open: bool = False) -> DataFrame:
+    """lines with is_fence and fenced. A block of ``` or ~~~ is closed by the mark that opened it; the other mark is text in it.
+
+    A fold over each document's fence lines alone; the other lines take the state of the fence before them. keep_open adds
+    `opened`: the mark of a block that the line opens, else blank.
+    """
     mark = F.regexp_extract("text", r"^\s*(```|~~~)", 1)
-    marked = lines.withColumn("is_fence", mark != "")
-    return marked.withColumn("fenced", (F.sum(F.col("is_fence").cast("int")).over(up_to()) % 2 == 1) | F.col("is_fence"))
+    fences = lines.where(mark != "").groupBy("docno").agg(F.sort_array(F.collect_list(F.struct("line", mark.alias("mark")))).alias("marks"))
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<line:int,open:string>>").alias("states"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = F.when(acc["open"] == "", x["mark"]).when(acc["open"] == x["mark"], F.lit("")).otherwise(acc["open"])
+        return F.struct(now.alias("open"), F.concat(acc["states"], F.array(F.struct(x["line"].cast("int").alias("line"), now.alias("open")))).alias("states"))
+
+    states = fences.select("docno", F.inline(F.aggregate("marks", start, step, lambda acc: acc["states"])))
+    placed = lines.join(states, ["docno", "line"], "left").withColumn("is_fence", F.col("open").isNotNull())
+    state = F.coalesce(F.last("open", ignorenulls=True).over(up_to()), F.lit(""))
+    before_it = F.coalesce(F.last("open", ignorenulls=True).over(before()), F.lit(""))
+    opened = [F.when(F.col("is_fence") & (before_it == ""), F.col("open")).otherwise("").alias("opened")] if keep_open else []
+    return placed.select(*lines.columns, "is_fence", ((state != "") | F.col("is_fence")).alias("fenced"), *opened)
 
 
 def headings(lines: DataFrame, min_depth: int = 1) -> DataFrame:
     """Headings outside fences: docno, line, depth, text."""
-    found = with_fence(lines).where(~F.col("fenced")).withColumn("mark", F.regexp_extract("text", r"^(#{1,6})\s+(.*?)\s*$", 1))
-    return found.where(F.length("mark") >= min_depth).select("docno", "line", F.length("mark").alias("depth"), F.trim(F.regexp_extract("text", r"^(#{1,6})\s+(.*?)\s*$", 2)).alias("text"))
+    found = with_fence(lines).where(~F.col("fenced")).withColumn("mark", F.regexp_extract("text", HEADING, 1))
+    return found.where(F.length("mark") >= min_depth).select("docno", "line", F.length("mark").alias("depth"), F.trim(F.regexp_extract("text", HEADING, 2)).alias("text"))
 
 
 def collapse_blank(lines: DataFrame) -> DataFrame:
@@ -64,7 +81,11 @@ def drop_orphan_separators(lines: DataFrame) -> DataFrame:
     return collapse_blank(once.withColumn("good", good).where("good").drop("good"))
 
 
-def drop_footers(lines: DataFrame, patterns: list[str]) -> DataFrame:
+#: Page marks that are dropped where no patterns are given.
+PAGE_MARKS = [r"第\s*\d+\s*页\s*/?\s*共\s*\d+\s*页$", r"\d+\s*/\s*\d+$", r"Page\s*\d+\s*(?:of\s*\d+)?$", r"\d{1,4}$"]
+
+
+def drop_footers(lines: DataFrame, patterns: list[str] = PAGE_MARKS) -> DataFrame:
     """Lines whose trimmed text begins with a match of any pattern go."""
     return lines.where(~F.trim("text").rlike("^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")") | (F.trim("text") == ""))
 
@@ -78,9 +99,15 @@ def drop_duplicate_title(lines: DataFrame, titles: DataFrame, first: int = 10) -
     return joined.withColumn("hit", hit).where("hit is null or line <> hit").select(*lines.columns)
 
 
+#: An entry of a table of contents, and the number an entry or a heading starts with.
+CONTENTS_ENTRY, LEADING_NUMBER = r"^(.*?)\.{4,}\s*(\d+)\s*$", r"^(\d+(?:\.\d+)*)\.?\s*(.*)$"
+#: The two layouts of numbered headings, a number alone on its line and a number before its title.
+NUMBER_ALONE, NUMBER_INLINE = r"^(\d+(?:\.\d+)*)(\.?)$", r"^(\d{1,3}(?:\.\d+){0,4})[.\s、:：]{1,4}(\S.*)$"
+
+
 def table_of_contents(lines: DataFrame) -> DataFrame:
     """`title....page` lines: docno, line, num (null without one), title, page."""
-    pattern, number = r"^(.*?)\.{4,}\s*(\d+)\s*$", r"^(\d+(?:\.\d+)*)\.?\s*(.*)$"
+    pattern, number = CONTENTS_ENTRY, LEADING_NUMBER
     found = lines.where(F.col("text").rlike(pattern)).withColumn("head", F.trim(F.regexp_extract("text", pattern, 1)))
     num = F.regexp_extract("head", number, 1)
     return found.select("docno", "line", F.when(num != "", num).alias("num"), F.when(num != "", F.trim(F.regexp_extract("head", number, 2))).otherwise(F.col("head")).alias("title"), F.regexp_extract("text", pattern, 2).cast("long").alias("page"))
@@ -96,7 +123,7 @@ def numbered_headings(lines: DataFrame) -> DataFrame:
     text = F.trim("text")
     rows = lines.withColumn("s", text).withColumn("solid", F.when(text != "", F.struct(F.col("line"), text.alias("s"))))
     rows = rows.withColumn("following", F.first("solid", ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing)))
-    alone, inline = r"^(\d+(?:\.\d+)*)(\.?)$", r"^(\d{1,3}(?:\.\d+){0,4})[.\s、:：]{1,4}(\S.*)$"
+    alone, inline = NUMBER_ALONE, NUMBER_INLINE
     num = F.coalesce(F.nullif(F.regexp_extract("s", alone, 1), F.lit("")), F.regexp_extract("s", inline, 1))
     single, dotted = F.col("s").rlike(alone), F.col("s").rlike(r"\.$")
     title = F.when(single, F.col("following.s")).otherwise(F.trim(F.regexp_extract("s", inline, 2)))
@@ -117,18 +144,56 @@ def ordered_numbers(candidates: DataFrame) -> DataFrame:
     return candidates.join(kept, ["docno", "line"], "left_semi")
 
 
-def inject_headings(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """Heading rows become `## num title` between blank lines; consumed rows go; lines are numbered anew."""
+def residual(raw: Column, num: Column, title: Column) -> Column:
+    """What a heading's line holds besides its marks, number and title."""
+    rest = F.regexp_replace(F.trim(raw), F.concat(F.lit(r"^[\s|\-*#>]*"), F.replace(num, F.lit("."), F.lit(r"\.")), F.lit(r"\.?\s*")), F.lit(""))
+    at = F.instr(rest, title)
+    cut = F.concat(F.substr(rest, F.lit(1), at - 1), F.substr(rest, at + F.length(title)))
+    return F.when((title != "") & (at > 0), F.trim(cut, F.lit(" |"))).otherwise(rest)
+
+
+def inject_headings(lines: DataFrame, heads: DataFrame, table_split: bool = True) -> DataFrame:
+    """Heading rows become `## num title` between blank lines; consumed rows go; lines are numbered anew.
+
+    A heading in a table row splits the table: an empty header row and separator of its width follow, then the row, and a
+    separator right after it goes. Of other heading lines what is neither number nor title stays as a line of its own.
+    """
     level = F.least(F.size(F.split("num", r"\.")) + 1, F.lit(6))
-    marked = heads.select("docno", "line", "last", F.concat_ws(" ", F.repeat(F.lit("#"), level), "num", "title").alias("head"))
-    own = lines.join(marked.select("docno", "line", "head", "last"), ["docno", "line"], "left")
-    until = F.max("last").over(up_to())
-    rows = own.withColumn("until", until).where(F.col("head").isNotNull() | F.col("until").isNull() | (F.col("line") > F.col("until")))
-    new = F.when(F.col("head").isNotNull(), F.array(F.lit(""), F.col("head"), F.lit(""))).otherwise(F.array(F.rtrim("text")))
+    head = F.concat_ws(" ", F.repeat(F.lit("#"), level), F.trim(F.regexp_replace(F.concat_ws(" ", "num", "title"), r"\s+", " ")))
+    marked = heads.select("docno", "line", "last", "num", "title", head.alias("head"))
+    own = lines.join(marked, ["docno", "line"], "left")
+    in_table = F.col("head").isNotNull() & F.ltrim("text").startswith("|") & F.lit(table_split)
+    rows = own.withColumn("split", in_table).withColumn("until", F.max("last").over(up_to()))
+    orphan = F.coalesce(F.lag("split").over(in_order()), F.lit(False)) & F.trim("text").rlike(SEPARATOR)
+    rows = rows.withColumn("orphan", orphan)
+    rows = rows.where(F.col("head").isNotNull() | ((F.col("until").isNull() | (F.col("line") > F.col("until"))) & ~F.col("orphan")))
+    width = F.greatest(F.size(F.split(F.trim(F.trim("text"), F.lit("|")), r"\|")), F.lit(2))
+    table = F.array(F.lit(""), F.col("head"), F.lit(""), F.concat(F.lit("|"), F.repeat(F.lit("  |"), width)), F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width)), F.rtrim("text"))
+    rest = residual(F.col("text"), F.col("num"), F.col("title"))
+    rest = F.when((F.length(rest) > 2) & ~rest.rlike(SEPARATOR), F.array(rest)).otherwise(F.array().cast("array<string>"))
+    new = F.when(F.col("split"), table).when(F.col("head").isNotNull(), F.concat(F.array(F.lit(""), F.col("head"), F.lit("")), rest)).otherwise(F.array(F.rtrim("text")))
     out = rows.select("docno", "line", F.posexplode(new).alias("part", "text"))
     return out.select("docno", F.row_number().over(Window.partitionBy("docno").orderBy("line", "part")).alias("line"), "text")
 
 
+def hybrid_outline(entries: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Headings found by a table of contents, and of the numbered ones those on other lines: docno, line, num, title, last, origin."""
+    a = entries.select("docno", "line", "num", "title", F.col("line").alias("last"), F.lit("toc").alias("origin"))
+    b = numbered.join(entries.select("docno", "line"), ["docno", "line"], "left_anti").select("docno", "line", "num", "title", "last", F.lit("numbered").alias("origin"))
+    return a.unionByName(b)
+
+
+def outline_strategy(docs: DataFrame, numbered: DataFrame, entries: DataFrame, heads: DataFrame, least: int = 3) -> DataFrame:
+    """docno, strategy, n: numbered headings where there are `least`, else contents entries where there are two, else the source's own, else none."""
+    count = lambda rows, name: rows.groupBy("docno").agg(F.count(F.lit(1)).alias(name))
+    rows = docs.select("docno").distinct()
+    for part, name in ((numbered, "numbered"), (entries, "toc"), (heads, "source")):
+        rows = rows.join(count(part, name), "docno", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    kind = F.when(F.col("numbered") >= least, "numbered").when(F.col("toc") >= 2, "toc").when(F.col("source") > 0, "source").otherwise("none")
+    n = F.when(kind == "numbered", F.col("numbered")).when(kind == "toc", F.col("toc")).when(kind == "source", F.col("source")).otherwise(0)
+    return rows.select("docno", kind.alias("strategy"), n.cast("long").alias("n"))
+
+
 def locate_entries(lines: DataFrame, entries: DataFrame, window: int = 1200) -> DataFrame:
     """Where numbered entries of a table of contents stand in the body: found in order from the last hit within a window,
     else from the top. entries: docno, pos, num, title. Sequential by nature, so one task handles one document."""
@@ -155,9 +220,13 @@ def locate_entries(lines: DataFrame, entries: DataFrame, window: int = 1200) ->
     return lines.groupBy("docno").cogroup(entries.where("num is not null").groupBy("docno")).applyInPandas(find, spec)
 
 
+#: Starts of numbered lines and of captions, which are no prose, and the longest prose line.
+NUMBERED_LINE, CAPTION, LONGEST_PROSE = r"^\d+(\.\d+)*[.\s、]", r"^(图|表|注|第|Figure|Table)\s*[.\d]", 200
+
+
 def is_prose(c: Column) -> Column:
     t = F.trim(c)
-    return (t != "") & ~t.rlike(NOT_PROSE) & ~t.rlike(r"^\d+(\.\d+)*[.\s、]") & ~t.rlike(r"^(图|表|注|第|Figure|Table)\s*[.\d]") & (F.length(t) <= 200)
+    return (t != "") & ~t.rlike(NOT_PROSE) & ~t.rlike(NUMBERED_LINE) & ~t.rlike(CAPTION) & (F.length(t) <= LONGEST_PROSE)
 
 
 def join_prose(lines: DataFrame, longest: int = 160) -> DataFrame:
@@ -187,17 +256,17 @@ def demote(lines: DataFrame, by: int = 1, only_top: bool = False) -> DataFrame:
 
 
 def nearest_heading(lines: DataFrame, min_depth: int = 2) -> DataFrame:
-    """Backward as-of join of lines to headings: lines with section and section_line; lines before any have null."""
-    heads = headings(lines, min_depth).select("docno", "line", F.col("text").alias("head"))
-    rows = lines.join(heads, ["docno", "line"], "left")
-    last = F.last(F.when(F.col("head").isNotNull(), F.struct(F.col("head").alias("section"), F.col("line").alias("section_line"))), ignorenulls=True).over(up_to())
-    return rows.withColumn("at", last).select("docno", "line", "text", F.col("at.section").alias("section"), F.col("at.section_line").alias("section_line"))
+    """Lines with the section and section_line of the last heading up to them; lines before any have null. One window pass."""
+    mark = F.regexp_extract("text", HEADING, 1)
+    head = F.when(~F.col("fenced") & (F.length(mark) >= min_depth), F.struct(F.trim(F.regexp_extract("text", HEADING, 2)).alias("section"), F.col("line").alias("section_line")))
+    rows = with_fence(lines).withColumn("at", F.last(head, ignorenulls=True).over(up_to()))
+    return rows.select("docno", "line", "text", F.col("at.section").alias("section"), F.col("at.section_line").alias("section_line"))
 
 
 def term_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """Lines that hold any keyword of a term, counted by section: docno, term, section, hits, first_line. terms: term, keywords."""
     placed = nearest_heading(lines).where("section is not null")
-    hit = placed.join(F.broadcast(terms), F.exists("keywords", lambda k: F.col("text").contains(k)))  # terms are configuration
+    hit = placed.join(terms, F.exists("keywords", lambda k: F.col("text").contains(k)))
     return hit.groupBy("docno", "term", "section").agg(F.count(F.lit(1)).alias("hits"), F.min("line").alias("first_line"))
 
 
@@ -284,3 +353,14 @@ def markdown_faults(lines: DataFrame) -> DataFrame:
         F.when(F.trim("text").rlike(SEPARATOR) & F.ltrim("before").startswith("|") & (pipes(F.trim("text")) != pipes(F.trim("before"))), "separator_width"),
     )
     return rows.select("docno", "line", F.explode(F.array_compact(faults)).alias("kind"))
+
+
+def over_budget(lines: DataFrame, budgets: DataFrame, default: int = 80) -> DataFrame:
+    """docno, lines, budget of documents with more lines than their budget. budgets: docno, budget."""
+    sizes = lines.groupBy("docno").agg(F.count(F.lit(1)).alias("lines")).join(budgets, "docno", "left")
+    return sizes.withColumn("budget", F.coalesce("budget", F.lit(default))).where(F.col("lines") > F.col("budget"))
+
+
+def bare_fences(lines: DataFrame) -> DataFrame:
+    """docno, line of fences that open a block without naming its language."""
+    return with_fence(lines, keep_open=True).where(F.col("is_fence") & (F.col("opened") != "") & (F.trim("text") == F.col("opened"))).select("docno", "line")

@@ -31,8 +31,11 @@ def text_filter(rows: DataFrame, text: str, *columns: str) -> DataFrame:
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, order: str, kept: int, name: str = "children") -> DataFrame:
-    """parents with their first `kept` children as an array, how many there are, and whether some were left out."""
-    first = Window.partitionBy(key).orderBy(order)
+    """parents with their first `kept` children as an array, how many there are, and whether some were left out.
+
+    order: a column, or `-column` for the last ones first.
+    """
+    first = Window.partitionBy(key).orderBy(F.desc(order[1:]) if order.startswith("-") else F.asc(order))
     columns = [c for c in children.columns if c != key]
     ranked = children.withColumn("__n", F.row_number().over(first))
     few = ranked.where(F.col("__n") <= kept).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("__n"), *columns))).alias(name))
@@ -58,22 +61,25 @@ def missing_required(fields: DataFrame, payload: DataFrame) -> DataFrame:
     blank = F.trim("value").isin("", '""', "[]", "{}", "null")
     given = payload.where(F.col("value").isNotNull() & ~blank).select("record", "id")
     # every record must hold every required field: the required list is metadata, a few rows
-    wanted = payload.select("record").distinct().crossJoin(F.broadcast(fields.where("required").select("id")))
+    wanted = payload.select("record").distinct().crossJoin(fields.where("required").select("id"))
     return wanted.join(given, ["record", "id"], "left_anti")
 
 
 def planned_changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Fields that would change: key, field, before, after. Equal values, nulls included, give no row."""
+    """Fields that would change: key, field, before, after. Equal values, nulls included, give no row.
+
+    Keys on one side only are compared with nulls.
+    """
     old = before.select(F.col(key), *[F.col(f).cast("string").alias(f"o_{f}") for f in fields])
     new = after.select(F.col(key), *[F.col(f).cast("string").alias(f"n_{f}") for f in fields])
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"o_{f}").alias("before"), F.col(f"n_{f}").alias("after")) for f in fields])
-    rows = old.join(new, key).select(key, F.explode(each).alias("c")).select(key, "c.*")
+    rows = old.join(new, key, "full_outer").select(key, F.explode(each).alias("c")).select(key, "c.*")
     return rows.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def planned_transitions(current: DataFrame, wanted: DataFrame, allowed: DataFrame) -> DataFrame:
     """key, from, to, action: apply, skip (there already) or refuse (not allowed). allowed: status, target."""
-    rows = current.join(wanted, "key").join(F.broadcast(allowed.withColumn("ok", F.lit(True))), ["status", "target"], "left")
+    rows = current.join(wanted, "key").join(allowed.withColumn("ok", F.lit(True)), ["status", "target"], "left")
     action = F.when(F.col("status") == F.col("target"), "skip").when(F.col("ok"), "apply").otherwise("refuse")
     return rows.select("key", F.col("status").alias("from_status"), F.col("target").alias("to_status"), action.alias("action"))
 
@@ -93,3 +99,37 @@ def not_mentioned(files: DataFrame, texts: DataFrame) -> DataFrame:
     """Files whose name no text of their ticket holds. files: key, filename; texts: key, body."""
     a, b = files.alias("a"), texts.alias("b")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & F.contains(F.lower("b.body"), F.lower("a.filename")), "left_anti")
+
+
+def capped(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows in order, each with how many were skipped. Only these rows are sorted out."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    kept = rows.orderBy(*order).limit(most)
+    return kept.crossJoin(total).withColumn("skipped", F.greatest(F.col("total") - most, F.lit(0))).drop("total")  # one row
+
+
+def wanted_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is asked for, case and blanks aside; all rows where no key is asked for. keys: one column."""
+    clean = lambda c: F.upper(F.trim(c))
+    asked = keys.select(clean(F.col(keys.columns[0])).alias("__key")).where("__key <> ''").distinct()
+    return rows if asked.isEmpty() else rows.join(asked, clean(F.col(key)) == F.col("__key"), "left_semi")
+
+
+def configured(rows: DataFrame, config: DataFrame, name: str, default: dict[str, object]) -> DataFrame:
+    """rows with the columns of the configuration of their name, and defaults where there is none. config: name, ..."""
+    found = rows.join(config, name, "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col(c), F.lit(default.get(c))).alias(c) for c in config.columns if c != name])
+
+
+def reviewed(defaults: DataFrame, earlier: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Values that a person set in an earlier run stay; others take the new default. Adds `kept`: how many stayed."""
+    old = earlier.select(key, *[F.nullif(F.trim(F.col(c)), F.lit("")).alias(f"__{c}") for c in columns])
+    rows = defaults.join(old, key, "left")
+    kept = sum((F.col(f"__{c}").isNotNull().cast("int") for c in columns), F.lit(0))
+    others = [c for c in defaults.columns if c not in columns]
+    return rows.select(*others, *[F.coalesce(f"__{c}", c).alias(c) for c in columns], kept.alias("kept"))
+
+
+def counted(rows: DataFrame, by: str) -> DataFrame:
+    """Rows by category: by, n."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))

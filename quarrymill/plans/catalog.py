@@ -35,15 +35,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # ---- projections
 
 MD_ORDER = "l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus"
-MD_TEXT = """case when l_partkey % 61 = 0 then '```' when l_partkey % 23 = 0 then '' when l_partkey % 47 = 1 then concat('## ', cast(l_partkey % 7 + 1 as string), '.', cast(l_linenumber as string), ' Part ', l_returnflag)
+MD_TEXT = """case when l_partkey % 122 = 0 then '~~~' when l_partkey % 183 = 0 then '```text' when l_partkey % 61 = 0 then '```' when l_partkey % 23 = 0 then '' when l_partkey % 47 = 1 then concat('## ', cast(l_partkey % 7 + 1 as string), '.', cast(l_linenumber as string), ' Part ', l_returnflag)
  when l_partkey % 47 = 2 then concat('### Item ', l_linestatus) when l_partkey % 47 = 3 then '| --- | --- |' when l_partkey % 47 = 4 then '| a | b |' when l_partkey % 47 = 5 then '##### Deep'
  when l_partkey % 53 = 7 then concat('Page ', cast(l_partkey % 9 as string)) when l_partkey % 59 = 8 then 'trailing blank ' when l_partkey % 67 = 9 then '# Title'
  else concat('row ', cast(l_partkey as string), ' of flag ', l_returnflag, ' ', l_linestatus) end"""
 MD_SQL = f"md as (select l_suppkey as docno, cast(row_number() over (partition by l_suppkey order by {MD_ORDER}) as integer) as line, {MD_TEXT} as text from lineitem)"
 LINES_SQL = "ls as (select doc_id as docno, cast(unnest(generate_series(1, len(p))) as integer) as line, unnest(p) as text from (select doc_id, string_split(text, chr(10)) as p from documents))"
-FENCE_SQL = r"fe as (select *, regexp_matches(text, '^\s*(```|~~~)') as is_fence, sum(case when regexp_matches(text, '^\s*(```|~~~)') then 1 else 0 end) over (partition by docno order by line) as k from md)"
-HEAD_SQL = r"he as (select docno, line, length(regexp_extract(text, '^(#{1,6})\s+(.*?)\s*$', 1)) as depth, trim(regexp_extract(text, '^(#{1,6})\s+(.*?)\s*$', 2)) as text from fe where not is_fence and k % 2 = 0 and regexp_matches(text, '^#{1,6}\s+'))"
-HEADS = f"with {MD_SQL}, {FENCE_SQL}, {HEAD_SQL} "
+# a block is closed by the mark that opened it: fence lines are walked one by one
+FENCE_SQL = r"""
+fl as (select docno, line, regexp_extract(text, '^\s*(```|~~~)', 1) as mark, row_number() over (partition by docno order by line) as i from md where regexp_matches(text, '^\s*(```|~~~)')),
+fo as (
+  select docno, i, line, mark as open, '' as was from fl where i = 1
+  union all select fl.docno, fl.i, fl.line, case fo.open when '' then fl.mark when fl.mark then '' else fo.open end, fo.open from fo join fl on fl.docno = fo.docno and fl.i = fo.i + 1),
+fe as (
+  select md.docno, md.line, md.text, fo.line is not null and fo.line = md.line as is_fence, coalesce(fo.open, '') <> '' or (fo.line is not null and fo.line = md.line) as fenced, coalesce(fo.was, '') as was
+  from md asof left join fo on md.docno = fo.docno and md.line >= fo.line)"""
+HEAD_SQL = r"he as (select docno, line, length(regexp_extract(text, '^(#{1,6})\s+(.*?)\s*$', 1)) as depth, trim(regexp_extract(text, '^(#{1,6})\s+(.*?)\s*$', 2)) as text from fe where not fenced and regexp_matches(text, '^#{1,6}\s+'))"
+HEADS = f"with recursive {MD_SQL}, {FENCE_SQL}, {HEAD_SQL} "
 
 REL = "concat('src', cast(p_partkey % 5 as string), case when p_partkey % 11 = 0 then '' else concat('/Mod', cast(p_partkey % 7 as string)) end, case when p_partkey % 3 = 0 then concat('/sub', cast(p_partkey % 2 as string)) else '' end, '/f', cast(p_partkey as string), case when p_size % 3 = 0 then '.py' when p_size % 3 = 1 then '.c' else '.md' end)"
 FILES_SQL = f"files as (select {REL} as rel, cast(p_size * 40000 as bigint) as size, cast(p_size as bigint) as loc, md5(cast(p_partkey as string)) as hash from part)"
@@ -126,7 +134,7 @@ def table_of_contents(spark, sf):
     return ln.table_of_contents(table(spark, sf, "part").select(F.expr("p_partkey % 50").alias("docno"), F.col("p_partkey").alias("line"), F.expr(TOC).alias("text")))
 
 
-@query(f"with {MD_SQL}, {FENCE_SQL} select docno, line, case when not is_fence and k % 2 = 0 and regexp_matches(text, '^#{{1,6}}\\s') then repeat('#', cast(least(length(regexp_extract(text, '^(#+)', 1)) + 2, 6) as integer)) || regexp_replace(text, '^#+', '') else text end as text from fe")
+@query(f"with recursive {MD_SQL}, {FENCE_SQL} select docno, line, case when not fenced and regexp_matches(text, '^#{{1,6}}\\s') then repeat('#', cast(least(length(regexp_extract(text, '^(#+)', 1)) + 2, 6) as integer)) || regexp_replace(text, '^#+', '') else text end as text from fe")
 def demoted(spark, sf):
     return ln.demote(md_lines(spark, sf), by=2)
 
@@ -162,7 +170,7 @@ def top_sections(spark, sf):
 
 
 CHUNKS = (
-    HEADS.replace("with ", "with recursive ", 1) + ", nl as (select docno, max(line) as n from md group by docno having max(line) >= 250), "
+    HEADS + ", nl as (select docno, max(line) as n from md group by docno having max(line) >= 250), "
     "st as (select docno, 1 as s from nl where docno in (select docno from he) union all select st.docno, min(h.line) from st join he h on h.docno = st.docno and h.line - st.s >= 100 group by st.docno, st.s), "
     "la as (select docno, max(s) as m, count(*) as c from st group by docno), "
     "ke as (select st.docno, s, n from st join nl using (docno) join la using (docno) where not (c > 1 and s = m and n - m + 1 < 25)), "
@@ -207,7 +215,7 @@ def repeated_lines(spark, sf):
 
 
 @query(
-    f"with {MD_SQL}, {FENCE_SQL}, x as (select *, sum(case when regexp_matches(text, '^#\\s') and not is_fence and k % 2 = 0 then 1 else 0 end) over (partition by docno) as h1s, lag(text) over (partition by docno order by line) as b from fe) "
+    f"with recursive {MD_SQL}, {FENCE_SQL}, x as (select *, sum(case when regexp_matches(text, '^#\\s') and not fenced then 1 else 0 end) over (partition by docno) as h1s, lag(text) over (partition by docno order by line) as b from fe) "
     "select docno, line, 'h1_count' as kind from x where line = 1 and h1s <> 1 union all select docno, line, 'first_line' from x where line = 1 and not regexp_matches(text, '^#\\s') "
     "union all select docno, line, 'trailing_blank' from x where regexp_matches(text, '\\s$') and not regexp_matches(text, '\\S  $') "
     "union all select docno, line, 'separator_width' from x where regexp_matches(text, '^\\|[\\s\\-:|]+\\|$') and starts_with(b, '|') and length(replace(text, '|', '')) - length(text) <> length(replace(b, '|', '')) - length(b)"
@@ -399,13 +407,14 @@ def missing_required(spark, sf):
 
 
 @query(
-    "select o_orderkey, 'o_orderstatus' as field, o_orderstatus as before, 'P' as after from orders where o_orderstatus <> 'P' "
-    "union all select o_orderkey, 'o_orderpriority', o_orderpriority, case when o_orderkey % 2 = 0 then o_orderpriority end from orders where o_orderkey % 2 <> 0"
+    "with b as (select o_orderkey, o_orderstatus as s, o_orderpriority as p from orders where o_orderkey % 5 <> 0), a as (select o_orderkey, 'P' as s, case when o_orderkey % 2 = 0 then o_orderpriority end as p from orders where o_orderkey % 7 <> 0), "
+    "j as (select coalesce(b.o_orderkey, a.o_orderkey) as o_orderkey, b.s as bs, a.s as ns, b.p as bp, a.p as np from b full join a on a.o_orderkey = b.o_orderkey) "
+    "select o_orderkey, 'o_orderstatus' as field, bs as before, ns as after from j where bs is distinct from ns union all select o_orderkey, 'o_orderpriority', bp, np from j where bp is distinct from np"
 )
 def planned_changes(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    after = o.withColumn("o_orderstatus", F.lit("P")).withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")))
-    return rc.planned_changes(o, after, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    after = o.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", F.lit("P")).withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")))
+    return rc.planned_changes(o.where("o_orderkey % 5 <> 0"), after, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
 @query("select o_orderkey as key, o_orderstatus as from_status, t as to_status, case when o_orderstatus = t then 'skip' when (o_orderstatus, t) in (('O', 'P'), ('P', 'F')) then 'apply' else 'refuse' end as action from (select *, case when o_orderkey % 2 = 0 then 'F' else 'P' end as t from orders)")
@@ -451,7 +460,7 @@ def longest_prefix(spark, sf):
 DIRS = f"with {FILES_SQL}, d as (select *, case when contains(rel, '/') then split_part(rel, '/', 1) else '' end as dir from files), "
 
 
-@query(DIRS + "n as (select *, row_number() over (partition by dir order by rel) as k from d) select dir, count(*) as files, cast(sum(size) as bigint) as bytes, cast(sum(case when k <= 400 and size <= 1000000 then loc else 0 end) as bigint) as loc, count(*) > 400 as loc_approx from n group by dir")
+@query(DIRS.rstrip(", ") + " select dir, count(*) as files, cast(sum(size) as bigint) as bytes, cast(sum(case when size <= 1000000 then loc else 0 end) as bigint) as loc, false as loc_approx from d group by dir")
 def dir_stats(spark, sf):
     return mo.dir_stats(repo_files(spark, sf))
 
@@ -555,7 +564,7 @@ def change_set(spark, sf):
 
 @query(CHANGES + "select kind, count(*) as n from ch group by kind")
 def change_counts(spark, sf):
-    return cdc.change_set(_current(spark, sf), _state(spark, sf).drop("docno")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return rc.counted(cdc.change_set(_current(spark, sf), _state(spark, sf).drop("docno")), "kind")
 
 
 @query(
@@ -606,16 +615,20 @@ def due_documents(spark, sf):
     return rows.select("o_orderkey", cdc.needs_stage("convert", k % 11 == 0, k % 7 == 0, F.lit(True), False, k % 3 == 0, True).alias("due"))
 
 
-@query("select rel, cast(min(pos) as integer) as pos from (select concat('f', cast(l_partkey as string)) as rel, l_linenumber as pos from lineitem where l_returnflag = 'R' union all select concat('f', cast(ps as string)), 0 from (select p_partkey as ps from part where p_size > 40)) group by rel")
+@query(
+    "with u as (select concat('f', cast(l_partkey as string)) as rel, 0 as list, l_linenumber as pos from lineitem where l_returnflag = 'R' union all select concat('f', cast(p_partkey as string)), 1, 0 from part where p_size > 40), "
+    "r as (select *, row_number() over (partition by rel order by list, pos) as n from u) select rel, cast(list as integer) as list, cast(pos as bigint) as pos from r where n = 1"
+)
 def union_of_changes(spark, sf):
     a = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("rel"), F.col("l_linenumber").alias("pos"))
     b = table(spark, sf, "part").where("p_size > 40").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("rel"), F.lit(0).alias("pos"))
-    return a.unionByName(b).groupBy("rel").agg(F.min("pos").alias("pos"))
+    return cdc.union_paths(a, b)
 
 
-@query("select c_custkey from customer except select o_custkey from orders")
+@query("select c_custkey from customer except select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
 def unused_numbers(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    state = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return cdc.unlisted(table(spark, sf, "customer"), state.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 # ---- scalar functions
@@ -677,13 +690,20 @@ def section_numbers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", n.alias("num"), (n < F.array(F.lit(2), F.lit(10))).alias("before"))
 
 
-@query("select c_custkey, map_from_entries([('state', 'ok'), ('key', c_name)])['key'] as who, 'ok' as state from customer")
+@query("select c_custkey, case when c_custkey % 4 = 0 then null else c_name end as who, case when c_custkey % 3 = 0 then 'ok' else 'bad: ' || c_mktsegment end as state from customer")
 def receipt_fields(spark, sf):
-    text = F.concat(F.lit("State：bad\nno field\nKey: "), "c_name", F.lit("\nstate: ok\n"))
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("State：bad: "), "c_mktsegment", F.lit("\nno field\n"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("Key: "), "c_name", F.lit("\n"))), F.when(k % 3 == 0, "state: ok\n").otherwise(" \n"))
     m = tx.receipt_fields(text)
     return table(spark, sf, "customer").select("c_custkey", m["key"].alias("who"), m["state"].alias("state"))
 
 
-@query("select doc_id, text as normal, 0 as repairs from documents where text = nfc_normalize(text) and not regexp_matches(text, '[^\\x00-\\x7FÀ-ÿ]')")
+# every text is given characters to repair: radicals, full-width forms, a symbol of the private area, one of it without a meaning
+REPAIRED = [(0x2ECB, 0x8F66), (0x2F42, 0x6587), (0xFF21, 0x41), (0xFF11, 0x31), (0xFF05, 0x25), (0xFF0C, 0xFF0C), (0xE000, None), (0xE123, None)]
+REPAIR_SQL = "concat(" + ", ".join(["text", *(f"chr({b or 32})" if b else "''" for _, b in REPAIRED)]) + ")"
+
+
+@query(f"select doc_id, {REPAIR_SQL} as normal, 4 as repairs from documents where not regexp_matches(text, '[^\\x00-\\x7FÀ-ÿ]') union all select doc_id, null, null from documents where text is null")
 def normalised(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.normalised("text").alias("normal"), tx.repairs("text").alias("repairs"))
+    odd = F.concat("text", F.lit("".join(chr(a) for a, _ in REPAIRED)))
+    return table(spark, sf, "documents").select("doc_id", tx.normalised(odd).alias("normal"), tx.repairs(odd).alias("repairs"))

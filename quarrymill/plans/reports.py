@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import evidence as evd, lines as ln, modules as mo
+from ..operators import evidence as evd, lines as ln, modules as mo, records as rc
 from .catalog import FILES_SQL, HEADS, HITS, MD_SQL, MODULES_SQL, _hits, md_lines, query, repo_files, repo_modules, table
 
 
@@ -21,12 +21,21 @@ def allowed_values(spark, sf):
     return evd.allowed_values(table(spark, sf, "nation"), "n_regionkey", "n_name", 3)
 
 
-@query("select c_custkey as key, 1 as id, concat('see ', case when c_custkey % 2 = 0 then concat('[files/', c_custkey::varchar, ']') else '!shot.PNG!' end, ' and !other.log!', ' end') as body from customer")
+BODIES = ["hello! world", "wow! see !a.png! end", "see !Shot.PNG! and [other.log] end", "!shot.png!!A.png!", "none", "!a b.png! or !x y.pdf!"]
+BODY_SQL = "(" + "[" + ", ".join(f"'{b}'" for b in BODIES) + "])[cast(c_custkey % 6 as integer) + 1]"
+
+
+@query(
+    f"with t as (select c_custkey as key, {BODY_SQL} as body from customer), a as (select key, case when key % 2 = 0 then replace(replace(body, '!Shot.PNG!', concat('[files/', key::varchar, ']')), '!shot.png!', concat('[files/', key::varchar, ']')) else body end as body from t) "
+    "select key, 1 as id, case when key % 3 = 0 then replace(replace(replace(body, '!a.png!', '[img/a]'), '!A.png!', '[img/a]'), '!x y.pdf!', '[doc]') else body end as body from a"
+)
 def localised(spark, sf):
-    c = table(spark, sf, "customer")
-    texts = c.select(F.col("c_custkey").alias("key"), F.lit(1).alias("id"), F.lit("see !shot.PNG! and !other.log! end").alias("body"))
-    files = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.lit("Shot.png").alias("filename"), F.concat(F.lit("files/"), F.col("c_custkey").cast("string")).alias("local"))
-    return evd.localised(texts, files)
+    c = table(spark, sf, "customer").withColumn("key", F.col("c_custkey"))
+    body = F.element_at(F.array(*map(F.lit, BODIES)), (F.col("c_custkey") % 6).cast("int") + 1)
+    named = lambda rows, name, local: rows.select("key", F.lit(name).alias("filename"), local.alias("local"))
+    files = named(c.where("key % 2 = 0"), "Shot.png", F.concat(F.lit("files/"), F.col("key").cast("string")))
+    files = files.unionByName(named(c.where("key % 3 = 0"), "a.PNG", F.lit("img/a"))).unionByName(named(c.where("key % 3 = 0"), "x y.pdf", F.lit("doc")))
+    return evd.localised(c.select("key", F.lit(1).alias("id"), body.alias("body")), files)
 
 
 QUICK = HEADS + ", de as (select docno, text as key, line from he where depth = 2), ro as (select distinct docno, case when line % 5 = 0 then 'none' else text end as key from he where depth <= 3) "
@@ -44,10 +53,15 @@ def quick_table(spark, sf):
     return evd.quick_table(*_quick(spark, sf))
 
 
-@query(QUICK + "select ro.docno, ro.key, 0 as detail_line from ro left join de on ro.docno = de.docno and ro.key = de.key where de.line is null")
+@query(
+    QUICK + ", qt as (select ro.docno, ro.key, coalesce(max(line), 0) as detail_line from ro left join de on ro.docno = de.docno and ro.key = de.key group by all), mo as (select docno, key, case when detail_line % 3 = 1 then detail_line + 1 else detail_line end as detail_line from qt) "
+    "select docno, key, detail_line from mo where not exists (select 1 from de where de.docno = mo.docno and de.key = mo.key and de.line = mo.detail_line)"
+)
 def wrong_lines(spark, sf):
+    """A table whose documents were edited since: every third line is one off."""
     rows, details = _quick(spark, sf)
-    return evd.wrong_lines(evd.quick_table(rows, details), details)
+    moved = F.when(F.col("detail_line") % 3 == 1, F.col("detail_line") + 1).otherwise(F.col("detail_line"))
+    return evd.wrong_lines(evd.quick_table(rows, details).withColumn("detail_line", moved), details)
 
 
 @query(f"with {MODULES_SQL} select id, prefix from modules where not exists (select 1 from nation where contains(concat('see src', n_nationkey::varchar, '/ and SRC1/'), prefix))")
@@ -61,9 +75,10 @@ def log_groups(spark, sf):
     return evd.groups_by_dir(repo_files(spark, sf).select(F.col("rel").alias("path"), F.col("size").alias("bytes")))
 
 
-@query(f"with {FILES_SQL}, k as (select case when ends_with(rel, '.c') or ends_with(rel, '.py') then 'unknown' else 'log_other' end as kind from files) select case when kind = 'log_other' then 'unknown' else kind end as kind, count(*) as n from k group by 1")
+@query("select case p_size % 5 when 0 then 'image' when 1 then 'video' when 2 then 'archive' when 3 then 'dbc' else 'unknown' end as kind, count(*) as n from part group by 1")
 def evidence_counts(spark, sf):
-    return repo_files(spark, sf).groupBy(tx.attachment_kind("rel").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ["PNG", "mp4", "zip", "dbc", "weird"])), (F.col("p_size") % 5).cast("int") + 1))
+    return rc.counted(table(spark, sf, "part").select(tx.attachment_kind(name).alias("kind")), "kind")
 
 
 @query(f"with {FILES_SQL} select p_partkey as doc, concat('./src0/Mod', (p_partkey % 9)::varchar, '/f', p_partkey::varchar, '.c#top') as target from part where concat('src0/Mod', (p_partkey % 9)::varchar, '/f', p_partkey::varchar, '.c') not in (select rel from files)")
@@ -73,10 +88,10 @@ def broken_links(spark, sf):
     return evd.broken_links(docs, tx.links("text"), repo_files(spark, sf))
 
 
-@query(HITS + ", r as (select *, row_number() over (partition by docno, term order by hits desc, first_line) as rank from hi), i as (select * from hi where hits >= 2) select docno, term, section from r where rank = 1 and not exists (select 1 from i where i.docno = r.docno and i.term = r.term and i.section = r.section)")
+@query(HITS + ", r as (select *, row_number() over (partition by docno, term order by hits desc, first_line) as rank from hi), i as (select * from hi where first_line % 2 = 0) select docno, term, section from r where rank = 1 and not exists (select 1 from i where i.docno = r.docno and i.term = r.term and i.section = r.section)")
 def unindexed_sections(spark, sf):
     hits = _hits(spark, sf)
-    return evd.unindexed(ln.top_sections(hits, 1, 1, 1).select("docno", "term", "section"), hits.where("hits >= 2").select("docno", "term", "section"))
+    return evd.unindexed(ln.top_sections(hits, 1, 1, 1).select("docno", "term", "section"), hits.where("first_line % 2 = 0").select("docno", "term", "section"))
 
 
 SPECS = [("src0/%", 0, "core"), ("%.md", 1, "docs"), ("src%", 2, "code")]
@@ -123,15 +138,15 @@ def module_sizes(spark, sf):
     return up.join(repo_modules(spark), F.col("p") == F.lower("prefix")).groupBy("id").agg(F.countDistinct("rel").alias("files"), F.max("prefix").alias("prefix"))
 
 
-@query(f"with {MD_SQL} select docno, line, text from md where regexp_matches(text, '^#+ ') and docno % 10 = 0 and not regexp_matches(text, 'Deep')")
+@query(f"with {MD_SQL} select docno, line, text from md where regexp_matches(text, '^#+ ') and not regexp_matches(text, 'Deep')")
 def reserved_sections(spark, sf):
-    lines = md_lines(spark, sf).where("docno % 10 = 0")
+    lines = md_lines(spark, sf)
     return lines.where(F.col("text").rlike("^#+ ")).join(lines.where(F.col("text").contains("Deep")).select("docno", "line"), ["docno", "line"], "left_anti").select("docno", "line", "text")
 
 
 @query(f"with {MD_SQL} select docno, line, text, docno % 10 = 0 as reserved from md where regexp_matches(text, '^#+ ') and not regexp_matches(text, 'Deep')")
 def all_sections(spark, sf):
-    """`reserved_sections` over every document, with reserved as a column."""
+    """`reserved_sections` with whether a document's number is reserved as a column."""
     lines = md_lines(spark, sf)
     kept = lines.where(F.col("text").rlike("^#+ ")).join(lines.where(F.col("text").contains("Deep")).select("docno", "line"), ["docno", "line"], "left_anti")
     return kept.select("docno", "line", "text", (F.col("docno") % 10 == 0).alias("reserved"))

@@ -41,6 +41,31 @@ def html_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
 
 
+def manifest(docs: DataFrame, lines: DataFrame, heads: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A document a row: docs' columns with its lines, headings and chunks. docs and the others are keyed by docno."""
+    out = docs
+    for rows, name in ((lines, "lines"), (heads, "headings"), (chunks, "chunks")):
+        counts = rows.groupBy("docno").agg(F.count(F.lit(1)).alias(name))
+        out = out.join(counts, "docno", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def inverted_index(top: DataFrame, most: int = 12) -> DataFrame:
+    """A term a row: its documents in order, with their best section's name and line, at most `most`, and how many there are.
+
+    top: docno, term, section, hits, first_line, rank.
+    """
+    best = top.groupBy("term", "docno").agg(F.min_by(F.struct("section", F.col("first_line").alias("line")), "rank").alias("x"), F.sum("hits").alias("hits"))
+    entry = F.struct(-F.col("hits"), "docno", "x.section", "x.line")
+    listed = F.transform(F.slice(F.sort_array(F.collect_list(entry)), 1, most), lambda e: F.concat_ws(":", e["docno"].cast("string"), e["section"], e["line"].cast("string")))
+    return best.groupBy("term").agg(listed.alias("places"), F.count(F.lit(1)).alias("docs"))
+
+
+def state_rows(docs: DataFrame, run: str) -> DataFrame:
+    """What the next run compares with: relpath, hash, docno, retired, the stages' marks and the run that wrote it."""
+    return docs.select("relpath", "hash", "docno", F.coalesce("retired", F.lit(False)).alias("retired"), F.coalesce("stages", F.create_map().cast("map<string,string>")).alias("stages"), F.lit(run).alias("run"))
+
+
 def filled(template: Column | str, values: dict[str, Column]) -> Column:
     """`{name}` placeholders of a template replaced."""
     out = F.lit(template) if isinstance(template, str) else template
