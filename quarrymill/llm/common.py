@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +17,21 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 MASK64 = (1 << 64) - 1
 
+#: Bytes of an Arrow batch sent to a Python worker, and of the part of it that is worked on at once.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset and gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,6 +41,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: Any) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_BYTES (or one row), unless the session sets a limit of its own."""
+    if df.sparkSession.conf.get(_BATCH_CONF, None) is None:
+        df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -58,10 +72,23 @@ def utf8_rows(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of at most `rows` rows and about `size` bytes; a row is never cut."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+_KEPT: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """The one large value a worker process keeps from task to task: a new name drops the value before."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def as_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -79,3 +106,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: A key is hot with more than one HOT_KEYS-th of all counted rows, so there are at most HOT_KEYS such keys.
+HOT_KEYS, SALTS = 2048, 32
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: str, spread_by: Column, how: str = "inner") -> DataFrame:
+    """left joined to right (one row a key) with each hot key's rows dealt to SALTS tasks.
+
+    counts: right's column with the number of left rows a key has. Hot keys, at most HOT_KEYS, are broadcast to mark
+    left's rows; right's rows of hot keys are there once for each salt.
+    """
+    total = right.agg(F.sum(counts)).first()[0] or 0
+    hot = right.where(F.col(counts) > max(total / HOT_KEYS, 100)).select(*keys).withColumn("__hot", F.lit(True))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    marked = marked.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
+    salts = F.when(F.col(counts) > max(total / HOT_KEYS, 100), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return marked.join(right.withColumn("__salt", F.explode(salts)), [*keys, "__salt"], how).drop("__salt")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, as_batch, materialise, mix64, null_free, slices, utf8_rows
+from .common import MASK64, as_batch, in_arrow, materialise, mix64, null_free, slices, utf8_rows
 
 #: Bins of a signature, 16 bits each.
 BINS = 64
@@ -162,7 +162,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield as_batch(_FULL, [[x] for x in (LAST, part, held.text, held.doc_id, None, None, None, None, None, None)])
 
-    made = materialise(ranged.mapInArrow(run, _SPEC), "fingerprints")
+    made = materialise(ranged.transform(in_arrow, run, _SPEC), "fingerprints")
     done = made.where(F.col("kind") == DONE).select(*_DONE.names)
     parts = sorted(r.part for r in made.where(F.col("kind") == HEAD).select("part").collect())  # one number a partition
     if not parts:
@@ -178,4 +178,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             if out:
                 yield as_batch(_DONE, list(zip(*out)))
 
-    return done.unionByName(edges.mapInArrow(close, COLUMNS))
+    return done.unionByName(edges.transform(in_arrow, close, COLUMNS))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batch, materialise, slices, utf8_rows
+from .common import as_batch, in_arrow, kept, materialise, slices, utf8_rows
 from .quality import held_out
 
 #: The end token. Words hold no line feed, so none is it.
@@ -62,7 +62,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         if counts:
             yield as_batch(schema, [list(counts), list(counts.values())])
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").transform(in_arrow, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 # ---- the model
@@ -191,7 +191,7 @@ def _sum_models(rows: DataFrame, tasks: int) -> DataFrame:
         if total is not None:
             yield as_batch(schema, [[weight], [(total / weight).astype(np.float32).tobytes()]])
 
-    return rows.repartition(tasks).mapInArrow(run, "weight double, flat binary")
+    return rows.repartition(tasks).transform(in_arrow, run, "weight double, flat binary")
 
 
 def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, rounds: int = 2) -> LogBilinear:
@@ -224,7 +224,7 @@ def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, rounds: int
             if seen:
                 yield as_batch(pa.schema([("weight", pa.float64()), ("flat", pa.binary())]), [[float(seen)], [trainer.model.flat().tobytes()]])
 
-        trained = keyed.where(F.col("turn") == turn).select("text").mapInArrow(run, "weight double, flat binary")
+        trained = keyed.where(F.col("turn") == turn).select("text").transform(in_arrow, run, "weight double, flat binary")
         rows = _sum_models(_sum_models(trained, 32), 1).collect()  # one row
         if rows:
             model = model.filled(np.frombuffer(rows[0].flat, np.float32))
@@ -233,16 +233,6 @@ def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, rounds: int
 
 # ---- scoring
 
-_TABLES: dict[str, tuple] = {}
-
-
-def _tables(name: str, model: LogBilinear) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[name] = model.tables()
-    return _TABLES[name]
-
-
 @dataclass
 class Fitted:
     counts: DataFrame  # word, c
@@ -291,7 +281,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         from pyspark import TaskContext
 
         model, words, head, group_logs = sent.value
-        a1, a2, z = _tables(name, model)
+        a1, a2, z = kept(name, model.tables)
         classes = Classes(words, len(words), len(group_logs))
         mass_log = np.concatenate((np.zeros(len(words)), group_logs))
         logs = {w: math.log10(c + 1) for w, c in head.items()}
@@ -319,7 +309,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
                 none = pa.nulls(m, pa.int64())
                 yield as_batch(schema, [rids[[d for d, _ in tf]], [x for _, x in tf], list(tf.values()), none, none, none, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, spec)
+    rows = docs.select("doc_id", "text").transform(in_arrow, run, spec)
     found = rows.join(fitted.counts, "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 1.0) * F.col("tf")
     sums = found.groupBy("rid").agg(

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_batch, slices, utf8_rows
+from .common import as_batch, in_arrow, kept, slices, utf8_rows
 
 WORD_BUCKETS = 4096
 #: Upper edges of the bands of each shape quantity.
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", teaches: Co
             yield as_batch(schema, [batch.column("__label"), [t.astype(np.int32) for t, _ in made], [v for _, v in made]])
 
     # a doc_id that repeats adds rows; the limit holds for what is collected, too
-    found = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select("text", "__label").limit(2 * max_labelled).mapInArrow(run, spec).toArrow()
+    found = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select("text", "__label").limit(2 * max_labelled).transform(in_arrow, run, spec).toArrow()
     if not found.num_rows:
         return None
     rows = [(np.asarray(t), np.asarray(v, np.float32)) for t, v in zip(found.column("terms").to_pylist(), found.column("counts").to_pylist())]
@@ -165,12 +165,12 @@ def with_scores(docs: DataFrame, model: Neighbours | None, out_col: str = "score
     schema = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        buckets = kept("quality words", Buckets)
         for batch in slices(batches, 256):
             score = sent.value.score([features(t, buckets) for t in utf8_rows(batch.column("text"))]) if batch.num_rows else []
             yield as_batch(schema, [*(batch.column(i).cast(schema.field(i).type) for i in range(batch.num_columns)), np.clip(np.asarray(score, float), 0, 1)])
 
-    return docs.mapInArrow(run, made)
+    return docs.transform(in_arrow, run, made)
 
 
 def held_out(doc_id: Column | str, parts: int, part: int) -> Column:

@@ -17,14 +17,13 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_batch, slices, utf8_rows
+from .common import as_batch, in_arrow, kept, slices, utf8_rows
 
 MARK = "▁"
 #: Chunks remembered by one worker before it forgets them all; a bound on memory, not on the result.
@@ -202,9 +201,9 @@ class Codec:
         return np.array([p.begin for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    """The worker's codec; what it kept for an earlier stage is dropped."""
+    return kept(f"codec {path}", lambda: Codec(path))
 
 
 ENCODED = T.StructType(
@@ -259,4 +258,4 @@ def encode_documents(docs: DataFrame, model_path: str, columns: list[str] | None
             rows |= {"doc_id": batch.column("doc_id").cast(pa.int64()), "ids": lists, "decoded": decoded}
             yield as_batch(schema, [rows[n] for n in schema.names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, wanted)
+    return docs.select("doc_id", "text").transform(in_arrow, run, wanted)

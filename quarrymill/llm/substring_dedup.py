@@ -4,8 +4,8 @@ A window is `size` consecutive words of one document. Pass 1: every partition sk
 window, as cells of a hash range; the sketches merge, block by block, into one map of the cells that two or more
 documents touch. It overestimates, so a window it calls single is single. Pass 2: only windows whose cell is called
 repeated are grouped exactly, by a 96-bit key. Before that grouping each task settles, from its own documents, every
-window that has a smaller document in the same task, so one key never has more rows than there are tasks (times its
-repeats inside one document). A window falls to the smallest doc_id that holds it; elsewhere its words are removed.
+window that has a smaller document among the FLUSH windows it holds, and packs a window's repeats inside one text into
+one row; so one key has at most a row for each FLUSH windows of the corpus, however often it stands there. A window falls to the smallest doc_id that holds it; elsewhere its words are removed.
 
 The sketch has `cells_per_window` cells for each window up to `max_sketch_bytes` bits of map; beyond that more
 single windows pass the filter, which costs shuffle and never changes the result.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_batch, null_free, slices, utf8_rows
+from .common import as_batch, in_arrow, kept, null_free, slices, utf8_rows
 from .words import WordHashes, batch_windows, window_hashes
 
 BLOCK_BITS = 20
 #: Windows that a task gathers before it sketches or groups them; bounds its memory.
 FLUSH = 1_000_000
+#: Rows of an Arrow batch that a task returns.
+OUT_ROWS = 100_000
 #: A word with a sixth of a separator more: bytes of text for each window when the sketch is sized.
 BYTES_A_WINDOW = 6
 
@@ -90,7 +93,7 @@ def partition_sketches(docs: DataFrame, size: int, bits: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "block int, cells binary")
+    return docs.select("text").transform(in_arrow, run, "block int, cells binary")
 
 
 def merge_sketches(sketches: DataFrame, partitions: int = 64) -> DataFrame:
@@ -110,22 +113,16 @@ def merge_sketches(sketches: DataFrame, partitions: int = 64) -> DataFrame:
         for block, seen in counts.items():
             yield as_batch(schema, [[block], [zlib.compress(np.packbits(seen >= 2).tobytes(), 1)]])
 
-    return sketches.repartition(partitions, "block").mapInArrow(run, "block int, repeated binary")
+    return sketches.repartition(partitions, "block").transform(in_arrow, run, "block int, repeated binary")
 
 
-_MAPS: dict[str, np.ndarray] = {}
-
-
-def _bit_map(name: str, bits: int, blocks: dict[int, bytes]) -> np.ndarray:
-    """The merged sketch, unpacked once in each worker process."""
-    if name not in _MAPS:
-        _MAPS.clear()
-        out = np.zeros((1 << bits) // 8, np.uint8)
-        width = (1 << BLOCK_BITS) // 8
-        for block, data in blocks.items():
-            out[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(data), np.uint8)
-        _MAPS[name] = out
-    return _MAPS[name]
+def _bit_map(bits: int, blocks: dict[int, bytes]) -> np.ndarray:
+    """The merged sketch, unpacked."""
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    width = (1 << BLOCK_BITS) // 8
+    for block, data in blocks.items():
+        out[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(data), np.uint8)
+    return out
 
 
 def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8, max_sketch_bytes: int = 128 << 20) -> DataFrame:
@@ -140,26 +137,24 @@ def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8,
     bits = sketch_bits(total, cells_per_window, max_sketch_bytes)
     merged = merge_sketches(partition_sketches(docs, size, bits)).collect()  # at most max_sketch_bytes
     sketch = spark.sparkContext.broadcast({r.block: bytes(r.repeated) for r in merged})
-    name = xxhash.xxh64_hexdigest(b"".join(r.repeated for r in sorted(merged, key=lambda r: r.block))) + str(bits)
-    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("settled", pa.binary())])
+    name = f"repeated {uuid.uuid4().hex}"
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("more", pa.binary()), ("settled", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, count = WordHashes(), [], 0
-        bit_map = _bit_map(name, bits, sketch.value)
+        bit_map = kept(name, lambda: _bit_map(bits, sketch.value))
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, g, ids, at = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(h, kind="stable")
-            h, g, ids, at = h[order], g[order], ids[order], at[order]
+            held.clear()
             if not len(h):
                 return
+            order = np.argsort(h, kind="stable")
+            h, g, ids, at = h[order], g[order], ids[order], at[order]
             first = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
             least = np.minimum.reduceat(ids, np.flatnonzero(first))[np.cumsum(first) - 1]
             open_ = ids == least
-            # in the documents' order: neighbours then share bytes, and the shuffle's compression finds them
-            order = np.flatnonzero(open_)
-            order = order[np.lexsort((at[order], ids[order]))]
-            yield as_batch(schema, [h[order].view(np.int64), g[order].view(np.int32), ids[order], at[order], pa.nulls(len(order), pa.binary())])
+            yield from _open_rows(schema, h[open_], g[open_], ids[open_], at[open_])
             ids, at = ids[~open_], at[~open_]
             if len(ids):
                 order = np.lexsort((at, ids))
@@ -170,7 +165,7 @@ def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8,
                 parts = [x.astype("<u4").tobytes() for x in np.split(at & 0xFFFFFFFF, cuts)]
                 # a key that no window shares, so these rows pass the grouping alone
                 spare = np.frombuffer(b"".join(xxhash.xxh64_digest(p + i.tobytes()) for p, i in zip(parts, ids[lead])), np.int64)
-                yield as_batch(schema, [spare, np.zeros(len(parts), np.int32), ids[lead], key[lead] << 32, parts])
+                yield as_batch(schema, [spare, np.zeros(len(parts), np.int32), ids[lead], key[lead] << 32, pa.nulls(len(parts), pa.binary()), parts])
 
         for batch in slices(batches, 500):
             raw = utf8_rows(batch.column("text"))
@@ -187,15 +182,36 @@ def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8,
                     count += len(hit)
             if count >= FLUSH:
                 yield from flush()
-                held, count = [], 0
+                count = 0
         if held:
             yield from flush()
 
-    rows = docs.withColumn("text_key", _text_key("text")).mapInArrow(run, "h long, g int, doc_id long, at long, settled binary")
+    rows = docs.withColumn("text_key", _text_key("text")).transform(in_arrow, run, "h long, g int, doc_id long, at long, more binary, settled binary")
     same = Window.partitionBy("h", "g")
     found = rows.withColumn("least", F.min("doc_id").over(same)).where("settled is not null or least < doc_id")
     start = F.when(F.col("settled").isNull(), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    return found.groupBy("doc_id", F.shiftright("at", 32).alias("text_key")).agg(F.collect_list(start).alias("starts"), F.collect_list("settled").alias("settled"))
+    several = F.coalesce("settled", "more")
+    return found.groupBy("doc_id", F.shiftright("at", 32).alias("text_key")).agg(F.collect_list(start).alias("starts"), F.collect_list(several).alias("settled"))
+
+
+def _open_rows(schema: pa.Schema, h: np.ndarray, g: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Undecided windows, sorted by h: one row for each window of a text; `more` has the starts of its repeats there.
+
+    Rows go out in the documents' order: neighbours then share bytes, and the shuffle's compression finds them.
+    """
+    if not len(h):
+        return
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]) | (at[1:] >> 32 != at[:-1] >> 32)))
+    lead = np.flatnonzero(new)
+    size = np.diff(lead, append=len(h))
+    for single in (True, False):
+        chosen = np.flatnonzero((size == 1) == single)
+        chosen = chosen[np.lexsort((at[lead[chosen]], ids[lead[chosen]]))]
+        for k in range(0, len(chosen), OUT_ROWS):
+            part = chosen[k : k + OUT_ROWS]
+            row = lead[part]
+            more = pa.nulls(len(part), pa.binary()) if single else [(at[a + 1 : a + n] & 0xFFFFFFFF).astype("<u4").tobytes() for a, n in zip(row.tolist(), size[part].tolist())]
+            yield as_batch(schema, [h[row].view(np.int64), g[row].view(np.int32), ids[row], at[row], more, pa.nulls(len(part), pa.binary())])
 
 
 def _text_key(text: str):
@@ -225,7 +241,7 @@ def _apply(docs: DataFrame, found: DataFrame, made: T.StructType, fill: Callable
             new = fill(batch, utf8_rows(batch.column("text")), starts)
             yield as_batch(schema, [new[n] if n in new else batch.column(n).cast(schema.field(n).type) for n in schema.names])
 
-    return joined.mapInArrow(run, made)
+    return joined.transform(in_arrow, run, made)
 
 
 def kept_digests(docs: DataFrame, size: int = 13, **sketch: int) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from .common import mix64
 
 #: Words remembered by one worker before it forgets them all; a bound on memory, not on the result.
-WORD_MEMO = 400_000
+WORD_MEMO = 200_000
 #: Odd multipliers of the two window hashes.
 ROLL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
