@@ -21,6 +21,7 @@ doc_id get a null component and link with nothing; repeated rows each give a row
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, materialise, null_free, slices, utf8_rows
+from .common import as_batch, in_arrow, kept, materialise, null_free, slices, spread_join, utf8_rows
 from .components import components
 from .substring_dedup import BLOCK_BITS, _planes, _unplaned, sketch_bits
 from .words import WordHashes, list_windows, window_hashes
@@ -39,8 +40,11 @@ from .words import WordHashes, list_windows, window_hashes
 FLUSH = 1_000_000
 #: A region is joined in one task up to so many members and shingles; larger ones are dealt out.
 TASK_MEMBERS, TASK_SHINGLES = 1000, 4_000_000
-#: Members of a region that are compared directly.
-LEAF = 200
+#: Members of a region that are compared directly; a larger region is divided by pivots.
+LEAF = 8
+#: Members of a block, in regions that pivots can't divide.
+BLOCK = 200
+#: Pivots of a region, at most.
 PIVOTS = 16
 #: Regions of at most so many classes pair them, by size and signature; in larger ones all go with the least.
 PAIRED = 12
@@ -95,7 +99,7 @@ def _document_sketches(docs: DataFrame, size: int, bits: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "block int, cells binary")
+    return docs.select("text").transform(in_arrow, run, "block int, cells binary")
 
 
 def _merge_levels(sketches: DataFrame, partitions: int = 64) -> DataFrame:
@@ -116,20 +120,14 @@ def _merge_levels(sketches: DataFrame, partitions: int = 64) -> DataFrame:
             packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
             yield as_batch(schema, [[block], [zlib.compress(packed.tobytes(), 1)]])
 
-    return sketches.repartition(partitions, "block").mapInArrow(run, "block int, levels binary")
+    return sketches.repartition(partitions, "block").transform(in_arrow, run, "block int, levels binary")
 
 
-_LEVELS: dict[str, np.ndarray] = {}
-
-
-def _level_map(name: str, bits: int, blocks: dict[int, bytes]) -> np.ndarray:
-    if name not in _LEVELS:
-        _LEVELS.clear()
-        out, width = np.zeros((1 << bits) // 4, np.uint8), (1 << BLOCK_BITS) // 4
-        for block, data in blocks.items():
-            out[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(data), np.uint8)
-        _LEVELS[name] = out
-    return _LEVELS[name]
+def _level_map(bits: int, blocks: dict[int, bytes]) -> np.ndarray:
+    out, width = np.zeros((1 << bits) // 4, np.uint8), (1 << BLOCK_BITS) // 4
+    for block, data in blocks.items():
+        out[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(data), np.uint8)
+    return out
 
 
 def parity_signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +151,11 @@ def class_rows(docs: DataFrame, size: int, threshold: Fraction, max_sketch_bytes
     bits = sketch_bits(total, 2, max_sketch_bytes // 2)  # two bits a cell
     merged = _merge_levels(_document_sketches(docs, size, bits)).collect()  # at most max_sketch_bytes
     sent = spark.sparkContext.broadcast({r.block: bytes(r.levels) for r in merged})
-    name = xxhash.xxh64_hexdigest(b"".join(r.levels for r in sorted(merged, key=lambda r: r.block))) + str(bits)
+    name = f"levels {uuid.uuid4().hex}"
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("regions", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, levels = WordHashes(), _level_map(name, bits, sent.value)
+        hashes, levels = WordHashes(), kept(name, lambda: _level_map(bits, sent.value))
         for batch in slices(batches, 500):
             doc, h = shingle_sets(hashes, utf8_rows(batch.column("text")), size)
             cell = h >> np.uint64(64 - bits)
@@ -180,7 +178,10 @@ def class_rows(docs: DataFrame, size: int, threshold: Fraction, max_sketch_bytes
                 pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(longs, pa.int64())),
             ])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, regions array<long>, signature array<long>")
+    rows = docs.select("doc_id", "text").transform(in_arrow, run, "doc_id long, n_shingles long, k1 long, k2 long, regions array<long>, signature array<long>")
+    rows = materialise(rows, "jaccard-rows")
+    sent.destroy()  # the rows are kept, so no task needs the map again
+    return rows
 
 
 # ---- exact joins
@@ -241,25 +242,27 @@ def join_region(table: SetTable, members: np.ndarray, radius: float) -> Iterator
         i, j = np.nonzero(np.triu(table.linked(members, members), 1))
         yield members[i], members[j]
         return
-    pivots = members[np.linspace(0, len(members) - 1, PIVOTS).astype(int)]
+    n = min(PIVOTS, -(-len(members) // LEAF) + 1)
+    pivots = members[np.linspace(0, len(members) - 1, n).astype(int)]
     lies = voronoi(table.distances(members, pivots), radius)[1]
     if lies.sum() > 2 * len(members):  # pivots can't divide it: blocks against blocks
-        blocks = np.array_split(members, -(-len(members) // LEAF))
+        blocks = np.array_split(members, -(-len(members) // BLOCK))
         for k, a in enumerate(blocks):
-            yield from join_region(table, a, radius)
+            i, j = np.nonzero(np.triu(table.linked(a, a), 1))
+            yield a[i], a[j]
             for b in blocks[k + 1 :]:
                 i, j = np.nonzero(table.linked(a, b))
                 yield a[i], b[j]
         return
-    for p in range(PIVOTS):
+    for p in range(n):
         inside = members[lies[:, p]]
         if len(inside) > 1:
             yield from join_region(table, inside, radius) if len(inside) < len(members) else _flat(table, members)
 
 
 def _flat(table: SetTable, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for k in range(0, len(members), LEAF):
-        i, j = np.nonzero(table.linked(members[k : k + LEAF], members))
+    for k in range(0, len(members), BLOCK):
+        i, j = np.nonzero(table.linked(members[k : k + BLOCK], members))
         keep = j > i + k
         yield members[i[keep] + k], members[j[keep]]
 
@@ -328,7 +331,7 @@ def _join_in_tasks(rows: DataFrame, size: int, threshold: Fraction) -> DataFrame
         if held:
             yield from close()
 
-    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, _JOINED)
+    return rows.repartition("region").sortWithinPartitions("region").transform(in_arrow, run, _JOINED)
 
 
 def _deal_by_pivots(rows: DataFrame, size: int, threshold: Fraction) -> DataFrame:
@@ -360,7 +363,7 @@ def _deal_by_pivots(rows: DataFrame, size: int, threshold: Fraction) -> DataFram
             if out:
                 yield as_batch(schema, list(zip(*out)))
 
-    return rows.join(pivots, "region").select("region", "home", "cid", "weight", "text", "pivots").mapInArrow(run, _REGION)
+    return rows.join(pivots, "region").select("region", "home", "cid", "weight", "text", "pivots").transform(in_arrow, run, _REGION)
 
 
 def _deal_by_blocks(rows: DataFrame) -> DataFrame:
@@ -390,7 +393,7 @@ def near_classes(classes: DataFrame, t: Fraction) -> DataFrame:
     num, den = t.numerator, t.denominator
     regioned = classes.where(F.size("regions") > 0).select("cid", F.col("n_shingles").alias("n"), F.explode("regions").alias("r"))
     shared = regioned.groupBy("r").agg(F.min("cid").alias("least"), F.max("cid").alias("most"), F.count(F.lit(1)).alias("c")).where("least < most").select("r", "c")
-    rows = materialise(regioned.join(shared, "r"), "jaccard-shared")
+    rows = materialise(spread_join(regioned, materialise(shared, "jaccard-regions-shared"), ["r"], "c", F.col("cid")), "jaccard-shared")
     few = rows.where(F.col("c") <= PAIRED).select("r", "cid", "n")
     a, b = few.toDF("r", "u", "nu"), few.toDF("r", "v", "nv")
     fits = (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num) & (F.col("u") < F.col("v"))
@@ -404,15 +407,16 @@ def near_classes(classes: DataFrame, t: Fraction) -> DataFrame:
         return tested  # equal sets are one class
     window = F.floor(F.log("n") / (math.log(den / num) * 1.0001))
     many = rows.where(F.col("c") > PAIRED).select("cid", "r", F.explode(F.array(window, window + 1)).alias("w"))
-    least = many.groupBy("r", "w").agg(F.min("cid").alias("v"), F.max("cid").alias("most")).where("v < most").select("r", "w", "v")
-    return tested.unionByName(many.join(least, ["r", "w"]).where("cid <> v").select(F.col("cid").alias("u"), "v"))
+    least = many.groupBy("r", "w").agg(F.min("cid").alias("v"), F.max("cid").alias("most"), F.count(F.lit(1)).alias("members")).where("v < most").drop("most")
+    met = spread_join(many, materialise(least, "jaccard-least"), ["r", "w"], "members", F.col("cid"))
+    return tested.unionByName(met.where("cid <> v").select(F.col("cid").alias("u"), "v"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, threshold: str | Fraction = "0.9", **sketch: int) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked to it)."""
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = materialise(class_rows(docs, size, t, **sketch), "jaccard-rows")
+    made = class_rows(docs, size, t, **sketch)
     real = made.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("regions").alias("regions"), F.first("signature").alias("signature")), "jaccard-classes")
     clusters = components(near_classes(classes, t), "jaccard-clusters")
