@@ -1,20 +1,26 @@
 """Exact top-k search with a vector-approximation file.
 
-Every vector becomes integers floor(scale * x) and, from those, one byte per component: the cell it lies in. A
-query's score against all vectors of a cell box is bounded from above by one matrix product over cell centres plus a
-product of half widths; the negated bound is the lower bound of the distance -score. A task scans cells only,
-orders the survivors by that bound, and reads exact vectors in this order until the k-th result found is certain to
-beat every vector not read. The k-th score of a task carries over from block to block. Each task sends at most k
-rows for each query; these meet in a grouped top-k.
+A vector's integers are floor(scale * x). The approximation file is a table of blocks: up to `scan_block` vectors of one
+length as one byte a component, the number of the cell it lies in (2**bits equal intervals between the block's least
+and greatest value of the component). For each block of queries there are two steps.
+
+Scan: tasks stream the approximation file, and nothing else. One matrix product over cell centres and one over half
+widths bound each query's scores from both sides (the negated upper bound is the lower bound of the distance -score).
+A vector stays a candidate while its upper bound reaches the k-th greatest lower bound, in its task and then overall.
+
+Refine: exact vectors of candidates alone are read, by row number, and go to their query in lower-bound order of the
+distance; reading a query's exact vectors stops as soon as the k-th result is certain to beat every bound not read.
 
 Queries go out in blocks of `query_block` (a bounded broadcast each); a table of queries of any size is a sequence of
-such blocks. Copies of one vector beyond the k + 1 smallest ids can't be in any result (ties go to the smaller id)
-and are settled before the scan, so a vector that a third of all rows share costs k + 1 rows.
+such blocks. Candidates of a block are broadcast up to BROADCAST_CANDIDATES rows, and meet the vectors by a shuffle
+beyond. Copies of one vector beyond the k + 1 smallest ids can't be in any result (ties go to the smaller id) and are
+settled before the scan, so a vector that a third of all rows share costs k + 1 rows.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, as query or as
-candidate; so do rows without an id; only vectors of equal length are compared; ties go to the smaller vec_id; a
-query finds all candidates if there are fewer than k; an id that is repeated appears once for each row (a query's own
-rows are never its candidates); extra columns are ignored; an empty table gives an empty result. |scale * x| must stay under 2^31.
+candidate; so do rows without an id; every finite component takes part, and products are exact at any size (scores are
+ranked exactly and returned as the nearest long); only vectors of equal length are compared; ties go to the smaller
+vec_id; a query finds all candidates if there are fewer than k; an id that is repeated appears once for each row (a
+query's own rows are never its candidates); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,125 +32,222 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, materialise, scratch_path
+from .common import as_batch, in_arrow, materialise, scratch_path
 
-RESULT = "query_id long, vec_id long, score long"
-_RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+RESULT = "query_id long, rank int, vec_id long, score long"
+_RESULT = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_CANDIDATE = pa.schema([("q", pa.int32()), ("rid", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+_BLOCK = pa.schema([("d", pa.int32()), ("rids", pa.binary()), ("ids", pa.binary()), ("least", pa.binary()), ("width", pa.binary()), ("cells", pa.binary())])
+#: Rows (five numbers each) of a query block's candidates that go to every task.
+BROADCAST_CANDIDATES = 1_000_000
+#: Candidates that a task gathers before it drops those out of reach.
+HELD = 1_000_000
+LONG = (1 << 63) - 1
 
 
-def integer_vectors(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
-    """Rows (vec_id, ints) of the vectors that take part."""
+def sound_vectors(embeddings: DataFrame) -> DataFrame:
+    """Rows (vec_id, vector) of the vectors that take part."""
     vector = F.col("embedding").cast("array<double>")
     sound = F.col("vec_id").isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    ints = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x).cast("int"))
-    return embeddings.where(F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("ints"))
+    return embeddings.where(F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
 
 
 def _least_copies(vectors: DataFrame, copies: int) -> DataFrame:
     """vectors without the copies of one vector that `copies` smaller ids precede."""
-    same = Window.partitionBy(F.xxhash64("ints"), F.hash("ints"), "ints").orderBy("vec_id")
+    same = Window.partitionBy("vector").orderBy("vec_id")
     return vectors.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= copies).drop("copy")
 
 
-class VaFile:
-    """Cells of a block of integer vectors: per component 2**bits equal intervals between its least and greatest value."""
-
-    def __init__(self, vectors: np.ndarray, bits: int):
-        self.low = vectors.min(0).astype(np.int64)
-        spread = vectors.max(0) - self.low
-        self.shift = np.maximum(0, np.ceil(np.log2(np.maximum(spread, 0) + 1)).astype(np.int64) - bits)
-        self.cells = ((vectors - self.low) >> self.shift).astype(np.uint8 if bits <= 8 else np.uint16)
-
-    def upper_bounds(self, queries: np.ndarray) -> np.ndarray:
-        """queries x vectors: no vector of the cell box scores higher."""
-        half = ((1 << self.shift) - 1) / 2.0
-        centres = self.low + self.cells * np.float64(1 << self.shift) + half
-        return queries @ centres.T + (np.abs(queries) @ half)[:, None]
-
-
-def scan(queries: np.ndarray, query_ids: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, vector ids, scores) of the best k of all blocks for each query."""
-    n, exact = len(queries), queries.astype(np.float64)
-    safe = 2.0**52
-    none = -np.iinfo(np.int64).max  # can be negated
-    best_score = np.full((n, k), none)
-    best_id = np.full((n, k), np.iinfo(np.int64).max)
-    for ids, vectors in blocks:
-        va = VaFile(vectors, bits)
-        bound = va.upper_bounds(exact)
-        slack = 1e-9 * np.abs(bound).max(initial=0) + 1e-6
-        if np.abs(vectors).max() * np.abs(queries).max() * vectors.shape[1] < safe:
-            dot = lambda q, rows: (vectors[rows].astype(np.float64) @ exact[q]).astype(np.int64)  # noqa: E731, B023
-        else:
-            dot = lambda q, rows: vectors[rows].astype(np.int64) @ queries[q].astype(np.int64)  # noqa: E731, B023
-        for q in np.flatnonzero((bound + slack >= best_score[:, -1:]).any(1)):
-            rows = np.flatnonzero(bound[q] + slack >= best_score[q, -1])
-            rows = rows[np.argsort(-bound[q, rows], kind="stable")]
-            rows = rows[ids[rows] != query_ids[q]]
-            at, step = 0, max(k, 16)
-            while at < len(rows) and bound[q, rows[at]] + slack >= best_score[q, -1]:
-                part = rows[at : at + step]
-                score = np.concatenate((best_score[q], dot(q, part)))
-                vec = np.concatenate((best_id[q], ids[part]))
-                order = np.lexsort((vec, -score))[:k]
-                best_score[q], best_id[q] = score[order], vec[order]
-                at, step = at + step, step * 2
-    found = best_score > none
-    yield np.repeat(query_ids, found.sum(1)), best_id[found], best_score[found]
-
-
-def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, matrix) for each vector length in the column."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def scaled(vectors: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as doubles; infinite where a finite x leaves the doubles."""
+    with np.errstate(over="ignore"):
+        return np.floor(vectors * float(scale))
+
+
+def exact_scores(query: np.ndarray, vectors: np.ndarray, scale: float) -> list[int]:
+    """Integer inner products of a query with vectors (one a row), whatever their size."""
+    q, v = scaled(query, scale), scaled(vectors, scale)
+    most = float(np.abs(q).max()) * float(np.abs(v).max(initial=0)) * len(q)
+    if most < 2.0**52:
+        return (v @ q).astype(np.int64).tolist()
+    whole = lambda x, y: [int(b) if np.isfinite(b) else int(a) * int(scale) for a, b in zip(x.tolist(), y.tolist())]
+    left = whole(query, q)
+    return [sum(a * b for a, b in zip(left, whole(x, y))) for x, y in zip(vectors, v)]
+
+
+# ---- the approximation file
+
+
+def cells_of(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least value, cell width, cells) by component of integer vectors, one a row."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        least = x.min(0)
+        width = (x.max(0) - least) / (1 << bits)
+        cells = np.where(width > 0, (x - least) / width, 0)
+    return least, width, np.nan_to_num(cells).clip(0, (1 << bits) - 1).astype(np.uint8)
+
+
+def bounds(queries: np.ndarray, least: np.ndarray, width: np.ndarray, cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper bounds) of all scores, queries x vectors. What doubles can't hold is bounded by infinities."""
+    size = np.abs(queries)
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = queries @ (least + (cells + 0.5) * width).T
+        # half a cell, and what rounding can take off
+        half = size @ (width / 2) + 1e-9 * (size @ np.maximum(np.abs(least), np.abs(least + width * (1 << bits)))) + 1e-6
+        low, high = middle - half[:, None], middle + half[:, None]
+    low[~np.isfinite(low)] = -np.inf
+    high[~np.isfinite(high)] = np.inf
+    return low, high
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) for each vector length in a list column."""
     lengths = np.diff(np.asarray(column.offsets))
-    flat = np.asarray(column.values)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
+    flat = np.asarray(column.values, np.float64)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
     starts = np.cumsum(lengths) - lengths
-    out = []
     for d in np.unique(lengths):
         rows = np.flatnonzero(lengths == d)
-        out.append((rows, flat[starts[rows][:, None] + np.arange(d)].astype(np.int64)))
-    return out
-
-
-def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, bits: int = 8, query_block: int = 4096, scan_block: int = 4000) -> DataFrame:
+        yield rows, flat[starts[rows][:, None] + np.arange(d)]
+
+
+def approximation_file(vectors: DataFrame, scale: float, bits: int, scan_block: int) -> DataFrame:
+    """Rows of _BLOCK for rows (rid, vec_id, vector)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(parts: list) -> pa.RecordBatch:
+            rids, ids, x = (np.concatenate(y) for y in zip(*parts))
+            least, width, cells = cells_of(scaled(x, scale), bits)
+            return as_batch(_BLOCK, [[x.shape[1]], *([y.tobytes()] for y in (rids, ids, least, width, cells))])
+
+        for batch in batches:
+            rids, ids = (np.asarray(batch.column(n).to_numpy(zero_copy_only=False), np.int64) for n in ("rid", "vec_id"))
+            for rows, x in _by_length(batch.column("vector")):
+                for at in range(0, len(rows), scan_block):
+                    part = rows[at : at + scan_block]
+                    parts = held.setdefault(x.shape[1], [])
+                    if sum(len(y[0]) for y in parts) + len(part) > scan_block:
+                        yield block(held.pop(x.shape[1]))
+                        parts = held.setdefault(x.shape[1], [])
+                    parts.append((rids[part], ids[part], x[at : at + scan_block]))
+            if len(held) > 64:  # many lengths: don't hold a block of each
+                yield from map(block, held.values())
+                held = {}
+        yield from map(block, held.values())
+
+    return vectors.transform(in_arrow, run, "d int, rids binary, ids binary, least binary, width binary, cells binary")
+
+
+class Candidates:
+    """A task's candidates of queries of one length: numbers, row numbers and bounds, kept within reach of the k-th lower bound."""
+
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, bits: int):
+        self.numbers, self.ids, self.queries, self.k, self.bits = numbers, ids, queries, k, bits
+        self.best = np.full((len(ids), k), -np.inf)
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.count = 0
+
+    def scan(self, rids: np.ndarray, ids: np.ndarray, least: np.ndarray, width: np.ndarray, cells: np.ndarray) -> None:
+        low, high = bounds(self.queries, least, width, cells, self.bits)
+        own = self.ids[:, None] == ids[None]
+        low[own] = high[own] = -np.inf
+        few = np.partition(low, max(0, low.shape[1] - self.k), axis=1)[:, -self.k :]
+        both = np.concatenate((self.best, few), 1)
+        self.best = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+        q, v = np.nonzero((high >= self.best.min(1)[:, None]) & ~own)
+        self.rows.append((q, rids[v], low[q, v], high[q, v]))
+        self.count += len(q)
+        if self.count > HELD:
+            self.rows = [self.within()]
+            self.count = len(self.rows[0][0])
+
+    def within(self) -> tuple[np.ndarray, ...]:
+        q, rids, low, high = (np.concatenate(x) for x in zip(*self.rows))
+        keep = high >= self.best.min(1)[q]
+        return q[keep], rids[keep], low[keep], high[keep]
+
+
+def _scan(file: DataFrame, sent, k: int, bits: int) -> DataFrame:
+    """Rows (q, rid, low, high) that may be among the best k of query q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, Candidates] = {}
+        for batch in batches:
+            for d, rids, ids, least, width, cells in zip(*(c.to_pylist() for c in batch.columns)):
+                if d in sent.value:
+                    if d not in found:
+                        found[d] = Candidates(*sent.value[d][:2], sent.value[d][3], k, bits)
+                    at = lambda x, t: np.frombuffer(x, t)
+                    found[d].scan(at(rids, np.int64), at(ids, np.int64), at(least, float), at(width, float), at(cells, np.uint8).reshape(-1, d))
+        for c in found.values():
+            q, rids, low, high = c.within()
+            yield as_batch(_CANDIDATE, [c.numbers[q].astype(np.int32), rids, low, high])
+
+    near = file.transform(in_arrow, run, "q int, rid long, low double, high double")
+    # a task sends some k rows for each query; a candidate below the k-th lower bound of all tasks is out
+    whole = Window.partitionBy("q").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return near.withColumn("kth", F.nth_value("low", k).over(whole)).where("kth is null or high >= kth").drop("kth", "low")
+
+
+def _refine(near: DataFrame, sent, k: int, scale: float) -> DataFrame:
+    """Rows (q, high, vec_id, vector) to the best k of each query, vectors taken in the order of their bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = {int(q): (int(i), v) for numbers, ids, vectors, _ in sent.value.values() for q, i, v in zip(numbers, ids, vectors)}
+        now, best = None, []
+
+        def close() -> pa.RecordBatch:
+            return as_batch(_RESULT, [[queries[now][0]] * len(best), range(1, len(best) + 1), [i for _, i in best], [max(-LONG, min(LONG, -s)) for s, _ in best]])
+
+        for batch in batches:
+            q, high, ids = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("q", "high", "vec_id"))
+            vectors = batch.column("vector")
+            for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1) if len(q) else []:
+                if now != int(q[part[0]]):
+                    if best:
+                        yield close()
+                    now, best = int(q[part[0]]), []
+                for at in range(0, len(part), 4 * k):
+                    some = part[at : at + 4 * k]
+                    if len(best) == k and float(high[some[0]]) < -best[-1][0]:
+                        break  # certain: no bound that is left reaches the k-th score
+                    rows = np.array(vectors.slice(int(some[0]), len(some)).to_pylist(), float)
+                    best = sorted(best + [(-s, int(i)) for s, i in zip(exact_scores(queries[now][1], rows, scale), ids[some])])[:k]
+        if best:
+            yield close()
+
+    return near.repartition("q").sortWithinPartitions("q", F.desc("high"), "vec_id").transform(in_arrow, run, RESULT)
+
+
+def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, bits: int = 8, query_block: int = 4096, scan_block: int = 1000) -> DataFrame:
     """Per query: query_id, rank from 1, vec_id, score: its k highest integer inner products."""
     spark = embeddings.sparkSession
-    vectors = integer_vectors(embeddings, scale)
+    vectors = sound_vectors(embeddings)
     queries = vectors.where(is_query)
-    candidates = materialise(_least_copies(vectors, k + 1), "va-vectors")
-    ids = [r[0] for r in queries.agg(F.min("vec_id")).collect()]
-    if ids[0] is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # blocks by rank of the query ids, so each is bounded however many there are
     total = queries.count()
+    if not total:
+        return spark.createDataFrame([], RESULT)
+    exact = materialise(_least_copies(vectors, k + 1).withColumn("rid", F.monotonically_increasing_id()), "va-vectors")
+    file = materialise(approximation_file(exact.select("rid", "vec_id", "vector"), scale, bits, scan_block), "va-file")
+    # blocks by hash of the query ids, so each is bounded however many there are
     parts = -(-total // query_block)
     blocked = queries.distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    found, kept = None, scratch_path(spark, "va-found")
+    kept = scratch_path(spark, "va-found")
     for block in range(parts):
-        rows = blocked.where(F.col("block") == block).select("vec_id", "ints").orderBy("vec_id").collect()
+        rows = blocked.where(F.col("block") == block).select("vec_id", "vector").orderBy("vec_id").collect()
         by_length: dict[int, list] = {}
-        for r in rows:
-            by_length.setdefault(len(r.ints), []).append(r)
-        sent = spark.sparkContext.broadcast({d: (np.array([r.vec_id for r in x], np.int64), np.array([r.ints for r in x], np.int64)) for d, x in by_length.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            queue: dict[int, list] = {}
-            for batch in batches:
-                vec_ids = np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False), np.int64)
-                for numbers, matrix in _matrix(batch.column("ints")):
-                    if matrix.shape[1] in sent.value:
-                        queue.setdefault(matrix.shape[1], []).append((vec_ids[numbers], matrix))
-            for d, held in queue.items():
-                query_ids, query_rows = sent.value[d]
-                blocks = ((v[at : at + scan_block], m[at : at + scan_block]) for v, m in held for at in range(0, len(v), scan_block))
-                for out in scan(query_rows, query_ids, blocks, k, bits):
-                    yield as_batch(_RESULT, list(out))
-
-        part = candidates.mapInArrow(run, RESULT)
-        if parts > 1:  # each block's rows are kept as they come, so the plan stays short however many blocks there are
-            part.write.parquet(f"{kept}/block={block}")
-        found = part if parts == 1 else None
-    if found is None:
-        found = spark.read.schema(RESULT).parquet(kept)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ranked).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        for n, r in enumerate(rows):
+            by_length.setdefault(len(r.vector), []).append((n, r.vec_id, r.vector))
+        told = {}
+        for d, x in by_length.items():
+            numbers, ids, exact_queries = (np.array(y, t) for y, t in zip(zip(*x), (np.int32, np.int64, float)))
+            told[d] = (numbers, ids, exact_queries, scaled(exact_queries, scale))
+        sent = spark.sparkContext.broadcast(told)
+        near = materialise(_scan(file, sent, k, bits), "va-near")
+        if near.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES:
+            near = F.broadcast(near)
+        part = _refine(exact.join(near, "rid").select("q", "high", "vec_id", "vector"), sent, k, scale)
+        part.write.parquet(f"{kept}/block={block}")  # kept as they come, so the plan stays short however many blocks there are
+        sent.destroy()
+    return spark.read.schema(RESULT).parquet(kept).select(*_RESULT.names)
