@@ -3,17 +3,25 @@
 An ARC file opens with a version block that names the header fields of its version; every record is one header
 line, as many bytes as the line declares, and a line feed. The converter parses lines by their version, takes
 content by declared length, and synthesises the WARC record id (name-based, so a retry writes the same record),
-date, type and digests. Archives are written by Spark's text writer with the record end as line separator, so its
-commit protocol covers lost executors, and are read back as whole files whose records are cut by Content-Length.
+date, type and digests. Heads and payloads stay bytes from end to end, whatever their encoding.
+
+Records are converted once and kept. Revisits are found from digests, ids and targets alone; these meet the records by
+a broadcast of at most BROADCAST_DIGESTS rows, or else by a join that spreads frequent digests. Each row of an archive
+table is one archive: a warcinfo record and records up to archive_bytes, a gzip member each. Spark's text writer
+writes one archive a file, so its commit protocol covers lost executors. It must write a separator after each row: a
+gzip member ends in the highest byte of its length, which is 0 below 16 MB, and this byte is the separator (longer
+records span several members). Archives are read back as files whose records are cut by Content-Length.
 
 Defined results: null html is an empty payload; a null or blank url becomes `urn:x-unknown`; null ids are written
 as `page-null` and come back null; of equal payloads of at least `min_revisit_bytes` the smallest non-null page_id
-is the response (rows sharing that id all are); extra columns are ignored; an empty table gives an empty result.
+is the response (rows sharing that id all are); content without an HTTP head becomes a resource record; header lines
+that aren't UTF-8 are read as Latin-1; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -22,18 +30,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_batch, null_free, scratch_path, slices, utf8_rows
+from .common import as_batch, in_arrow, materialise, scratch_path, slices, spread_join, utf8_rows
 
 #: The header fields of the two ARC versions, in the order the version block lists them.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
-END = "\r\n\r\n"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Digests (five short values each) that go to every task.
+BROADCAST_DIGESTS = 200_000
+#: Bytes of a gzip member at most: the highest byte of its length is 0.
+MEMBER_BYTES = (1 << 24) - 1
 #: Namespace of the record ids synthesised here.
 RECORD_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:quarrymill:arc-record")
 UNKNOWN_URL = "urn:x-unknown"
@@ -43,6 +56,13 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def decoded(line: bytes) -> str:
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 # ---- ARC
 
 
@@ -74,7 +94,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             at += 1
             continue
         end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        line = decoded(data[at:end]).rstrip("\r")
         if fields is None and not line.startswith("filedesc://"):
             raise ValueError(f"no version block before {line[:80]!r}")
         values = line.split(" ")
@@ -83,7 +103,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         if len(content) != size:
             raise ValueError(f"{line[:80]!r} declares {size} bytes, {len(content)} are left")
         if fields is None:
-            block = content.decode("utf-8", "replace").splitlines()
+            block = decoded(content).splitlines()
             version = int(block[0].split()[0])
             fields = block[1].split() if len(block) > 1 else ARC_FIELDS[version]
         else:
@@ -117,19 +137,19 @@ CONVERTED = T.StructType(
         T.StructField("warc_date", T.StringType()),
         T.StructField("ip_address", T.StringType()),
         T.StructField("mime", T.StringType()),
-        T.StructField("http_head", T.StringType()),
-        T.StructField("payload", T.StringType()),
+        T.StructField("http_head", T.BinaryType()),
+        T.StructField("payload", T.BinaryType()),
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload_digest", T.StringType()),
         T.StructField("block_digest", T.StringType()),
         T.StructField("source_name", T.StringType()),
     ]
 )
-_CONVERTED = pa.schema([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for f in CONVERTED])
+_CONVERTED = to_arrow_schema(CONVERTED)
 
 
 def convert_record(archive: str, r: ArcRecord) -> tuple:
-    """The WARC fields of one ARC record. Payloads are taken as UTF-8."""
+    """The WARC fields of one ARC record."""
     head, body = split_http(r.content)
     url = r.header["URL"]
     name = r.header.get("Filename", "-")
@@ -137,7 +157,7 @@ def convert_record(archive: str, r: ArcRecord) -> tuple:
     rid = uuid.uuid5(RECORD_SPACE, f"{archive} {name} {url} {r.header['Archive-date']} {r.offset} {digest}")
     return (
         f"<urn:uuid:{rid}>", url, arc_date(r.header["Archive-date"]), r.header["IP-address"], r.header["Content-type"],
-        head.decode("utf-8", "replace"), body.decode("utf-8", "replace"), len(body), digest, digest32(r.content) if head else digest, name,
+        head, body, len(body), digest, digest32(r.content) if head else digest, name,
     )
 
 
@@ -157,7 +177,7 @@ def convert_arc(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield as_batch(_CONVERTED, list(zip(*rows)))
 
-    return archives.select("path", "content").mapInArrow(run, CONVERTED)
+    return archives.select("path", "content").transform(in_arrow, run, CONVERTED)
 
 
 def pages_to_arc(pages: DataFrame, version: int = 2, date: str = "20240101000000", archive_bytes: int = 8_000_000) -> DataFrame:
@@ -186,118 +206,168 @@ def pages_to_arc(pages: DataFrame, version: int = 2, date: str = "20240101000000
         if parts:
             yield archive()
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, spec)
+    return pages.select("page_id", "url", "html").transform(in_arrow, run, spec)
 
 
 # ---- WARC
 
 
+def page_number(name: Column | str) -> Column:
+    return F.regexp_extract(name, "^page-(-?[0-9]+)$", 1).try_cast("long")
+
+
 def mark_revisits(records: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """records with `first_name`: the source of the response that a revisit refers to, null for responses.
-
-    Digests are counted from (digest, page) alone; only digests that more than one record has are joined back.
-    """
-    number = F.regexp_extract("source_name", "^page-(-?[0-9]+)$", 1).try_cast("long")
-    repeated = (
-        records.where(F.col("payload_bytes") >= min_revisit_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min(number).alias("first_page"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and first_page is not null")
-        .select("payload_digest", "first_page")
-    )
-    marked = records.join(repeated, "payload_digest", "left")
-    own = (F.col("payload_bytes") < min_revisit_bytes) | F.col("first_page").isNull() | (number == F.col("first_page"))
-    return marked.withColumn("first_name", F.when(F.coalesce(own, F.lit(False)), F.lit(None)).otherwise(F.concat(F.lit("page-"), F.col("first_page").cast("string")))).drop("first_page")
-
-
-def warc_text(records: DataFrame) -> DataFrame:
-    """One column `value`: the record up to its closing blank lines, which are the writer's line separator."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    optional = lambda name, value: F.coalesce(line(name, value), F.lit(""))
-    revisit = F.col("first_name").isNotNull()
-    block = F.when(revisit, F.col("http_head")).otherwise(F.concat("http_head", "payload"))
-    mime = F.when(F.col("http_head") != "", F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))
-    header = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.col("record_id")),
-        line("WARC-Date", F.col("warc_date")),
-        line("WARC-Target-URI", F.col("target_uri")),
-        line("WARC-IP-Address", F.col("ip_address")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.lit("")).otherwise(line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.col("block_digest")))),
-        optional("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        line("ARC-Source-Name", F.col("source_name")),
-        optional("ARC-Refers-To-Name", F.col("first_name")),
-        line("ARC-Payload-Length", F.col("payload_bytes").cast("string")),
-        line("Content-Type", mime),
-        F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END),
-    )
-    return records.select(F.concat(header, block).alias("value"))
+    """records with `first`: name, record_id, target_uri and warc_date of the response that a revisit refers to, else null."""
+    number = page_number("source_name")
+    first = F.when(number.isNotNull(), F.struct(number.alias("page"), F.col("record_id"), F.col("target_uri"), F.col("warc_date")))
+    repeated = records.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = materialise(repeated.where("n > 1 and first is not null"), "warc-repeated")
+    if repeated.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        marked = records.join(F.broadcast(repeated.drop("n")), "payload_digest", "left")
+    else:
+        marked = spread_join(records, repeated, ["payload_digest"], "n", F.col("record_id"), "left").drop("n")
+    own = (F.col("payload_bytes") < min_revisit_bytes) | F.col("first").isNull() | (number == F.col("first.page"))
+    return marked.withColumn("first", F.when(~F.coalesce(own, F.lit(False)), F.col("first")))
+
+
+def warc_record(kind: str, fields: list[tuple[str, str | None]], block: bytes) -> bytes:
+    lines = [f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields if v is not None), f"Content-Length: {len(block)}"]
+    return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def members(record: bytes) -> bytes:
+    """The record as one gzip member, or as several of less than 16 MB each."""
+    return b"".join(gzip.compress(record[at : at + MEMBER_BYTES], 6, mtime=0) for at in range(0, len(record), MEMBER_BYTES))
+
+
+def converted_record(r: dict) -> bytes:
+    """The WARC record of a row of mark_revisits."""
+    first, head = r["first"], r["http_head"]
+    kind = "revisit" if first else "response" if head else "resource"
+    digest, block = f"sha1:{r['payload_digest']}", head if first else head + r["payload"]
+    return warc_record(kind, [
+        ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["warc_date"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-IP-Address", r["ip_address"]), ("WARC-Payload-Digest", digest),
+        ("WARC-Block-Digest", f"sha1:{digest32(block)}" if first else f"sha1:{r['block_digest']}"),
+        ("WARC-Profile", REVISIT_PROFILE if first else None),
+        ("WARC-Refers-To", first and first["record_id"]), ("WARC-Refers-To-Target-URI", first and first["target_uri"]), ("WARC-Refers-To-Date", first and first["warc_date"]),
+        ("ARC-Source-Name", r["source_name"]), ("ARC-Refers-To-Name", first and f"page-{first['page']}"), ("ARC-Payload-Length", str(r["payload_bytes"])),
+        ("Content-Type", "application/http; msgtype=response" if head else r["mime"]),
+    ], block)
+
+
+def warc_archives(records: DataFrame, archive_bytes: int = 16_000_000) -> DataFrame:
+    """Rows (value): whole gzip archives of about archive_bytes (or one record), a warcinfo record first."""
+    schema = pa.schema([("value", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, last = [], 0, ""
 
-def write_warc(records: DataFrame, path: str) -> None:
-    warc_text(records).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+        def archive() -> pa.RecordBatch:
+            info = b"software: quarrymill\r\nformat: WARC File Format 1.1\r\n"
+            fields = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(RECORD_SPACE, f'warcinfo {last} {size}')}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+            return as_batch(schema, [[members(warc_record("warcinfo", fields, info)) + b"".join(parts)]])
 
+        date = ""
+        for batch in slices(batches, 500):
+            for r in batch.to_pylist():
+                parts.append(members(converted_record(r)))
+                size, last, date = size + len(parts[-1]), r["record_id"], r["warc_date"]
+                if size >= archive_bytes:
+                    yield archive()
+                    parts, size = [], 0
+        if parts:
+            yield archive()
 
-def gunzip(data: bytes) -> bytes:
-    """Plain bytes of a gzip file of one or many members; other data as it is."""
+    return records.transform(in_arrow, run, "value binary")
+
+
+def write_warc(records: DataFrame, path: str, archive_bytes: int = 16_000_000) -> None:
+    rows = warc_archives(records, archive_bytes).select(F.expr("substring(value, 1, octet_length(value) - 1)").cast("string").alias("value"))
+    rows.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """Pieces of a gzip file of one or many members; other data as it is."""
     if data[:2] != b"\x1f\x8b":
-        return bytes(data)
-    out = []
-    while data:
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(out)
-
-
-def read_warc_bytes(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record, cut by Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        yield bytes(data)
+        return
+    view, at, z = memoryview(data), 0, zlib.decompressobj(31)
+    while at < len(view):
+        part = view[at : at + 65_536]
+        piece = z.decompress(part)
+        if piece:
+            yield piece
+        at += len(part) - len(z.unused_data)
+        if z.eof:
+            z = zlib.decompressobj(31)
+
+
+def gunzip(data: bytes) -> bytes:
+    return b"".join(inflated(data))
+
+
+def read_warc_bytes(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of each record, cut by Content-Length; holds one record at a time."""
+    held = bytearray()
+    pieces = iter(pieces)
+
+    def until(enough) -> bool:
+        while not enough():
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while until(lambda: len(held) > 0):
+        if not until(lambda: held.find(b"\r\n\r\n") >= 0):
+            raise ValueError(f"no record in {bytes(held[:60])!r}")
+        end = held.find(b"\r\n\r\n")
+        lines = decoded(bytes(held[:end])).split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}: {lines[0][:60]!r}")
+            raise ValueError(f"no record: {lines[0][:60]!r}")
         header = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(header["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+        until(lambda: len(held) >= end + 8 + size)
+        block = bytes(held[end + 4 : end + 4 + size])
+        if len(block) != size or held[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
             raise ValueError(f"{header.get('warc-record-id')}: the block is not {size} bytes")
+        del held[: end + 8 + size]
         yield header, block
-        at = end + 8 + size
 
 
-READ = "record_id string, record_type string, target_uri string, warc_date string, source_name string, refers_to_name string, payload_bytes long, payload_digest string"
+READ = "record_id string, record_type string, target_uri string, warc_date string, source_name string, refers_to string, refers_to_name string, payload_bytes long, payload_digest string"
 _READ = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in READ.split(", ")])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all archives under path. The digest of each response is computed anew and must equal its header's."""
+    """Records of all archives under path but for warcinfo. The digest of each payload is computed anew and must equal its header's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content").to_pylist():
+            for k in range(batch.num_rows):
                 rows = []
-                for h, block in read_warc_bytes(gunzip(content)):
-                    kind, digest, size = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), int(h["arc-payload-length"])
-                    if kind == "response":
-                        body = split_http(block)[1]
+                for h, block in read_warc_bytes(inflated(batch.column("content")[k].as_py())):
+                    kind = h["warc-type"]
+                    if kind == "warcinfo":
+                        continue
+                    digest, size = h["warc-payload-digest"].removeprefix("sha1:"), int(h["arc-payload-length"])
+                    if kind != "revisit":
+                        body = split_http(block)[1] if kind == "response" else block
                         if digest32(body) != digest or len(body) != size:
                             raise ValueError(f"{h['warc-record-id']}: the payload doesn't match its digest")
-                    rows.append((h["warc-record-id"], kind, h["warc-target-uri"], h["warc-date"], h.get("arc-source-name"), h.get("arc-refers-to-name"), size, digest))
+                    rows.append((h["warc-record-id"], kind, h["warc-target-uri"], h["warc-date"], h.get("arc-source-name"), h.get("warc-refers-to"), h.get("arc-refers-to-name"), size, digest))
                 if rows:
                     yield as_batch(_READ, list(zip(*rows)))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, READ)
+    return files.select("content").transform(in_arrow, run, READ)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = 0) -> DataFrame:
     """pages to ARC, ARC to WARC archives under path, and the archives' records read back, one row per page."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write_warc(mark_revisits(convert_arc(pages_to_arc(pages)), min_revisit_bytes), path)
-    number = lambda c: F.regexp_extract(c, "^page-(-?[0-9]+)$", 1).try_cast("long")
-    return read_warc(spark, path).select(number("source_name").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to_name").alias("refers_to"))
+    records = materialise(convert_arc(pages_to_arc(pages)), "warc-records")
+    write_warc(mark_revisits(records, min_revisit_bytes), path)
+    return read_warc(spark, path).select(page_number("source_name").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to_name").alias("refers_to"))
