@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_batch, null_free, path_exists, slices, utf8_rows
+from .common import as_batch, in_arrow, kept, materialise, null_free, path_exists, slices, spread_join, utf8_rows
 
 CACHE_SCHEMA = T.StructType(
     [
@@ -117,9 +117,8 @@ class _Counter:
         return [sum(map(known, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str) -> _Counter:
-    return _Counter(path)
+    return kept(f"counter {path}", lambda: _Counter(path))
 
 
 def _content(docs: DataFrame, text_col: str, path: str):
@@ -148,7 +147,7 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col:
             counts = count(utf8_rows(batch.column("content")))
             yield as_batch(schema, [batch.column("content_digest").cast(pa.binary()), [version] * len(counts), counts])
 
-    distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    distinct.transform(in_arrow, encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     return cached()
 
 
@@ -158,13 +157,20 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, tex
     key, count = "__content_digest", "__n_tokens"
     counts = cache.select(F.col("content_digest").alias(key), F.col("n_tokens").alias(count))
     keyed = docs.withColumn(key, F.unhex(F.sha2(_content(docs, text_col, tokenizer_path), 256)))
-    return keyed.join(counts, key, "left").withColumn(out_col, F.coalesce(F.col(count), F.lit(0).cast("long"))).drop(key, count)
+    return _with_counts(keyed, counts, key, count).withColumn(out_col, F.col(count)).drop(key, count)
+
+
+def _with_counts(keyed: DataFrame, counts: DataFrame, key: str, count: str) -> DataFrame:
+    """keyed with its counts; contents that many documents share are spread over tasks. A content without a count is an error."""
+    rows = "__rows"
+    sized = materialise(counts.join(keyed.groupBy(key).agg(F.count(F.lit(1)).alias(rows)), key), "token-counts")
+    lost = F.raise_error(F.lit("the cache lacks the count of a content")).cast("long")
+    spread_by = F.col("doc_id") if "doc_id" in keyed.columns else F.monotonically_increasing_id()
+    return spread_join(keyed, sized, [key], rows, spread_by, "left").drop(rows).withColumn(count, F.coalesce(F.col(count), lost))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (more tokens than limit)."""
     sized = docs.select("doc_id", F.octet_length(null_free("text")).cast("long").alias("n_bytes"), F.unhex(F.sha2(_content(docs, "text", tokenizer_path), 256)).alias("content_digest"))
     cache = fill_cache(docs.select("text"), tokenizer_path, cache_path)
-    return sized.join(cache, "content_digest", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens")
-    ).withColumn("over_limit", F.col("n_tokens") > limit)
+    return _with_counts(sized, cache, "content_digest", "n_tokens").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
