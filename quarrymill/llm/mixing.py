@@ -97,8 +97,8 @@ def source_plan(sized: DataFrame, budget: float | None, target_entropy: float |
 def mix(docs: DataFrame, budget: float | None = None, target_entropy: float | None = None, max_repetition: float | None = 4.0, tokens: Column | None = None, block_tokens: int = 1_000_000, seed: int = 0, whole: bool = False) -> DataFrame:
     """One row for each time a document is dealt: doc_id, text_key, source, epoch from 1, block, block_rank, n_tokens, weight, order_key.
 
-    Ordered by (order_key, shuffle_key) the rows are the mixture: blocks of all sources interleaved in proportion,
-    documents permuted inside them. budget: tokens to deal (default: as many as there are).
+    Ordered by (order_key, shuffle_key) the rows are the mixture: all sources interleaved in proportion, block by block,
+    documents permuted inside a block. budget: tokens to deal (default: as many as there are).
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(null_free("text")).alias("text_key"), "source", (word_count() if tokens is None else tokens).alias("n_tokens"))
     sized = materialise(sized, "mix-sizes")
@@ -117,16 +117,17 @@ def mix(docs: DataFrame, budget: float | None = None, target_entropy: float | No
         .withColumn("start", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("start", F.coalesce("start", F.lit(0)) + (F.col("epoch") - 1) * F.col("tokens"))
         .where(F.col("start") < F.col("part"))
-        .select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "block_rank", "start", "weight", "part", (F.col("start") + F.col("block_tokens") > F.col("part")).alias("cut"))
+        .select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "block_rank", "start", "block_tokens", "weight", "part", (F.col("start") + F.col("block_tokens") > F.col("part")).alias("cut"))
     )
     rows = placed.join(epochs, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
     rows = rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "epoch", "doc_id", "text_key"))
     inside = Window.partitionBy("source", "epoch", "block").orderBy("shuffle_key", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
+    inside_share = F.col("shuffle_key") / 2.0**64 + 0.5  # a document's place in its block, the same order as the key's
     last = rows.where("cut").withColumn("before", before).where(F.col("start") + F.col("before") < F.col("part")).drop("before")
     return rows.where("not cut").unionByName(last).select(
         "doc_id", "text_key", "source", F.col("epoch").cast("int").alias("epoch"), "block", F.col("block_rank").cast("int").alias("block_rank"), "n_tokens", "weight",
-        (F.col("start") / F.col("part")).alias("order_key"), "shuffle_key",
+        F.least((F.col("start") + inside_share * F.col("block_tokens")) / F.col("part"), F.lit(1.0)).alias("order_key"), "shuffle_key",
     )
 
 

@@ -1,6 +1,9 @@
 import math
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarrymill.llm import mixing as mx
@@ -102,3 +105,67 @@ def test_documents_come_as_often_as_planned_and_in_the_mixture_order(spark, tmp_
         files = sorted(tmp_path.glob(f"{budget}/part-*"), key=lambda f: f.name)
         got = [r for f in files for r in spark.read.parquet(f"file://{f}").coalesce(1).collect()]
         assert [(r.doc_id, r.source) for r in got] == [(r.doc_id, r.source) for r in plan]
+
+
+def spark_hash(*values):
+    """xxhash64 of a row as Spark computes it: each value's hash seeds the next; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute(rows, budget, limit, block_tokens, seed=0):
+    """(doc_id, source, epoch, block, block_rank) of every turn, walked one by one."""
+    num = lambda x: None if x is None else struct.pack("<q", x)
+    small = lambda x: struct.pack("<i", x)
+    sized = [(i, spark_hash(t or ""), s, len((t or "").encode().split())) for i, t, s in rows]
+    tokens = Counter()
+    for _, _, s, n in sized:
+        tokens[s] += n
+    total = sum(tokens.values())
+    budget = budget or total
+    share = {s: n / total for s, n in tokens.items() if n}
+
+    def weights(a):
+        z = sum(x**a for x in share.values())
+        return {s: x**a / z for s, x in share.items()}
+
+    low, high = 0.0, 1.0
+    if max(w * budget / tokens[s] for s, w in weights(0).items()) <= limit:
+        high = 0.0
+    for _ in range(60):
+        if high - low < 1e-12:
+            break
+        mid = (low + high) / 2
+        ok = max(w * budget / tokens[s] for s, w in weights(mid).items()) <= limit
+        low, high = (low, mid) if ok else (mid, high)
+    out = []
+    for s, w in weights(high).items():
+        part = w * budget * (1 - 1e-9)
+        n_blocks = -(-tokens[s] // block_tokens)
+        blocks = {}
+        for i, k, source, n in sized:
+            if source == s:
+                blocks.setdefault(spark_hash(small(seed), num(i), num(k)) % n_blocks, []).append((i, k, n))
+        dealt, epoch = 0, 1
+        while dealt < part:
+            order = sorted(blocks, key=lambda b: (spark_hash(small(seed), small(epoch), s, small(b)), b))  # noqa: B023
+            for rank, b in enumerate(order, 1):
+                if dealt >= part:
+                    break
+                for i, k, n in sorted(blocks[b], key=lambda d: (spark_hash(small(seed), small(epoch), num(d[0]), num(d[1])), d[0], d[1])):  # noqa: B023
+                    if dealt >= part:
+                        break
+                    out.append((i, s, epoch, b, rank))
+                    dealt += n
+            epoch += 1
+    return out
+
+
+@pytest.mark.parametrize("budget, limit", [(None, 1.5), (900, 2.0)])
+def test_equals_dealing_one_by_one(spark, budget, limit):
+    rows = [(i, f"w{i} " * (1 + i % 7), "big" if i % 3 else f"s{i % 9}") for i in range(150)]
+    got = mx.mix(docs(spark, rows), budget=budget, max_repetition=limit, block_tokens=25).collect()
+    assert sorted((r.doc_id, r.source, r.epoch, r.block, r.block_rank) for r in got) == sorted(brute(rows, budget, limit, 25))

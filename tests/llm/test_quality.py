@@ -1,3 +1,7 @@
+import math
+
+import numpy as np
+
 from quarrymill.llm import quality as q
 
 from .util import ODD, docs
@@ -34,3 +38,22 @@ def test_odd_rows(spark):
     assert q.score_documents(docs(spark, []), labels).count() == 0
     kept = q.with_scores(docs(spark, ODD, extra=True), None, "quality_score")
     assert kept.columns[-1] == "quality_score"
+
+
+def test_scores_equal_voting_by_brute_force(spark):
+    """Every document against every labelled vector, sorted whole, one by one in double precision."""
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(200), spark.read.parquet(f"{SF}/labels.parquet")
+    model = q.fit(d, labels, rank=16, k=5)
+    got = {r.doc_id: r.s for r in q.with_scores(d, model, "s").collect()}
+    checked = 0
+    for row in d.collect():
+        terms, values = q.features((row.text or "").encode(), q.Buckets())
+        latent = sum(float(v) * model.projection[t].astype(float) for t, v in zip(terms, values))
+        latent = latent / max(float(np.sqrt((latent**2).sum())), 1e-9)
+        near = sorted(((float(sum(latent * v.astype(float))), k) for k, v in enumerate(model.vectors)), key=lambda x: (-x[0], x[1]))
+        if near[4][0] - near[5][0] < 1e-5:
+            continue  # a tie at the edge: either neighbour may vote
+        votes = [(max(c, 0.0) ** 4 * float(model.weights[k]) + 1e-9, float(model.labels[k])) for c, k in near[:5]]
+        assert math.isclose(got[row.doc_id], sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs_tol=1e-4)
+        checked += 1
+    assert checked > 100
