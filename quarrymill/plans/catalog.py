@@ -266,12 +266,46 @@ def injected_headings(spark, sf):
     return ln.inject_headings(lines, ln.numbered_headings(lines))
 
 
-@query(None)
+# lines are walked one by one: a line joins the one before it, or starts a new one
+PROSE_SQL = r"""
+pr as (
+  select *, row_number() over (partition by docno order by line) as i, trim(text) as t,
+    trim(text) <> '' and not regexp_matches(trim(text), '^[|#>\-*+·•]') and not regexp_matches(trim(text), '^\d+(\.\d+)*[.\s、]') and not regexp_matches(trim(text), '^(图|表|注|第|Figure|Table)\s*[.\d]') and length(trim(text)) <= 200 as prose
+  from ls),
+jo as (
+  select docno, i, 1 as g, case when prose then rtrim(text) else text end as buf, prose as open from pr where i = 1
+  union all
+  select docno, i, case when joins then g else g + 1 end,
+    case when joins then buf || case when regexp_matches(buf, '[A-Za-z0-9]$') and regexp_matches(t, '^[A-Za-z0-9]') then ' ' else '' end || t when prose then rtrim(text) else text end, prose
+  from (
+    select pr.*, jo.g, jo.buf, jo.open and pr.prose and not regexp_matches(jo.buf, '[。；：！？、，）】》”\"’…；:;,.)\]}>\-—*]$') and length(jo.buf) + length(pr.t) <= 160 as joins
+    from jo join pr on pr.docno = jo.docno and pr.i = jo.i + 1))
+"""
+
+
+@query(f"with recursive {LINES_SQL}, {PROSE_SQL} select docno, cast(g as integer) as line, arg_max(buf, i) as text from jo group by docno, g")
 def joined_prose(spark, sf):
     return ln.join_prose(doc_lines(spark, sf))
 
 
-@query(None)
+# entries are walked one by one, each from the line of the last hit
+LOCATED_SQL = r"""
+ln as (select docno, line, text, row_number() over (partition by docno order by line) - 1 as k from np),
+en as (select docno, line as pos, num, title, row_number() over (partition by docno order by line) as i from ca),
+ma as (
+  select en.docno, en.i, ln.k from en join ln on ln.docno = en.docno
+    and regexp_matches(ln.text, '^[\s|\-*#>]*' || replace(num, '.', '\.') || '($|[^0-9.]|\.($|[^0-9]))')
+    and contains(regexp_replace(ln.text, '[\s|]', '', 'g'), regexp_replace(title, '[\s|]', '', 'g'))),
+wa as (
+  select docno, 0 as i, 0 as pos, cast(null as bigint) as hit from (select distinct docno from en)
+  union all
+  select docno, i, greatest(pos, coalesce(hit, pos)), hit from (
+    select wa.docno, wa.i + 1 as i, wa.pos, coalesce(min(case when ma.k >= wa.pos and ma.k < wa.pos + 1200 then ma.k end), min(ma.k)) as hit
+    from wa join en on en.docno = wa.docno and en.i = wa.i + 1 left join ma on ma.docno = en.docno and ma.i = en.i group by wa.docno, wa.i, wa.pos))
+"""
+
+
+@query(f"with recursive {CAND_SQL}, {LOCATED_SQL} select wa.docno, ln.line, en.num, en.title from wa join en on en.docno = wa.docno and en.i = wa.i join ln on ln.docno = wa.docno and ln.k = wa.hit")
 def located_entries(spark, sf):
     lines = _numbered(spark, sf)
     entries = ln.numbered_headings(lines).select("docno", F.col("line").alias("pos"), "num", "title")

@@ -410,3 +410,25 @@ def repair_counts(spark, sf):
     added = F.when(k == 0, "⼂⻋x⼂").when(k == 1, "⼂").otherwise("")
     rows = table(spark, sf, "documents").where("text is not null").select("doc_id", tx.repaired_characters(F.concat("text", added)).alias("c"))
     return rows.select("doc_id", F.size("c").alias("n"), F.array_join(F.array_distinct("c"), "").alias("which"))
+
+
+@query(
+    "select p_partkey, case when p_size % 4 = 0 then ['src/a' || p_size || '.py', 'lib/b.c'] when p_size % 4 = 1 then ['x/y'] else [] end as paths, 'x/' || p_brand as plain, '```py' || chr(10) || p_name || chr(10) || '```' || chr(10) as block, "
+    "replace(lower(p_brand), '#', '') || '-ümlaut' as anchor from part"
+)
+def path_texts(spark, sf):
+    """Paths in backticks, paths with slashes, code blocks and anchors of headings."""
+    z = F.col("p_size")
+    text = F.when(z % 4 == 0, F.concat(F.lit("see `src/a"), z.cast("string"), F.lit(".py`, `lib\\b.c.` and `http://x/y` or `plain`"))).when(z % 4 == 1, "`x/y` `a b/c` `../up/x` `/root`").otherwise("none/at all")
+    return table(spark, sf, "part").select(
+        "p_partkey", tx.local_paths(text).alias("paths"), tx.posix(F.concat(F.lit("././x\\"), "p_brand")).alias("plain"), tx.code_block(F.concat("p_name", F.lit("\n\n")), F.lit("py")).alias("block"),
+        tx.unicode_slug(F.concat(F.lit(" "), "p_brand", F.lit(" Ümlaut! "))).alias("anchor"),
+    )
+
+
+@query("select p_partkey as doc, p_size % 3 = 0 or p_size % 5 = 0 as allowed from part where p_size % 3 = 0 or p_size % 5 = 0")
+def present_uploads(spark, sf):
+    """Planned uploads whose file is there."""
+    p = table(spark, sf, "part")
+    there = p.where("p_size % 3 = 0 or p_size % 5 = 0").select(F.col("p_partkey").alias("doc"))
+    return p.select(F.col("p_partkey").alias("doc"), F.lit(True).alias("allowed")).join(there, "doc", "left_semi")
