@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", teaches: Co
 
 
 def with_scores(docs: DataFrame, model: Neighbours | None, out_col: str = "score") -> DataFrame:
-    """docs with out_col, the weighted share of neighbours labelled 1 (0 to 1)."""
+    """docs with out_col, the weighted share of neighbours labelled 1 (0 to 1); it replaces a column of that name."""
+    docs = docs.drop(out_col)
     if model is None:
         return docs.withColumn(out_col, F.lit(0.5))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # terms x rank and max_labelled x rank floats
