@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import cdc, evidence as evd, lines as ln, modules as mo, projections as pj, records as rc, sheets as sh
-from ..sources import sinks
+from ..sources import inputs, sinks
 from .catalog import CAND_SQL, CHUNKS, FILES_SQL, GRID, HEADS, HITS, MD_SQL, MODULES, NUM_SQL, _hits, _numbered, cells, md_lines, query, repo_files, repo_modules, table
 
 # ---- outlines
@@ -432,3 +432,43 @@ def present_uploads(spark, sf):
     p = table(spark, sf, "part")
     there = p.where("p_size % 3 = 0 or p_size % 5 = 0").select(F.col("p_partkey").alias("doc"))
     return p.select(F.col("p_partkey").alias("doc"), F.lit(True).alias("allowed")).join(there, "doc", "left_semi")
+
+
+# ---- inputs
+
+MARKDOWN_SQL = "regexp_replace(regexp_replace(coalesce(html, ''), '<(script|style)\\b[^>]*>.*?</(?:script|style)\\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'gis'), '\\s+', ' ', 'g')"
+for _n in range(1, 7):
+    MARKDOWN_SQL = f"regexp_replace({MARKDOWN_SQL}, '<h{_n}\\b[^>]*>', chr(10) || '{'#' * _n} ', 'gi')"
+MARKDOWN_SQL = f"regexp_replace({MARKDOWN_SQL}, '<li\\b[^>]*>', chr(10) || '- ', 'gi')"
+MARKDOWN_SQL = f"regexp_replace({MARKDOWN_SQL}, '<a\\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'gi')"
+MARKDOWN_SQL = f"regexp_replace(regexp_replace({MARKDOWN_SQL}, '</?(?:{inputs.LINE_TAGS})\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g')"
+for _k, _v in inputs.NAMED.items():
+    MARKDOWN_SQL = f"replace({MARKDOWN_SQL}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
+MARKDOWN_SQL = f"regexp_replace(regexp_replace({MARKDOWN_SQL}, ' *\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g')"
+
+
+@query(f"select page_id, {MARKDOWN_SQL} as text from pages")
+def page_markdown(spark, sf):
+    return table(spark, sf, "pages").select("page_id", inputs.html_markdown("html").alias("text"))
+
+
+DIFF_LINE = "case when p_partkey % 4 = 0 then concat('R100', chr(9), 'old/f', cast(p_size as string), chr(9), 'new/f', cast(p_partkey as string)) when p_partkey % 4 = 1 then concat('M', chr(9), '\"a b/f', cast(p_size as string), '\"') when p_partkey % 4 = 2 then 'noise' else concat('D', chr(9), 'gone/', p_brand) end"
+STATUS_LINE = "case when p_partkey % 3 = 0 then concat('R  old/f', cast(p_size as string), ' -> new/g', cast(p_size as string)) when p_partkey % 3 = 1 then concat('?? gone/', p_brand) else concat(' M x/f', cast(p_size as string)) end"
+
+
+@query(
+    "with d as (select p_partkey * 2 as pos, p_size as z, p_partkey as k, p_brand as b from part), "
+    "a as (select 0 as list, pos, 'old/f' || z as rel from d where k % 4 = 0 union all select 0, pos + 1, 'new/f' || k from d where k % 4 = 0 union all select 0, pos, 'a b/f' || z from d where k % 4 = 1 union all select 0, pos, 'gone/' || b from d where k % 4 = 3 "
+    "union all select 1, pos, 'old/f' || z from d where k % 3 = 0 union all select 1, pos + 1, 'new/g' || z from d where k % 3 = 0 union all select 1, pos, 'gone/' || b from d where k % 3 = 1 union all select 1, pos, 'x/f' || z from d where k % 3 = 2), "
+    "r as (select *, row_number() over (partition by rel order by list, pos) as n from a) select rel, cast(list as integer) as list, cast(pos as bigint) as pos from r where n = 1"
+)
+def changed_files(spark, sf):
+    p = table(spark, sf, "part")
+    lines = lambda text: p.select(F.col("p_partkey").alias("pos"), F.expr(text).alias("line"))
+    return inputs.changed_files(lines(DIFF_LINE), lines(STATUS_LINE))
+
+
+@query("with r as (select c_custkey, c_name, row_number() over (order by c_name, c_custkey) as nth, count(*) over () as total from customer) select cast(nth as integer) as nth, cast((nth - 1) // 20 as integer) as page, c_custkey, c_name, total > 130 as truncated from r where nth <= 130")
+def metadata_pages(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return inputs.metadata_pages(rows, [F.col("c_name"), F.col("c_custkey")], 20, 130)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as tx
 from quarrymill.operators import cdc, evidence as evd, events as ev, lines as ln, modules as mo, sheets as sh
+from quarrymill.sources import inputs
 
 
 def doc(spark, *texts):
@@ -77,3 +78,18 @@ def test_root_configuration_names(spark):
     names = {"setup.py": True, "Dockerfile.dev": True, "a.config.mjs": True, "tsconfig.base.json": True, "readme.md": False, "xsetup.py": False, "cargo.toml2": False}
     rows = spark.createDataFrame([(n,) for n in names], "rel string").select("rel", mo.is_root_config("rel").alias("x")).collect()
     assert {r.rel: r.x for r in rows} == names
+
+
+def test_commented_json(spark, tmp_path):
+    text = '﻿{ // note "x"\n "a": "http://x/*no*/ \\" ,]", /* b\n */ "l": [1, 2, ], "o": {"k": 1,},\n}'
+    assert inputs.parse_jsonc(text.lstrip("﻿")) == {"a": 'http://x/*no*/ " ,]', "l": [1, 2], "o": {"k": 1}}
+    with pytest.raises(ValueError):
+        inputs.parse_jsonc("{} /* open")
+    (tmp_path / "c.json").write_text(text)
+    assert inputs.read_config(spark, f"file://{tmp_path}/c.json", {"o": {"d": 2}, "z": 1})["o"] == {"d": 2, "k": 1}
+
+
+def test_markdown_of_odd_pages(spark):
+    html = "<H2 class=x>A &lt;b&gt;</h2><p>x<b>y</b> <a title=t href=\"/u\">l <i>i</i></a><br/>z</p><script>1</p></script><!-- <p> --><ul><li>one<li>two</ul>"
+    rows = spark.createDataFrame([(html,), (None,), ("",), ("plain  text",)], "html string").select(inputs.html_markdown("html")).collect()
+    assert [r[0] for r in rows] == ["## A <b>\nxy [l i](/u)\nz\n- one\n- two", "", "", "plain text"]
