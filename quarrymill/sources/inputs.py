@@ -41,7 +41,7 @@ def read_config(spark: SparkSession, path: str, default: dict | None = None) ->
     """One configuration file, wherever Spark can read it, over a default."""
     from ..operators.evidence import merged_config
 
-    (row,) = spark.read.option("wholetext", "true").text(path).collect()  # one file of configuration
+    (row,) = spark.read.text(path, wholetext=True).collect()  # one file of configuration
     return merged_config(default or {}, parse_jsonc(row.value.lstrip("﻿")))
 
 
