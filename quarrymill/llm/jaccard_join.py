@@ -6,11 +6,13 @@ single shingles as pivots: a class lies in the regions of its rarest shingles as
 comes from a sketch of how many documents hold a shingle (see substring_dedup); a shingle that the sketch calls single
 opens no region, and any error of the sketch changes cost alone. Regions that share classes form clusters.
 
-A cluster is joined by recursion: documents of it are drawn as pivots, each member falls to its nearest pivot's
-Voronoi region, and is replicated to every pivot within twice the join radius of that distance (by the triangle
-inequality its partners' regions are among them); regions are joined in turn, leaves by exact intersection counts.
-Clusters that fit a task recurse inside one; larger ones are dealt out by pivots across the cluster first, and a
-region that pivots can't divide (its members lie all alike far from each other) is dealt into pairs of blocks.
+A cluster is joined by recursion: documents of it are drawn as pivots, far from each other, until all members are near
+one; each member falls to its nearest pivot's Voronoi region, and is replicated to every pivot within twice the join
+radius of that distance (by the triangle inequality its partners' regions are among them); regions are joined in turn.
+The members of one pivot's region are walked in order of their distance to it, and meet only those whose distance
+differs by the radius at most, by exact intersection counts. Clusters that fit a task recurse inside one; larger ones
+are dealt out by pivots across the cluster first, and a region that pivots can't divide (its members lie all alike far
+from each other) is dealt into pairs of blocks.
 
 Defined results: null, empty and blank texts have no shingle, and link with nothing, not even each other; a text
 shorter than the shingle is one shingle; rows that share a doc_id are one document, linked by it; rows with a null
@@ -42,10 +44,10 @@ FLUSH = 1_000_000
 TASK_MEMBERS, TASK_SHINGLES = 1000, 4_000_000
 #: Members of a region that are compared directly; a larger region is divided by pivots.
 LEAF = 8
-#: Members of a block, in regions that pivots can't divide.
-BLOCK = 200
-#: Pivots of a region, at most.
-PIVOTS = 16
+#: Members of a block of one pivot's region.
+BLOCK = 64
+#: Pivots of a region, at most; none is drawn once all members are within NEAR radii of one.
+PIVOTS, NEAR = 16, 3
 #: Regions of at most so many classes pair them, by size and signature; in larger ones all go with the least.
 PAIRED = 12
 #: Cluster members of at most this number go to every task (three short values each); more meet their texts by a shuffle.
@@ -236,35 +238,54 @@ def voronoi(distances: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarra
     return distances.argmin(1), distances <= nearest[:, None] + 2 * radius + 1e-9
 
 
+def draw_pivots(table: SetTable, members: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pivots, distances of members to them): each the farthest from those before it, until all members are near one."""
+    pivots, distances = [members[0]], [table.distances(members, members[:1])[:, 0]]
+    nearest = distances[0]
+    while len(pivots) < PIVOTS and nearest.max() > NEAR * radius:
+        far = int(nearest.argmax())
+        pivots.append(members[far])
+        distances.append(table.distances(members, members[far : far + 1])[:, 0])
+        nearest = np.minimum(nearest, distances[-1])
+    return np.array(pivots), np.stack(distances, 1)
+
+
 def join_region(table: SetTable, members: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of linked members, each pair at least once."""
     if len(members) <= LEAF:
         i, j = np.nonzero(np.triu(table.linked(members, members), 1))
         yield members[i], members[j]
         return
-    n = min(PIVOTS, -(-len(members) // LEAF) + 1)
-    pivots = members[np.linspace(0, len(members) - 1, n).astype(int)]
-    lies = voronoi(table.distances(members, pivots), radius)[1]
-    if lies.sum() > 2 * len(members):  # pivots can't divide it: blocks against blocks
-        blocks = np.array_split(members, -(-len(members) // BLOCK))
-        for k, a in enumerate(blocks):
-            i, j = np.nonzero(np.triu(table.linked(a, a), 1))
-            yield a[i], a[j]
-            for b in blocks[k + 1 :]:
-                i, j = np.nonzero(table.linked(a, b))
-                yield a[i], b[j]
+    pivots, distances = draw_pivots(table, members, radius)
+    lies = voronoi(distances, radius)[1]
+    if len(pivots) == 1 or lies.sum() > 2 * len(members):  # one region, or more that hold each other's members
+        yield from join_window(table, members, distances[:, 0], radius)
         return
-    for p in range(n):
+    for p in range(len(pivots)):
         inside = members[lies[:, p]]
-        if len(inside) > 1:
-            yield from join_region(table, inside, radius) if len(inside) < len(members) else _flat(table, members)
-
-
-def _flat(table: SetTable, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for k in range(0, len(members), BLOCK):
-        i, j = np.nonzero(table.linked(members[k : k + BLOCK], members))
-        keep = j > i + k
-        yield members[i[keep] + k], members[j[keep]]
+        if len(inside) == len(members):
+            yield from join_window(table, members, distances[:, p], radius)
+        elif len(inside) > 1:
+            yield from join_region(table, inside, radius)
+
+
+def join_window(table: SetTable, members: np.ndarray, distance: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of one pivot's region: members in order of their distance to it, in blocks. By the triangle inequality
+    partners' distances differ by the radius at most, so a block meets those within that window alone."""
+    order = np.argsort(distance, kind="stable")
+    members, distance = members[order], distance[order]
+    starts = range(0, len(members), BLOCK)
+    for k in starts:
+        a = members[k : k + BLOCK]
+        i, j = np.nonzero(np.triu(table.linked(a, a), 1))
+        yield a[i], a[j]
+        reach = distance[min(k + BLOCK, len(members)) - 1] + radius + 1e-9
+        for n in range(k + BLOCK, len(members), BLOCK):
+            if distance[n] > reach:
+                break
+            b = members[n : n + BLOCK]
+            i, j = np.nonzero(table.linked(a, b))
+            yield a[i], b[j]
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
