@@ -356,27 +356,33 @@ def _join_in_tasks(rows: DataFrame, size: int, threshold: Fraction) -> DataFrame
 
 
 def _deal_by_pivots(rows: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """Large regions to the Voronoi regions of PIVOTS members each, boundary members replicated."""
+    """Large regions (with their size n) to the Voronoi regions of PIVOTS members each, boundary members replicated.
+
+    A region's members are dealt to tasks by hash, TASK_MEMBERS each; its pivots go once to each of these, ahead of them.
+    """
     radius = float(1 - threshold)
+    parts = F.ceil(F.col("n") / TASK_MEMBERS).cast("int")
     first = Window.partitionBy("region").orderBy(F.xxhash64("cid", "region"), "cid")
-    pivots = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("cid", "text"))).alias("pivots"))
+    pivots = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS)
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("pivot", F.lit(True))
+    members = rows.withColumn("salt", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn("pivot", F.lit(False))
+    columns = ["region", "salt", "pivot", "home", "cid", "weight", "text"]
+    dealt = pivots.select(*columns).unionByName(members.select(*columns)).repartition("region", "salt").sortWithinPartitions("region", "salt", F.desc("pivot"), "cid")
     schema = pa.schema([("region", pa.string()), ("side", pa.int32()), ("home", pa.bool_()), ("cid", pa.int64()), ("weight", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, region, drawn = WordHashes(), None, []
+        hashes, now, drawn = WordHashes(), None, []
         for batch in slices(batches, 100):
             doc, h = shingle_sets(hashes, utf8_rows(batch.column("text")), size)
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             out = []
-            names, lists = batch.column("region").to_pylist(), batch.column("pivots")
-            rest = [batch.column(n).to_pylist() for n in ("home", "cid", "weight", "text")]
-            for k, (name, home, cid, weight, text) in enumerate(zip(names, *rest)):
-                if name != region:
-                    region, found = name, lists[k].as_py()
-                    d, v = shingle_sets(hashes, [p["text"].encode() for p in found], size)
-                    c = np.searchsorted(d, np.arange(len(found) + 1))
-                    drawn = [(p["cid"], v[c[i] : c[i + 1]]) for i, p in enumerate(found)]
+            for k, (name, salt, pivot, home, cid, weight, text) in enumerate(zip(*(batch.column(n).to_pylist() for n in columns))):
                 own = h[cuts[k] : cuts[k + 1]]
+                if now != (name, salt):
+                    now, drawn = (name, salt), []
+                if pivot:
+                    drawn.append((cid, own))
+                    continue
                 common = np.array([len(np.intersect1d(own, s, assume_unique=True)) for _, s in drawn])
                 sizes = np.array([len(s) for _, s in drawn]) + len(own) - common
                 at, lies = voronoi((1 - common / sizes)[None], radius)
@@ -384,7 +390,7 @@ def _deal_by_pivots(rows: DataFrame, size: int, threshold: Fraction) -> DataFram
             if out:
                 yield as_batch(schema, list(zip(*out)))
 
-    return rows.join(pivots, "region").select("region", "home", "cid", "weight", "text", "pivots").transform(in_arrow, run, _REGION)
+    return dealt.transform(in_arrow, run, _REGION)
 
 
 def _deal_by_blocks(rows: DataFrame) -> DataFrame:
@@ -465,7 +471,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: str | Fraction
         if big.isEmpty():
             break
         parents = big.select(F.col("region").alias("parent"), F.col("n").alias("parent_n"))
-        rows = materialise(_deal_by_pivots(rows.join(big.select("region"), "region"), size, t), "jaccard-regions")
+        rows = materialise(_deal_by_pivots(rows.join(big.select("region", "n"), "region"), size, t), "jaccard-regions")
 
     roots = components(joined.select(F.col("cid").alias("u"), F.col("root").alias("v")), "jaccard-links")
     links = joined.groupBy("cid").agg(F.sum("links").alias("links"))
