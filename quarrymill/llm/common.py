@@ -53,7 +53,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Delete a table of `materialise` that no later plan reads."""
+    spark = made.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.scratch)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

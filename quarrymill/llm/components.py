@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars, in DataFrame operations.
 
 Each round replaces edges by edges to smaller neighbours; rounds are written to the shared folder, so lineage stays
-short and a lost executor costs one round. The number of rounds grows with the logarithm of the graph's diameter.
+short and a lost executor costs one round; the round before is deleted. The number of rounds grows with the logarithm of the graph's diameter.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     edges = materialise(edges.where("u <> v").select("u", "v").distinct(), f"{name}-edges")
     state = None
     while True:
-        edges = materialise(_small_star(_large_star(edges)), f"{name}-stars")
+        before, edges = edges, materialise(_small_star(_large_star(edges)), f"{name}-stars")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(now) == state:
             break
