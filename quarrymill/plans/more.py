@@ -83,7 +83,7 @@ def default_footers(spark, sf):
 # ---- sheets
 
 CLEAN_SQL = (
-    GRID + ", f as (select * from ce where trim(value) <> ''), r as (select sheet, \"row\", dense_rank() over (partition by sheet order by \"row\") as r from f group by sheet, \"row\"), c as (select sheet, col, dense_rank() over (partition by sheet order by col) as c from f group by sheet, col), "
+    GRID.replace("ce as (", "c0 as (", 1) + ", ce as (select * from c0 where not (\"row\" % 7 in (0, 3) and col <> 2)), f as (select * from ce where trim(value) <> ''), r as (select sheet, \"row\", dense_rank() over (partition by sheet order by \"row\") as r from f group by sheet, \"row\"), c as (select sheet, col, dense_rank() over (partition by sheet order by col) as c from f group by sheet, col), "
     "cg as (select r.sheet, cast(r as integer) as \"row\", cast(c as integer) as col, coalesce(value, '') as value from r join c on r.sheet = c.sheet left join ce on ce.sheet = r.sheet and ce.\"row\" = r.\"row\" and ce.col = c.col), "
     "rs as (select sheet, \"row\", count(*) filter (trim(value) <> '') as n, min(col) filter (trim(value) <> '') as fc, arg_min(value, col) filter (trim(value) <> '') as fv from cg group by sheet, \"row\"), "
     "da as (select *, n >= 2 and fc <= 2 and regexp_matches(trim(fv), '^(0[xX][0-9A-Fa-f]+|[0-9]+(\\.[0-9]+)?)$') as is_data, lag(n) over (partition by sheet order by \"row\") as pn from rs), "
@@ -97,7 +97,7 @@ CLEAN_SQL = (
 def _grid(spark, sf):
     from ..operators import events as ev
 
-    grid = ev.clean_grid(cells(spark, sf))
+    grid = ev.clean_grid(cells(spark, sf).where("not (row % 7 in (0, 3) and col <> 2)"))  # rows of one cell: titles and notes
     return grid, sh.row_parts(grid, 3)
 
 
@@ -123,7 +123,7 @@ def sheet_notes(spark, sf):
 
 MESSAGE_SQL = (
     "r as (select cast(o_custkey % 10 as string) as sheet, cast(row_number() over (partition by o_custkey % 10 order by o_orderkey) as integer) as \"row\", o_orderkey as k, case when o_orderkey % 6 = 0 then 'M' || o_orderkey end as name, "
-    "case when o_orderkey % 12 = 0 then '0x' || lower(to_hex(o_orderkey % 4096)) when o_orderkey % 6 = 0 then 'bad' end as id, case when o_orderkey % 5 = 0 then ' ' else 'sig' || o_orderkey end as signal, o_orderstatus as unit, o_custkey as len from orders), "
+    "case when o_orderkey % 12 = 0 then '0x' || lower(to_hex(o_orderkey % 4096)) when o_orderkey % 6 = 0 then 'none' end as id, case when o_orderkey % 5 = 0 then ' ' else 'sig' || o_orderkey end as signal, o_orderstatus as unit, o_custkey as len from orders), "
     "s as (select *, sum(case when name is not null then 1 else 0 end) over (partition by sheet order by \"row\") as g from r), "
     "ms as (select *, first_value(name) over w as message, first_value(id) over w as message_id, first_value(k) over w as hk, row_number() over w as nth from s where g > 0 window w as (partition by sheet, g order by \"row\")) "
 )
@@ -133,7 +133,7 @@ def _messages(spark, sf):
     k = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(
         F.expr("cast(o_custkey % 10 as string)").alias("sheet"), F.row_number().over(Window.partitionBy(F.expr("o_custkey % 10")).orderBy("o_orderkey")).alias("row"), F.when(k % 6 == 0, F.concat(F.lit("M"), k.cast("string"))).alias("name"),
-        F.when(k % 12 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k % 4096)))).when(k % 6 == 0, "bad").alias("id"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("sig"), k.cast("string"))).alias("signal"),
+        F.when(k % 12 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k % 4096)))).when(k % 6 == 0, "none").alias("id"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("sig"), k.cast("string"))).alias("signal"),
         F.col("o_orderstatus").alias("unit"), F.col("o_custkey").alias("len"),
     )
     return sh.message_rows(rows)
