@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, lm_scoring, mixing, quality, sentencepiece_codec, substring_dedup, token_counts, vector_topk, warc
+from . import (
+    chat_format, conversation_repair, fingerprints, jaccard_join, lm_scoring, mixing, quality, sentencepiece_codec, substring_dedup, token_counts,
+    vector_topk, warc, whitening,
+)
 from .common import scratch_path, table
+from .conversation_sql import SQL_OP11, SQL_OP12
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,6 +64,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_control_turns(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(rows))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
 SQL_OP1 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as ints from embeddings
@@ -125,8 +142,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scoring": op9_lm_scoring,
         "op1_vector_topk": op1_vector_topk,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_chat_format": op11_chat_format,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_topk": SQL_OP1, "op3_jaccard_join": SQL_OP3, "op7_warc": SQL_OP7, "op10_substring_dedup": SQL_OP10}
+    return {"op1_vector_topk": SQL_OP1, "op3_jaccard_join": SQL_OP3, "op7_warc": SQL_OP7, "op10_substring_dedup": SQL_OP10, "op11_chat_format": SQL_OP11, "op12_conversation_repair": SQL_OP12}
