@@ -36,26 +36,26 @@ def line_stats(lines: DataFrame) -> DataFrame:
     return lines.groupBy("docno").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
 
 
+#: The marks of a fenced block.
+FENCE = r"^\s*(```|~~~)"
+
+
 def with_fence(lines: DataFrame, keep_open: bool = False) -> DataFrame:
     """lines with is_fence and fenced. A block of ``` or ~~~ is closed by the mark that opened it; the other mark is text in it.
 
-    A fold over each document's fence lines alone; the other lines take the state of the fence before them. keep_open adds
-    `opened`: the mark of a block that the line opens, else blank.
+    A line's state is 0 outside blocks, 1 in a ``` block, 2 in a ~~~ block. A fence line takes state s to m - s modulo 3, m being 1
+    for ``` and 2 for ~~~: it swaps 0 with its own block and leaves the other one. So the state after n fences is
+    (-1)^n times the sum of (-1)^k m_k, which two running sums give. keep_open adds `opened`: the mark of a block that
+    the line opens, else blank.
     """
-    mark = F.regexp_extract("text", r"^\s*(```|~~~)", 1)
-    fences = lines.where(mark != "").groupBy("docno").agg(F.sort_array(F.collect_list(F.struct("line", mark.alias("mark")))).alias("marks"))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<line:int,open:string>>").alias("states"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(acc["open"] == "", x["mark"]).when(acc["open"] == x["mark"], F.lit("")).otherwise(acc["open"])
-        return F.struct(now.alias("open"), F.concat(acc["states"], F.array(F.struct(x["line"].cast("int").alias("line"), now.alias("open")))).alias("states"))
-
-    states = fences.select("docno", F.inline(F.aggregate("marks", start, step, lambda acc: acc["states"])))
-    placed = lines.join(states, ["docno", "line"], "left").withColumn("is_fence", F.col("open").isNotNull())
-    state = F.coalesce(F.last("open", ignorenulls=True).over(up_to()), F.lit(""))
-    before_it = F.coalesce(F.last("open", ignorenulls=True).over(before()), F.lit(""))
-    opened = [F.when(F.col("is_fence") & (before_it == ""), F.col("open")).otherwise("").alias("opened")] if keep_open else []
-    return placed.select(*lines.columns, "is_fence", ((state != "") | F.col("is_fence")).alias("fenced"), *opened)
+    mark = F.regexp_extract("text", FENCE, 1)
+    rows = lines.withColumn("__m", F.when(mark == "```", 1).when(mark == "~~~", 2).otherwise(0))
+    rows = rows.withColumn("__n", F.sum((F.col("__m") > 0).cast("int")).over(up_to()))
+    sign = F.when(F.col("__n") % 2 == 0, 1).otherwise(-1)
+    rows = rows.withColumn("__s", F.pmod(sign * F.sum(sign * F.col("__m")).over(up_to()), F.lit(3)))
+    is_fence = F.col("__m") > 0
+    opened = [F.when(is_fence & (F.col("__s") == F.col("__m")), mark).otherwise("").alias("opened")] if keep_open else []
+    return rows.select(*lines.columns, is_fence.alias("is_fence"), ((F.col("__s") > 0) | is_fence).alias("fenced"), *opened)
 
 
 def headings(lines: DataFrame, min_depth: int = 1) -> DataFrame:
