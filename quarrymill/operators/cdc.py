@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def change_set(current: DataFrame, state: DataFrame) -> DataFrame:
     """kind, relpath, from_path, hash, old_hash over current (relpath, hash) and state (relpath, hash, retired).
@@ -26,27 +28,18 @@ def change_set(current: DataFrame, state: DataFrame) -> DataFrame:
     return stay.unionByName(new).unionByName(removed)
 
 
-#: Parts that a ranking is cut into, so that no task holds all rows.
-RANK_PARTS = 256
-
-
-def ranked(rows: DataFrame, order: str, name: str = "rank", parts: int = RANK_PARTS) -> DataFrame:
+def ranked(rows: DataFrame, order: str, name: str = "rank") -> DataFrame:
     """rows with their place in order, from 1, without a window over all of them.
 
-    Bounds that cut the order into about `parts` parts come from a sample of the keys by hash (at most 4 * parts keys);
-    places within a part are added to the rows in the parts before it. Equal keys share a part, so the sample never
-    changes the result.
+    Rows are dealt to tasks by ranges of the order, sorted and written once with their place in their task; the rows of the
+    tasks before are added to it, a sum over one row a task.
     """
-    step = max(1, rows.count() // parts)
-    drawn = rows.where(F.pmod(F.xxhash64(order), F.lit(step)) == 0).select(order).distinct().orderBy(order).limit(4 * parts)
-    bounds = F.array(*[F.lit(r[0]) for r in drawn.collect()]).cast(f"array<{rows.schema[order].dataType.simpleString()}>")
-    part = F.size(F.filter(bounds, lambda b: b <= F.col(order)))
-    placed = rows.withColumn("__part", part)
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # at most 4 * parts + 1 rows
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = placed.join(sizes.withColumn("__before", before).drop("__n"), "__part")
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return found.withColumn(name, (within + F.col("__before")).cast("long")).drop("__part", "__before")
+    place, task = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("__at", 33)
+    dealt = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    sizes = dealt.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = dealt.withColumn("__task", task).join(sizes.select("__task", before.alias("__before")), "__task")
+    return found.withColumn(name, (place + 1 + F.col("__before")).cast("long")).drop("__at", "__task", "__before")
 
 
 def free_numbers(used: DataFrame, wanted: int) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import records as rc
+from ..operators import cdc, records as rc
 from ..sources import tracker
 from ..sources.scratch import scratch_path
-from .catalog import query, table
+from ..streaming import renames
+from .catalog import CHANGES, _current, _state, query, table
 
 # ---- paged exports
 
@@ -37,3 +38,24 @@ def tracker_counts(spark, sf):
     path, schema = _export(spark, sf)
     wanted = F.col("o_orderkey").between(100, 20000) & F.col("o_orderpriority").contains("URG")
     return tracker.search(spark, path, schema, "o_orderkey", wanted).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+# ---- changes as a stream
+
+
+@query(CHANGES + "select kind, relpath, from_path, hash, old_hash from ch")
+def streamed_changes(spark, sf):
+    """The change set from single observations, each told twice, in an order of their digests, by micro-batches of one file."""
+    spark.conf.set(*renames.STORE_CONF)
+    state, seen = _state(spark, sf).drop("docno"), _current(spark, sf)
+    gone = state.where("not retired").join(seen, "relpath", "left_anti").select("relpath", F.lit(None).cast("string").alias("hash"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("relpath"), F.lit(500)))
+    told = seen.select("relpath", "hash").unionByName(gone).withColumn("ts", at)
+    root = scratch_path(spark, "observed")
+    told.unionByName(told).repartition(4, F.xxhash64("relpath", F.rand(7))).write.parquet(f"{root}/rows")
+    closing = spark.range(1).select(F.lit(None).cast("string").alias("relpath"), F.lit(None).cast("string").alias("hash"), F.timestamp_seconds(F.lit(1_700_100_000)).alias("ts"))
+    closing.write.mode("append").parquet(f"{root}/rows")
+    stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/rows")
+    changes = renames.change_stream(stream, state, "30 minutes")
+    changes.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changes.schema).parquet(f"{root}/changes")
