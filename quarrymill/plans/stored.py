@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cdc, records as rc
 from ..sources import tracker
 from ..sources.scratch import scratch_path
+from ..sources.versions import Versions, add_contents, next_state
 from ..streaming import renames
 from .catalog import CHANGES, _current, _state, query, table
 
@@ -59,3 +60,37 @@ def streamed_changes(spark, sf):
     changes = renames.change_stream(stream, state, "30 minutes")
     changes.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(changes.schema).parquet(f"{root}/changes")
+
+
+# ---- versioned state
+
+
+@query(
+    CHANGES + ", k as (select c.relpath, docno from ch c join ol on coalesce(from_path, c.relpath) = ol.relpath where kind in ('unchanged', 'modified', 'renamed')), a as (select relpath, row_number() over (order by relpath) as r from ch where kind = 'added'), "
+    "f as (select n, row_number() over (order by n) as r from range(1, (select count(*) from ol) + (select count(*) from a) + 1) t(n) where n not in (select cast(docno as bigint) from ol)), "
+    "nu as (select relpath, docno from k union all select relpath, case when n < 100 then lpad(cast(n as string), 2, '0') else cast(n as string) end from a join f using (r)), "
+    "nw as (select relpath, hash, docno, false as retired from ch join nu using (relpath) where kind <> 'removed'), go as (select relpath, ol.hash, docno, true as retired from ol where relpath in (select relpath from ch where kind = 'removed')) "
+    "select * from nw union all select * from go union all select relpath, hash, docno, true from ol where retired and relpath not in (select relpath from nw) and relpath not in (select relpath from go) and relpath not in (select from_path from ch where from_path is not null)"
+)
+def committed_state(spark, sf):
+    """A state published, its change set applied and published as the next version, and that version read back."""
+    store = Versions(spark, scratch_path(spark, "state"))
+    store.commit(_state(spark, sf), None, "first")
+
+    def applied(state):
+        changes = cdc.change_set(_current(spark, sf), state.drop("docno"))
+        numbers = cdc.assign_numbers(changes, state, changes.where("kind = 'added'").count())
+        return next_state(changes, numbers, state)
+
+    store.update(applied, "second")
+    return store.read()
+
+
+@query("select p_partkey % 100 as key, p_name as body, sha256(p_name) as digest from part group by 1, 2, 3")
+def stored_contents(spark, sf):
+    """Contents added in two overlapping parts, one of them told twice: each once."""
+    rows = table(spark, sf, "part").select(F.expr("p_partkey % 100").alias("key"), F.col("p_name").alias("body"), "p_partkey")
+    store = Versions(spark, scratch_path(spark, "contents"))
+    for batch, part in (("a", rows.where("p_partkey % 3 <> 0")), ("b", rows.where("p_partkey % 3 <> 1")), ("b", rows.where("p_partkey % 3 <> 1"))):
+        found = add_contents(store, part, "key", "body", batch)
+    return found
