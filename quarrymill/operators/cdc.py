@@ -28,14 +28,14 @@ def change_set(current: DataFrame, state: DataFrame) -> DataFrame:
     return stay.unionByName(new).unionByName(removed)
 
 
-def ranked(rows: DataFrame, order: str, name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, order: str, name: str = "rank", parts: int | None = None) -> DataFrame:
     """rows with their place in order, from 1, without a window over all of them.
 
     Rows are dealt to tasks by ranges of the order, sorted and written once with their place in their task; the rows of the
-    tasks before are added to it, a sum over one row a task.
+    tasks before are added to it, a sum over one row a task. parts: the number of ranges, else Spark's.
     """
     place, task = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("__at", 33)
-    dealt = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    dealt = written((rows.repartitionByRange(parts, order) if parts else rows.repartitionByRange(order)).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
     sizes = dealt.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = dealt.withColumn("__task", task).join(sizes.select("__task", before.alias("__before")), "__task")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import cdc, evidence as evd, lines as ln, modules as mo, projections as pj, records as rc, sheets as sh
-from ..sources import inputs, sinks
+from ..sources import html_text, inputs, sinks
 from .catalog import CAND_SQL, CHUNKS, FILES_SQL, GRID, HEADS, HITS, MD_SQL, MODULES, NUM_SQL, _hits, _numbered, cells, md_lines, query, repo_files, repo_modules, table
 
 # ---- outlines
@@ -436,20 +436,23 @@ def present_uploads(spark, sf):
 
 # ---- inputs
 
+# the given pages are simple enough for a chain of replacements, which knows nothing of the reader's tokens
+LINE_TAGS = "p|div|br|li|ul|ol|tr|table|nav|article|section|header|footer|h[1-6]|pre|blockquote|title|html|head|body"
+REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 MARKDOWN_SQL = "regexp_replace(regexp_replace(coalesce(html, ''), '<(script|style)\\b[^>]*>.*?</(?:script|style)\\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'gis'), '\\s+', ' ', 'g')"
 for _n in range(1, 7):
     MARKDOWN_SQL = f"regexp_replace({MARKDOWN_SQL}, '<h{_n}\\b[^>]*>', chr(10) || '{'#' * _n} ', 'gi')"
 MARKDOWN_SQL = f"regexp_replace({MARKDOWN_SQL}, '<li\\b[^>]*>', chr(10) || '- ', 'gi')"
 MARKDOWN_SQL = f"regexp_replace({MARKDOWN_SQL}, '<a\\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'gi')"
-MARKDOWN_SQL = f"regexp_replace(regexp_replace({MARKDOWN_SQL}, '</?(?:{inputs.LINE_TAGS})\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g')"
-for _k, _v in inputs.NAMED.items():
+MARKDOWN_SQL = f"regexp_replace(regexp_replace({MARKDOWN_SQL}, '</?(?:{LINE_TAGS})\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g')"
+for _k, _v in REFERENCES.items():
     MARKDOWN_SQL = f"replace({MARKDOWN_SQL}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
 MARKDOWN_SQL = f"regexp_replace(regexp_replace({MARKDOWN_SQL}, ' *\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g')"
 
 
 @query(f"select page_id, {MARKDOWN_SQL} as text from pages")
 def page_markdown(spark, sf):
-    return table(spark, sf, "pages").select("page_id", inputs.html_markdown("html").alias("text"))
+    return table(spark, sf, "pages").select("page_id", html_text.html_markdown("html").alias("text"))
 
 
 DIFF_LINE = "case when p_partkey % 4 = 0 then concat('R100', chr(9), 'old/f', cast(p_size as string), chr(9), 'new/f', cast(p_partkey as string)) when p_partkey % 4 = 1 then concat('M', chr(9), '\"a b/f', cast(p_size as string), '\"') when p_partkey % 4 = 2 then 'noise' else concat('D', chr(9), 'gone/', p_brand) end"

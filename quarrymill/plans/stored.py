@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import cdc, records as rc
-from ..sources import tracker
+from ..sources import archives, tracker, workbooks
 from ..sources.scratch import scratch_path
 from ..sources.versions import Versions, add_contents, next_state
 from ..streaming import renames
@@ -94,3 +99,56 @@ def stored_contents(spark, sf):
     for batch, part in (("a", rows.where("p_partkey % 3 <> 0")), ("b", rows.where("p_partkey % 3 <> 1")), ("b", rows.where("p_partkey % 3 <> 1"))):
         found = add_contents(store, part, "key", "body", batch)
     return found
+
+
+# ---- containers
+
+
+def _workbooks(spark, sf):
+    """relpath, content: a workbook for each thousand orders, with a sheet for each tenth of them by customer."""
+    o = table(spark, sf, "orders").select(F.expr("concat('w', cast(o_orderkey div 1000 as string))").alias("relpath"), F.expr("cast(o_custkey % 10 as string)").alias("sheet"), F.expr("cast(o_orderkey % 1000 as int)").alias("row"), F.expr("cast(o_custkey % 7 as int)").alias("col"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("value"))
+
+    def make(key, rows):
+        sheets = {s: list(zip(g["row"].tolist(), g["col"].tolist(), g["value"].tolist())) for s, g in rows.groupby("sheet")}
+        return pd.DataFrame({"relpath": [key[0]], "content": [workbooks.workbook_bytes(sheets)]})
+
+    return o.groupBy("relpath").applyInPandas(make, "relpath string, content binary")
+
+
+@query("select concat('w', cast(o_orderkey // 1000 as varchar)) as relpath, cast(o_custkey % 10 as varchar) as sheet, cast(o_orderkey % 1000 as integer) as \"row\", cast(o_custkey % 7 as integer) as col, o_orderpriority || ' ' || o_orderstatus as value from orders")
+def workbook_cells(spark, sf):
+    """Orders in workbooks of a thousand, read back cell by cell."""
+    return workbooks.sheet_cells(_workbooks(spark, sf))
+
+
+def _bundles(spark, sf):
+    """relpath, content: a tar for each hundred pages, holding them as a zip of pages and one page as it is."""
+
+    def make(key, rows):
+        rows = rows.sort_values("page_id")
+        inner, outer = io.BytesIO(), io.BytesIO()
+        named = [(f"{i}.html", (h or "").encode()) for i, h in zip(rows["page_id"], rows["html"])]
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, body in named[1:]:
+                z.writestr(name, body)
+        with tarfile.open(fileobj=outer, mode="w:gz", compresslevel=1) as t:
+            for name, body in (named[0], ("rest.zip", inner.getvalue())):
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+        return pd.DataFrame({"relpath": [f"b{key[0]}"], "content": [outer.getvalue()]})
+
+    pages = table(spark, sf, "pages").select(F.expr("page_id div 100").alias("bundle"), "page_id", "html")
+    return pages.groupBy("bundle").applyInPandas(make, "relpath string, content binary")
+
+
+@query(
+    "select concat('b', cast(page_id // 100 as varchar), case when page_id = min(page_id) over (partition by page_id // 100) then '!/' else '!/rest.zip!/' end, cast(page_id as varchar), '.html') as relpath, "
+    "octet_length(encode(coalesce(html, ''))) as bytes, md5(coalesce(html, '')) as digest from pages"
+)
+def archived_pages(spark, sf):
+    """Pages in zips in compressed tars, read back member by member in chunks of 4 KB, joined again for their digests."""
+    parts = archives.member_chunks(_bundles(spark, sf), chunk=4096).where("note is null")
+    whole = parts.groupBy("relpath").agg(F.sort_array(F.collect_list(F.struct("chunk", "content"))).alias("c"))
+    content = F.unhex(F.array_join(F.transform("c", lambda x: F.hex(x["content"])), ""))
+    return whole.select("relpath", F.length(content).cast("long").alias("bytes"), F.md5(content).alias("digest"))

@@ -1,4 +1,4 @@
-"""Inputs besides plain scans: commented JSON, change lists of a version control, metadata pages, HTML as Markdown."""
+"""Inputs besides plain scans: commented JSON, change lists of a version control, metadata pages."""
 
 from __future__ import annotations
 
@@ -68,23 +68,3 @@ def metadata_pages(rows: DataFrame, order: list[Column], page: int, most: int) -
     at = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.struct(*rows.columns).alias("row"))))
     ranked = kept.agg(at.alias("rows")).select(F.posexplode("rows").alias("k", "x")).select((F.col("k") + 1).alias("nth"), F.floor(F.col("k") / page).cast("int").alias("page"), "x.row.*")
     return ranked.crossJoin(total).withColumn("truncated", F.col("__total") > most).drop("__total")  # one row
-
-
-#: Tags that end a line, and characters that named references stand for.
-LINE_TAGS = "p|div|br|li|ul|ol|tr|table|nav|article|section|header|footer|h[1-6]|pre|blockquote|title|html|head|body"
-NAMED = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
-
-
-def html_markdown(html: Column | str) -> Column:
-    """A page as Markdown lines: headings, list items and links kept, scripts, styles and comments dropped, blank lines gone."""
-    c = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
-    c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)\s*>|<!--.*?-->|<!doctype[^>]*>", "")
-    c = F.regexp_replace(c, r"\s+", " ")
-    for n in range(1, 7):
-        c = F.regexp_replace(c, rf"(?i)<h{n}\b[^>]*>", "\n" + "#" * n + " ")
-    c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", "\n- ")
-    c = F.regexp_replace(c, r"(?i)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{LINE_TAGS})\b[^>]*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
-    c = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), NAMED.items(), c)
-    return F.regexp_replace(F.regexp_replace(c, r" *\n[ \n]*", "\n"), r"^\n+|\n+$", "")

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import re
-import tarfile
-import zipfile
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .archives import members
+
 FILE = "relpath string, size long, modified timestamp, spec_index int"
 
 
@@ -63,58 +59,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.where("v is not null and r is not null").select("r.*")
 
 
-def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Files of a zip or tar; absolute and climbing names are refused. Other data has none."""
-    safe = lambda n: not (n.startswith(("/", "\\")) or re.match("^[A-Za-z]:", n) or ".." in re.split(r"[\\/]", n))
-    if zipfile.is_zipfile(io.BytesIO(data)):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for i in z.infolist():
-                if not i.is_dir() and safe(i.filename):
-                    yield i.filename, z.read(i)
-        return
-    try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
-            for m in t:
-                if m.isfile() and safe(m.name):
-                    yield m.name, t.extractfile(m).read()
-    except (tarfile.TarError, EOFError, gzip.BadGzipFile):
-        return
-
-
-ARCHIVE = r"(?i)\.(zip|tar|tgz|gz|7z|tar\.bz2|tar\.xz)$"
-
-
 def expand_archives(files: DataFrame, levels: int = 3) -> DataFrame:
     """relpath, content: files, with archives replaced by their members, nested ones up to `levels` deep.
 
-    An archive that can't be opened (or a level too deep) gives no member. Members are classified by whoever reads them, once.
+    An archive that can't be opened (or a level too deep) gives no member; `archives.member_chunks` says why, and has no bound on
+    a member's size.
     """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, data in zip(part["relpath"], part["content"]):
-                for name, body in _members(path, bytes(data)):
-                    yield pd.DataFrame({"relpath": [f"{path}!/{name}"], "content": [body]})
-
-    rows, out = files.select("relpath", "content"), None
-    for _ in range(levels):
-        plain = rows.where(~F.col("relpath").rlike(ARCHIVE))
-        out = plain if out is None else out.unionByName(plain)
-        rows = rows.where(F.col("relpath").rlike(ARCHIVE)).mapInPandas(run, "relpath string, content binary")
-    return out.unionByName(rows.where(~F.col("relpath").rlike(ARCHIVE)))
-
-
-def sheet_cells(files: DataFrame) -> DataFrame:
-    """relpath, sheet, row, col, value of every sheet without header. Needs an Excel reader for pandas on the workers."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, data in zip(part["relpath"], part["content"]):
-                for sheet, grid in pd.read_excel(io.BytesIO(data), sheet_name=None, header=None, dtype=str).items():
-                    cells = grid.fillna("").stack()
-                    yield pd.DataFrame({"relpath": path, "sheet": sheet, "row": [int(r) for r, _ in cells.index], "col": [int(c) for _, c in cells.index], "value": cells.to_numpy()})
-
-    return files.select("relpath", "content").mapInPandas(run, "relpath string, sheet string, row int, col int, value string")
+    return members(files, levels)
 
 
 def unique_by_name(files: DataFrame, name: str) -> DataFrame:

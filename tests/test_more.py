@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as tx
 from quarrymill.operators import cdc, evidence as evd, events as ev, lines as ln, modules as mo, sheets as sh
-from quarrymill.sources import inputs
+from quarrymill.sources import html_text, inputs
 
 
 def doc(spark, *texts):
@@ -91,5 +91,5 @@ def test_commented_json(spark, tmp_path):
 
 def test_markdown_of_odd_pages(spark):
     html = "<H2 class=x>A &lt;b&gt;</h2><p>x<b>y</b> <a title=t href=\"/u\">l <i>i</i></a><br/>z</p><script>1</p></script><!-- <p> --><ul><li>one<li>two</ul>"
-    rows = spark.createDataFrame([(html,), (None,), ("",), ("plain  text",)], "html string").select(inputs.html_markdown("html")).collect()
+    rows = spark.createDataFrame([(html,), (None,), ("",), ("plain  text",)], "html string").select(html_text.html_markdown("html")).collect()
     assert [r[0] for r in rows] == ["## A <b>\nxy [l i](/u)\nz\n- one\n- two", "", "", "plain text"]
