@@ -65,6 +65,21 @@ def discard(made: DataFrame) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def carried(docs: DataFrame, needed: set[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(docs) with docs' other columns carried as structs, so that none of their names meets one that run uses inside.
+
+    run keeps the columns that it gets; columns it adds stand last and replace those of their names.
+    """
+    is_map = {f.name: "map<" in f.dataType.simpleString() for f in docs.schema}
+    packs = {"__others": [c for c in docs.columns if c not in needed and not is_map[c]], "__maps": [c for c in docs.columns if c not in needed and is_map[c]]}
+    packs = {name: columns for name, columns in packs.items() if columns}
+    own = [c for c in docs.columns if c in needed]
+    out = run(docs.select(*own, *[F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias(name) for name, columns in packs.items()]))
+    new = [c for c in out.columns if c not in own and c not in packs]
+    at = {c: F.col(name).getField(c).alias(c) for name, columns in packs.items() for c in columns} | {c: F.col(c) for c in own}
+    return out.select(*[at[c] for c in docs.columns if c not in new], *new)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -89,6 +104,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = SLICE_BYTES
             yield batch.slice(at, step)
 
 
+#: Longer words aren't remembered from batch to batch: memos are bounded in bytes by this and their number of entries.
+LONGEST_KEPT = 64
+
 _KEPT: dict[str, Any] = {}
 
 

@@ -30,9 +30,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     state = None
     while True:
         before, edges = edges, materialise(_small_star(_large_star(edges)), f"{name}-stars")
-        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(now) == state:
+        # equal sums only say that it may be the end; rounds of as many distinct edges are equal if none is new
+        end = tuple(now) == state and edges.join(before, ["u", "v"], "left_anti").isEmpty()
+        discard(before)
+        if end:
             break
         state = tuple(now)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

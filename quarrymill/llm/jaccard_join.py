@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, in_arrow, kept, materialise, null_free, slices, spread_join, utf8_rows
+from .common import as_batch, carried, in_arrow, kept, materialise, null_free, slices, spread_join, utf8_rows
 from .components import components
 from .substring_dedup import BLOCK_BITS, _planes, _unplaned, sketch_bits
 from .words import WordHashes, list_windows, window_hashes
@@ -488,6 +488,10 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: str | Fraction = "0.8")
 
     Of rows that repeat the kept doc_id, the one whose text's hash is least stays.
     """
+    return carried(docs, {"doc_id", "text"}, lambda d: _keep_one(d, size, threshold))
+
+
+def _keep_one(docs: DataFrame, size: int, threshold: str | Fraction) -> DataFrame:
     found = jaccard_components(docs, size, threshold).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
     left = docs.join(found, F.col("doc_id") == F.col("__doc"), "left_anti")
     text = F.xxhash64(null_free("text"))

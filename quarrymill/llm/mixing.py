@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, null_free
+from .common import carried, materialise, null_free
 
 MAX_BLOCKS = 65_536
 #: Bisection levels for each aggregate, and aggregates: the exponent to 2**-40.
@@ -143,6 +143,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     them by their other columns' hash get these. whole: rows that get no turn, of sources or blocks without tokens,
     come once.
     """
+    return carried(docs, {"doc_id", "text", "source"}, lambda d: _mixed_documents(d, **options))
+
+
+def _mixed_documents(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     keys = ["__d", "__dn", "__k", "__s", "__sn"]
     dealt = mix(docs, **options)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_batch, in_arrow, kept, slices, utf8_rows
+from .common import LONGEST_KEPT, as_batch, carried, in_arrow, kept, slices, utf8_rows
 
 WORD_BUCKETS = 4096
 #: Upper edges of the bands of each shape quantity.
@@ -55,7 +55,9 @@ _CLASSES[65:91] = 3
 
 class Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = b = zlib.crc32(word) % WORD_BUCKETS
+        b = zlib.crc32(word) % WORD_BUCKETS
+        if len(word) <= LONGEST_KEPT:
+            self[word] = b
         return b
 
 
@@ -136,17 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", teaches: Co
         one = usable.where(F.col(target) == label).select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("__label"))
         parts.append(one.orderBy(F.xxhash64("__id"), "__id").limit(room))
     chosen = parts[0].unionByName(parts[1])  # at most max_labelled rows of two numbers
-    spec = "label int, terms array<int>, counts array<float>"
-    schema = pa.schema([("label", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))])
+    spec = "by_id long, by_text long, label int, terms array<int>, counts array<float>"
+    schema = pa.schema([("by_id", pa.int64()), ("by_text", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in slices(batches, 500):
             made = [features(t, buckets) for t in utf8_rows(batch.column("text"))]
-            yield as_batch(schema, [batch.column("__label"), [t.astype(np.int32) for t, _ in made], [v for _, v in made]])
+            yield as_batch(schema, [batch.column("by_id"), batch.column("by_text"), batch.column("label"), [t.astype(np.int32) for t, _ in made], [v for _, v in made]])
 
-    # a doc_id that repeats adds rows; the limit holds for what is collected, too
-    found = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select("text", "__label").limit(2 * max_labelled).transform(in_arrow, run, spec).toArrow()
+    # a doc_id that repeats adds rows: of all of them the first by the hashes of id and text are taken, whatever task they come from
+    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    keyed = taught.select(F.xxhash64("doc_id").alias("by_id"), F.xxhash64("text").alias("by_text"), F.col("__label").alias("label"), "text")
+    found = keyed.transform(in_arrow, run, spec).orderBy("by_id", "by_text", "label").limit(2 * max_labelled).toArrow()
     if not found.num_rows:
         return None
     rows = [(np.asarray(t), np.asarray(v, np.float32)) for t, v in zip(found.column("terms").to_pylist(), found.column("counts").to_pylist())]
@@ -161,6 +165,10 @@ def with_scores(docs: DataFrame, model: Neighbours | None, out_col: str = "score
     docs = docs.drop(out_col)
     if model is None:
         return docs.withColumn(out_col, F.lit(0.5))
+    return carried(docs, {"doc_id", "text"}, lambda d: _scored(d, model, out_col))
+
+
+def _scored(docs: DataFrame, model: Neighbours, out_col: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # terms x rank and max_labelled x rank floats
     made = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
     schema = to_arrow_schema(made)

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_batch, in_arrow, kept, slices, utf8_rows
+from .common import LONGEST_KEPT, as_batch, in_arrow, kept, slices, utf8_rows
 
 MARK = "▁"
-#: Chunks remembered by one worker before it forgets them all; a bound on memory, not on the result.
+#: Chunks remembered by one worker before it forgets them all; with LONGEST_KEPT a bound on memory, not on the result.
 CHUNK_MEMO = 300_000
 
 
@@ -183,7 +183,11 @@ class Codec:
             fresh = list({c for chunks in split for c in chunks})
         for chunk, ids in zip(fresh, self.model.encode(fresh, num_threads=1) if fresh else []):
             memo[chunk] = struct.pack(f"<{len(ids)}I", *ids) if chunk else self.lone_mark
-        return [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+        ids = [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+        for c in fresh:
+            if len(c) > LONGEST_KEPT:
+                del memo[c]
+        return ids
 
     def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and one-past-last original byte of each id's piece."""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_batch, in_arrow, kept, null_free, slices, utf8_rows
+from .common import as_batch, carried, in_arrow, kept, null_free, slices, utf8_rows
 from .words import WordHashes, batch_windows, window_hashes
 
 BLOCK_BITS = 20
@@ -271,6 +271,10 @@ def cut_repeats(docs: DataFrame, size: int = 13, **sketch: int) -> DataFrame:
 
     Documents that had no word to begin with stay as they are. n_chars, where there, follows the text.
     """
+    return carried(docs, {"doc_id", "text", "n_chars"}, lambda d: _cut_repeats(d, size, **sketch))
+
+
+def _cut_repeats(docs: DataFrame, size: int, **sketch: int) -> DataFrame:
     found = repeated_starts(docs, size, **sketch)
     gone_col = "__gone"
     made = T.StructType([*docs.schema.fields, T.StructField(gone_col, T.BooleanType())])

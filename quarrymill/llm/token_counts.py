@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_batch, in_arrow, kept, materialise, null_free, path_exists, slices, spread_join, utf8_rows
+from .common import LONGEST_KEPT, as_batch, carried, in_arrow, kept, materialise, null_free, path_exists, slices, spread_join, utf8_rows
 
 CACHE_SCHEMA = T.StructType(
     [
@@ -32,7 +32,7 @@ CACHE_SCHEMA = T.StructType(
         T.StructField("n_tokens", T.LongType()),
     ]
 )
-#: Words remembered by one worker before it forgets them all; a bound on memory, not on the result.
+#: Words remembered by one worker before it forgets them all; with LONGEST_KEPT a bound on memory, not on the result.
 WORD_MEMO = 400_000
 
 
@@ -114,7 +114,11 @@ class _Counter:
             part = fresh[at : at + 20_000]
             memo.update(zip(part, self.whole([w.decode("utf-8", "replace") for w in part])))
         known = memo.__getitem__
-        return [sum(map(known, words)) for words in split]
+        counts = [sum(map(known, words)) for words in split]
+        for w in fresh:
+            if len(w) > LONGEST_KEPT:
+                del memo[w]
+        return counts
 
 
 def _counter(path: str) -> _Counter:
@@ -153,6 +157,10 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col:
 
 def with_token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """docs with `out_col`: tokens of the whole text, without begin, end or added special tokens."""
+    return carried(docs, {"doc_id", text_col}, lambda d: _with_token_counts(d, tokenizer_path, cache_path, text_col, out_col))
+
+
+def _with_token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str, out_col: str) -> DataFrame:
     cache = fill_cache(docs, tokenizer_path, cache_path, text_col)
     key, count = "__content_digest", "__n_tokens"
     counts = cache.select(F.col("content_digest").alias(key), F.col("n_tokens").alias(count))

@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import mix64
+from .common import LONGEST_KEPT, mix64
 
-#: Words remembered by one worker before it forgets them all; a bound on memory, not on the result.
+#: Words remembered by one worker before it forgets them all; with LONGEST_KEPT a bound on memory, not on the result.
 WORD_MEMO = 200_000
 #: Odd multipliers of the two window hashes.
 ROLL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -17,7 +17,9 @@ class WordHashes(dict):
     """bytes to 64-bit hash, filled on demand."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST_KEPT:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
