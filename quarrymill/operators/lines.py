@@ -153,12 +153,15 @@ def residual(raw: Column, num: Column, title: Column) -> Column:
 
 
 def inject_headings(lines: DataFrame, heads: DataFrame, table_split: bool = True) -> DataFrame:
-    """Heading rows become `## num title` between blank lines; consumed rows go; lines are numbered anew.
+    """Heading rows become `## num title` between blank lines; consumed rows go; lines are numbered anew. A column level
+    gives a heading its rank, else its number does.
 
     A heading in a table row splits the table: an empty header row and separator of its width follow, then the row, and a
     separator right after it goes. Of other heading lines what is neither number nor title stays as a line of its own.
     """
     level = F.least(F.size(F.split("num", r"\.")) + 1, F.lit(6))
+    if "level" in heads.columns:
+        level = F.coalesce("level", level)
     head = F.concat_ws(" ", F.repeat(F.lit("#"), level), F.trim(F.regexp_replace(F.concat_ws(" ", "num", "title"), r"\s+", " ")))
     marked = heads.select("docno", "line", "last", "num", "title", head.alias("head"))
     own = lines.join(marked, ["docno", "line"], "left")
@@ -194,30 +197,69 @@ def outline_strategy(docs: DataFrame, numbered: DataFrame, entries: DataFrame, h
     return rows.select("docno", kind.alias("strategy"), n.cast("long").alias("n"))
 
 
+#: The marks that may stand before a heading's number, and the blanks that comparing titles leaves out.
+BEFORE_NUMBER, BLANK_OR_BAR = r"(?U)^[\s|\-*#>]*([0-9]+(?:\.[0-9]+)*)", r"(?U)[\s|]"
+
+
 def locate_entries(lines: DataFrame, entries: DataFrame, window: int = 1200) -> DataFrame:
     """Where numbered entries of a table of contents stand in the body: found in order from the last hit within a window,
-    else from the top. entries: docno, pos, num, title. Sequential by nature, so one task handles one document."""
-    import re
-
-    import pandas as pd
-
-    def find(key, body, wanted):
-        body, wanted = body.sort_values("line"), wanted.sort_values("pos")
-        text, number = body["text"].tolist(), body["line"].tolist()
-        flat = [re.sub(r"[\s|]", "", t) for t in text]
-        at, out = 0, []
-        for num, title in zip(wanted["num"], wanted["title"]):
-            head, want = re.compile(r"^[\s|\-*#>]*" + re.escape(num) + r"(?!\.?\d)"), re.sub(r"[\s|]", "", title)
-            search = lambda a, b: next((k for k in range(a, min(b, len(text))) if head.match(text[k]) and want in flat[k]), None)  # noqa: E731, B023
-            hit = search(at, at + window)
-            hit = search(0, len(text)) if hit is None else hit
-            if hit is not None:
-                at = max(at, hit)
-                out.append((key[0], number[hit], num, title))
-        return pd.DataFrame(out, columns=["docno", "line", "num", "title"])
-
-    spec = f"docno {lines.schema['docno'].dataType.simpleString()}, line int, num string, title string"
-    return lines.groupBy("docno").cogroup(entries.where("num is not null").groupBy("docno")).applyInPandas(find, spec)
+    else from the top. entries: docno, pos, num, title.
+
+    A line can only hold the entry whose number it begins with, so lines meet entries by document and number; what stays is a
+    walk over each document's entries with the lines that fit them.
+    """
+    flat = lambda c: F.regexp_replace(c, BLANK_OR_BAR, "")
+    placed = lines.withColumn("k", F.row_number().over(in_order()) - 1)
+    numbers = placed.select("docno", "k", "line", F.regexp_extract("text", BEFORE_NUMBER, 1).alias("num"), flat("text").alias("flat")).where("num <> ''")
+    order = Window.partitionBy("docno").orderBy("pos", "num", "title")
+    wanted = entries.where("num is not null").select("docno", "num", "title", F.row_number().over(order).alias("i"), flat("title").alias("want"))
+    met = wanted.join(numbers, ["docno", "num"]).where(F.col("flat").contains(F.col("want")))
+    fits = met.groupBy("docno", "i", "num", "title").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("at"))
+    told = fits.groupBy("docno").agg(F.sort_array(F.collect_list(F.struct("i", "num", "title", "at"))).alias("told"))
+    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<struct<line:int,num:string,title:string>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        near = F.filter(x["at"], lambda h: (h["k"] >= acc["k"]) & (h["k"] < acc["k"] + window))
+        hit = F.coalesce(F.get(near, F.lit(0)), F.get(x["at"], F.lit(0)))
+        row = lambda h: F.array(F.struct(h["line"].cast("int").alias("line"), x["num"].alias("num"), x["title"].alias("title")))
+        return F.aggregate(F.array(hit), acc, lambda a, h: F.struct(F.greatest(a["k"], h["k"]).alias("k"), F.concat(a["found"], row(h)).alias("found")))
+
+    return told.select("docno", F.inline(F.aggregate("told", start, step, lambda acc: acc["found"])))
+
+
+def outline(lines: DataFrame, specs: DataFrame, manual: DataFrame | None = None, least: int = 3, window: int = 1200) -> DataFrame:
+    """Headings by each document's own strategy: docno, line, num, title, level, last, origin; lines count from its body's start.
+
+    specs: docno, strategy, toc_from, toc_to (lines of the contents; null: before the body, for `auto` anywhere), body_start (from 1).
+    Strategies: `toc` locates the contents' entries in the body; `numbered` takes numbered headings; `hybrid` adds to the entries
+    the numbered headings on other lines; `manual` takes `manual` (docno, line, level, title); `source` takes the text's own
+    headings; `auto` takes numbered ones where there are `least`, else entries where there are two, else the source's own.
+    Contents and body are told apart by line, so an entry is never found in the contents themselves.
+    """
+    kind = F.coalesce("strategy", F.lit("auto"))
+    start = F.when(kind.isin("manual", "source"), 1).otherwise(F.coalesce("body_start", F.lit(1)))
+    full = specs.select("docno", kind.alias("strategy"), start.cast("int").alias("start"), "toc_from", F.when(kind == "auto", F.col("toc_to")).otherwise(F.coalesce("toc_to", start - 1)).alias("toc_to"))
+    placed = lines.join(full, "docno")
+    inside = (F.col("line") >= F.coalesce("toc_from", F.lit(1))) & F.coalesce(F.col("line") <= F.col("toc_to"), F.lit(True))
+    contents = table_of_contents(placed.where(F.col("strategy").isin("toc", "hybrid", "auto") & inside))
+    body = placed.where(F.col("line") >= F.col("start")).select("docno", (F.col("line") - F.col("start") + 1).cast("int").alias("line"), "text", "strategy")
+    searched = body.where("strategy in ('toc', 'hybrid', 'auto')").drop("strategy")
+    located = locate_entries(searched, contents.withColumnRenamed("line", "pos"), window)
+    numbered = ordered_numbers(numbered_headings(body.where("strategy in ('numbered', 'hybrid', 'auto')").drop("strategy")))
+    own = headings(body.where("strategy in ('source', 'auto')").drop("strategy"))
+
+    auto = full.where("strategy = 'auto'").select("docno")
+    chosen = outline_strategy(auto, numbered, contents, own, least).select("docno", F.col("strategy").alias("used"))
+    used = full.join(chosen, "docno", "left").select("docno", F.coalesce("used", "strategy").alias("used"))
+    of = lambda rows, kinds: rows.join(used.where(F.col("used").isin(*kinds)).select("docno"), "docno", "left_semi")
+    level = F.least(F.size(F.split("num", r"\.")) + 1, F.lit(6)).alias("level")
+    rows = hybrid_outline(of(located, ["toc", "hybrid"]), of(numbered, ["numbered", "hybrid"]))
+    rows = rows.select("docno", "line", "num", "title", level, "last", "origin")
+    blank = F.lit(None).cast("string").alias("num")
+    rows = rows.unionByName(of(own, ["source"]).select("docno", "line", blank, F.col("text").alias("title"), F.col("depth").alias("level"), F.col("line").alias("last"), F.lit("source").alias("origin")))
+    if manual is not None:
+        rows = rows.unionByName(of(manual, ["manual"]).select("docno", F.col("line").cast("int").alias("line"), blank, "title", F.col("level").cast("int").alias("level"), F.col("line").cast("int").alias("last"), F.lit("manual").alias("origin")))
+    return rows
 
 
 #: Starts of numbered lines and of captions, which are no prose, and the longest prose line.
@@ -229,20 +271,32 @@ def is_prose(c: Column) -> Column:
     return (t != "") & ~t.rlike(NOT_PROSE) & ~t.rlike(NUMBERED_LINE) & ~t.rlike(CAPTION) & (F.length(t) <= LONGEST_PROSE)
 
 
+#: Lines that are folded together: what is done so far is copied once a block, not once a line.
+FOLDED = 256
+
+
 def join_prose(lines: DataFrame, longest: int = 160) -> DataFrame:
-    """Hard-wrapped prose lines are rejoined up to `longest` characters, a greedy fold over each document's lines."""
+    """Hard-wrapped prose lines are rejoined up to `longest` characters, a greedy fold over each document's lines, block by block."""
     rows = lines.groupBy("docno").agg(F.sort_array(F.collect_list(F.struct("line", "text", is_prose(F.col("text")).alias("prose")))).alias("rows"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"), F.lit(False).alias("open"), F.lit(False).alias("any"))
+    state = lambda done, buf, open_, any_: F.struct(done.alias("done"), buf.alias("buf"), open_.alias("open"), any_.alias("any"))
+    none = F.array().cast("array<string>")
     glue = lambda a, x: F.when(a.rlike("[A-Za-z0-9]$") & x.rlike("^[A-Za-z0-9]"), F.concat_ws(" ", a, x)).otherwise(F.concat(a, x))
 
-    def step(acc, row):
+    def step(acc: Column, row: Column) -> Column:
         text = F.trim(row["text"])
         joins = acc["any"] & acc["open"] & row["prose"] & ~acc["buf"].rlike(SENTENCE_END) & (F.length(acc["buf"]) + F.length(text) <= longest)
         done = F.when(acc["any"] & ~joins, F.concat(acc["done"], F.array(acc["buf"]))).otherwise(acc["done"])
         buf = F.when(joins, glue(acc["buf"], text)).otherwise(F.when(row["prose"], F.rtrim(row["text"])).otherwise(row["text"]))
-        return F.struct(done.alias("done"), buf.alias("buf"), row["prose"].alias("open"), F.lit(True).alias("any"))
+        return state(done, buf, row["prose"], F.lit(True))
+
+    def block(acc: Column, rows: Column) -> Column:
+        folded = F.aggregate(rows, state(none, acc["buf"], acc["open"], acc["any"]), step)
+        return F.aggregate(F.array(folded), acc, lambda a, x: state(F.concat(a["done"], F.array(x["done"])), x["buf"], x["open"], x["any"]))
 
-    folded = rows.select("docno", F.aggregate("rows", start, step, lambda a: F.concat(a["done"], F.array(a["buf"]))).alias("out"))
+    firsts = F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / FOLDED).cast("int"))
+    blocks = F.transform(firsts, lambda i: F.slice("rows", i * FOLDED + 1, F.lit(FOLDED)))
+    start = state(F.array().cast("array<array<string>>"), F.lit(""), F.lit(False), F.lit(False))
+    folded = rows.select("docno", F.aggregate(blocks, start, block, lambda a: F.concat(F.flatten(a["done"]), F.array(a["buf"]))).alias("out"))
     return folded.select("docno", F.posexplode("out").alias("pos", "text")).select("docno", (F.col("pos") + 1).alias("line"), "text")
 
 

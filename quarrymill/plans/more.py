@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import cdc, evidence as evd, lines as ln, modules as mo, projections as pj, records as rc, sheets as sh
 from ..sources import html_text, inputs, sinks
-from .catalog import CAND_SQL, CHUNKS, FILES_SQL, GRID, HEADS, HITS, MD_SQL, MODULES, NUM_SQL, _hits, _numbered, cells, md_lines, query, repo_files, repo_modules, table
+from .catalog import CAND_SQL, CHUNKS, FILES_SQL, GRID, HEADS, HITS, LOCATED_SQL, MD_SQL, MODULES, NUM, NUM_SQL, _hits, _numbered, cells, md_lines, query, repo_files, repo_modules, table
 
 # ---- outlines
 
@@ -41,6 +41,41 @@ def outline_strategy(spark, sf):
     return ln.outline_strategy(lines, found.where("docno % 3 = 0"), found.where("line % 4 = 0 and docno % 2 = 0"), own)
 
 
+CONTENTS = "concat(cast(p_partkey % 3 + 1 as string), '.', cast(p_size % 3 + 1 as string), ' ', p_name, '.....', cast(p_partkey % 900 as string))"
+STRATEGIES = "case p_partkey div 50 % 5 when 0 then 'auto' when 1 then 'toc' when 2 then 'hybrid' when 3 then 'numbered' else 'manual' end"
+BODY_SQL = (
+    f"al as (select p_partkey // 50 as docno, 0 as part, p_partkey as k, {CONTENTS} as text from part where p_partkey % 12 = 6 union all select p_partkey // 50, 1, p_partkey, {NUM} from part), "
+    "li as (select docno, cast(row_number() over (partition by docno order by part, k) as integer) as line, part, text from al), sp as (select docno, docno % 5 as s, count_if(part = 0) as off from li group by docno), "
+    "np as (select docno, cast(line - off as integer) as line, text from li join sp using (docno) where line > off and s <> 4)"
+)
+PLACED_SQL = LOCATED_SQL.replace("from ca)", "from et)", 1)
+
+
+@query(
+    f"with recursive {CAND_SQL.replace(NUM_SQL, BODY_SQL)}, to_ as (select docno, line, regexp_extract(text, '^(.*?)\\.{{4,}}\\s*(\\d+)\\s*$', 1) as head from li where part = 0), "
+    "et as (select docno, line, regexp_extract(head, '^(\\d+(?:\\.\\d+)*)\\.?\\s*(.*)$', 1) as num, regexp_extract(head, '^(\\d+(?:\\.\\d+)*)\\.?\\s*(.*)$', 2) as title from to_ join sp using (docno) where s in (0, 1, 2)), "
+    f"{PLACED_SQL}, lo as (select wa.docno, ln.line, en.num, en.title from wa join en on en.docno = wa.docno and en.i = wa.i join ln on ln.docno = wa.docno and ln.k = wa.hit), "
+    "tu as (select docno, line, num, title, last, list_transform(string_split(num, '.'), lambda x: cast(x as integer)) as t, row_number() over (partition by docno order by line) as i from ca), "
+    "wk as (select docno, i, line, t as last_t, true as kept from tu where i = 1 union all select tu.docno, tu.i, tu.line, case when tu.t >= wk.last_t and len(tu.t) <= len(wk.last_t) + 1 then tu.t else wk.last_t end, tu.t >= wk.last_t and len(tu.t) <= len(wk.last_t) + 1 from wk join tu on tu.docno = wk.docno and tu.i = wk.i + 1), "
+    "nu as (select docno, line, num, title, last from ca join (select docno, line from wk where kept) using (docno, line)), "
+    "us as (select docno, case when s = 0 then case when (select count(*) from nu where nu.docno = sp.docno) >= 3 then 3 when (select count(*) from et where et.docno = sp.docno) >= 2 then 1 else 9 end else s end as u from sp), "
+    "ou as (select docno, line, num, title, line as last, 'toc' as origin from lo join us using (docno) where u in (1, 2) union all "
+    "select docno, line, num, title, last, 'numbered' from nu join us using (docno) where u = 3 or (u = 2 and not exists (select 1 from lo where lo.docno = nu.docno and lo.line = nu.line))) "
+    "select docno, line, num, title, cast(least(len(string_split(num, '.')) + 1, 6) as integer) as level, last, origin from ou "
+    "union all select docno, line, null, 'Part ' || line, 3, line, 'manual' from sp join (values (2), (7)) v(line) on s = 4"
+)
+def outlines(spark, sf):
+    """Documents that begin with their contents, each outlined by its own strategy: lines count from the body's start."""
+    part = table(spark, sf, "part").withColumn("docno", F.expr("p_partkey div 50"))
+    rows = part.where("p_partkey % 12 = 6").select("docno", F.lit(0).alias("part"), "p_partkey", F.expr(CONTENTS).alias("text"))
+    rows = rows.unionByName(part.select("docno", F.lit(1).alias("part"), "p_partkey", F.expr(NUM).alias("text")))
+    lines = rows.select("docno", F.row_number().over(Window.partitionBy("docno").orderBy("part", "p_partkey")).alias("line"), "part", "text")
+    starts = lines.groupBy("docno").agg((F.count_if(F.col("part") == 0) + 1).alias("body_start"))
+    specs = starts.select("docno", F.expr(STRATEGIES.replace("p_partkey div 50", "docno")).alias("strategy"), F.lit(None).cast("int").alias("toc_from"), (F.col("body_start") - 1).alias("toc_to"), "body_start")
+    manual = specs.where("strategy = 'manual'").select("docno", F.explode(F.array(F.lit(2), F.lit(7))).alias("line"), F.lit(3).alias("level")).withColumn("title", F.concat(F.lit("Part "), F.col("line").cast("string")))
+    return ln.outline(lines.drop("part"), specs, manual)
+
+
 TABLED = "case when p_partkey % 7 = 0 then concat('| 1.', cast(p_size as string), ' | Name ', p_brand, ' | x |') when p_partkey % 7 = 1 then '| --- | --- | --- |' when p_partkey % 7 = 2 then concat('- 2.', cast(p_size as string), '. Part ', p_brand, ' and ', p_type) else p_name end"
 TABLED_SQL = f"tb as (select p_partkey % 40 as docno, cast(row_number() over (partition by p_partkey % 40 order by p_partkey // 40) as integer) as line, {TABLED} as text, p_partkey % 7 as k, p_size as z, p_brand as b, p_type as m from part)"
 

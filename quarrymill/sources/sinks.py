@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escaped, table_row
@@ -56,9 +56,12 @@ def inverted_index(top: DataFrame, most: int = 12) -> DataFrame:
     top: docno, term, section, hits, first_line, rank.
     """
     best = top.groupBy("term", "docno").agg(F.min_by(F.struct("section", F.col("first_line").alias("line")), "rank").alias("x"), F.sum("hits").alias("hits"))
-    entry = F.struct(-F.col("hits"), "docno", "x.section", "x.line")
-    listed = F.transform(F.slice(F.sort_array(F.collect_list(entry)), 1, most), lambda e: F.concat_ws(":", e["docno"].cast("string"), e["section"], e["line"].cast("string")))
-    return best.groupBy("term").agg(listed.alias("places"), F.count(F.lit(1)).alias("docs"))
+    # the limit of a rank is met by every task before the shuffle, so none holds or sends more than `most` places of a term
+    first = Window.partitionBy("term").orderBy(F.desc("hits"), "docno")
+    kept = best.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most)
+    place = F.concat_ws(":", F.col("docno").cast("string"), F.col("x.section"), F.col("x.line").cast("string"))
+    listed = kept.groupBy("term").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", place.alias("place")))), lambda e: e["place"]).alias("places"))
+    return listed.join(best.groupBy("term").agg(F.count(F.lit(1)).alias("docs")), "term")
 
 
 def state_rows(docs: DataFrame, run: str) -> DataFrame:
