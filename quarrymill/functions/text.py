@@ -151,6 +151,27 @@ def posix(c: Column | str) -> Column:
     return F.regexp_replace(F.replace(_c(c), F.lit("\\"), F.lit("/")), "^(\\./)+", "")
 
 
+#: Letters that case folding changes and lower-casing doesn't.
+FOLDED = {"ß": "ss", "ς": "σ", "ſ": "s"}
+
+
+def casefolded(c: Column | str) -> Column:
+    """A POSIX path for comparing whatever its case."""
+    out = F.lower(posix(c))
+    for letter, folded in FOLDED.items():
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out
+
+
+def relative_to(c: Column | str, base: Column | str) -> Column:
+    """A path from a directory, `..` for each step up; both are POSIX and from one root."""
+    parts = lambda x: F.filter(F.split(posix(x), "/"), lambda p: (p != "") & (p != "."))
+    a, b = parts(c), parts(base)
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))), lambda n: (n <= F.least(F.size(a), F.size(b))) & (F.slice(a, 1, n) == F.slice(b, 1, n))))
+    steps = F.concat(F.array_repeat(F.lit(".."), F.size(b) - shared), F.slice(a, shared + 1, F.greatest(F.size(a), F.lit(1))))
+    return F.when(F.size(steps) == 0, ".").otherwise(F.array_join(steps, "/"))
+
+
 def blob_hash(c: Column | str) -> Column:
     """The version-control blob id of a text: SHA-1 over a typed length header and the content."""
     return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(_c(c)).cast("string")), "UTF-8"), F.unhex(F.lit("00")), F.encode(_c(c), "UTF-8")))

@@ -91,6 +91,22 @@ def unindexed(top: DataFrame, index: DataFrame) -> DataFrame:
     return top.join(index, ["docno", "term", "section"], "left_anti")
 
 
+def findings(parts: dict[str, DataFrame], most: dict[str, int], default: int = 10) -> DataFrame:
+    """kind, nth, subject, detail, total: the findings of several checks (subject, detail) in one table.
+
+    Of each kind the first `most` (else `default`) in order of subject and detail, each with how many there are of its kind.
+    """
+    rows = None
+    for kind, part in parts.items():
+        part = part.select(F.lit(kind).alias("kind"), F.col("subject").cast("string").alias("subject"), F.col("detail").cast("string").alias("detail"))
+        rows = part if rows is None else rows.unionByName(part)
+    limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("kind")), F.lit(default)) if most else F.lit(default)
+    order = Window.partitionBy("kind").orderBy("subject", "detail")
+    # a rank's limit, here the largest of all, is met by every task before the shuffle
+    kept = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max([default, *most.values()])).where(F.col("nth") <= limit)
+    return kept.join(rows.groupBy("kind").agg(F.count(F.lit(1)).alias("total")), "kind").select("kind", "nth", "subject", "detail", "total")
+
+
 def with_spec(docs: DataFrame, specs: DataFrame, default: str) -> DataFrame:
     """docs (relpath, category) with the first declared spec (pattern, spec_index, category) that fits; the document's own category goes first."""
     hit = docs.select("relpath").join(specs.withColumnRenamed("category", "declared"), F.expr("relpath like pattern"))

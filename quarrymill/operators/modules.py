@@ -57,6 +57,21 @@ def ranked_dirs(stats: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.withColumn("weight", F.col("files") * (1 + F.col("churn")))
 
 
+def ranked_modules(files: DataFrame, changes: DataFrame, modules: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """id, churn, files, rank: every module, by changes within `days` before now, then by files, then by id.
+
+    files: rel; changes: path, ts; modules: id, prefix. Both are routed by the longest prefix, changes after they were counted by path.
+    """
+    from .cdc import ranked
+
+    recent = changes.where(F.col("ts") >= now - F.make_interval(days=F.lit(days))).groupBy(F.col("path").alias("rel")).agg(F.count(F.lit(1)).alias("n"))
+    churn = longest_prefix(recent, modules).groupBy(F.col("module").alias("id")).agg(F.sum("n").alias("churn"))
+    sizes = longest_prefix(files.select("rel"), modules).groupBy(F.col("module").alias("id")).agg(F.count(F.lit(1)).alias("files"))
+    rows = modules.select("id").distinct().join(churn, "id", "left").join(sizes, "id", "left")
+    rows = rows.select("id", F.coalesce("churn", F.lit(0)).alias("churn"), F.coalesce("files", F.lit(0)).alias("files"))
+    return ranked(rows.withColumn("place", F.struct(-F.col("churn"), -F.col("files"), "id")), "place").drop("place")
+
+
 def module_hash(files: DataFrame, modules: DataFrame) -> DataFrame:
     """Per module: files, and the hash of its sorted `rel:hash16` lines; nested modules keep their own files."""
     rows = longest_prefix(files.select("rel", F.substring("hash", 1, 16).alias("h")), modules).where("module is not null")

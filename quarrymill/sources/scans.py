@@ -14,7 +14,8 @@ FILE = "relpath string, size long, modified timestamp, spec_index int"
 
 
 def glob_pattern(glob: str) -> str:
-    """A glob with `**` as a regular expression over whole relative paths."""
+    """A glob with `**` as a regular expression over whole relative paths; one that ends in `/` takes all files below."""
+    glob = glob + "**" if glob.endswith("/") else glob
     out = re.escape(glob).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
     return f"^{out}$"
 
@@ -47,6 +48,12 @@ def source_tree(files: DataFrame, excluded_dirs: list[str], extensions: list[str
     return rows.orderBy("relpath").limit(cap).withColumn("approx", F.lit(more))
 
 
+def capped_count(files: DataFrame, most: int = 5_000) -> tuple[int, bool]:
+    """How many files there are, counted up to `most`, and whether there are more."""
+    n = files.limit(most + 1).count()
+    return min(n, most), n > most
+
+
 def read_texts(files: DataFrame) -> DataFrame:
     """relpath, text: UTF-8 with replacement of what isn't. files: relpath, content."""
     return files.select("relpath", F.decode(F.col("content"), "UTF-8").alias("text"))

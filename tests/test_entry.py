@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarrymill.plans import catalog, more, reports, stored  # noqa: F401
+from quarrymill.plans import catalog, more, reports, stored, tickets  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 ROOT = str(Path(__file__).resolve().parents[1])

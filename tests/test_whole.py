@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as tx
 from quarrymill.operators import modules as mo
-from quarrymill.plans import catalog, more, reports, stored  # noqa: F401
+from quarrymill.plans import catalog, more, reports, stored, tickets  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
