@@ -108,19 +108,25 @@ def hex_id(c: Column | str) -> Column:
     return F.concat(F.lit("0x"), F.when(t == "", "0").otherwise(t))
 
 
+#: What an identifier and a clock time look like in a text, and dates and times that hold no identifier.
+DATE_OR_TIME = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}:\d{2}(?::\d{2})?"
+PREFIXED_ID, BARE_ID = r"0x([0-9A-Fa-f]{1,4})(?![0-9A-Fa-f])", r"(?<![0-9A-Fa-f:\-])([0-9A-Fa-f]{3,4})(?![0-9A-Fa-f])"
+CLOCK_TIME = r"(?<![0-9:])((?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)(?![0-9:])"
+
+
 def id_hints(c: Column | str) -> Column:
     """Identifiers in a text: prefixed ones first, then bare ones of 3 or 4 digits that are no year; distinct, in order."""
     s = F.regexp_replace(F.coalesce(_c(c), F.lit("")), rf"(?i)\S+\.(?:{FILE_TOKENS})", " ")
-    s = F.regexp_replace(s, r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}:\d{2}(?::\d{2})?", " ")
-    prefixed = F.regexp_extract_all(s, F.lit(r"0x([0-9A-Fa-f]{1,4})(?![0-9A-Fa-f])"), 1)
-    bare = F.regexp_extract_all(s, F.lit(r"(?<![0-9A-Fa-f:\-])([0-9A-Fa-f]{3,4})(?![0-9A-Fa-f])"), 1)
+    s = F.regexp_replace(s, DATE_OR_TIME, " ")
+    prefixed = F.regexp_extract_all(s, F.lit(PREFIXED_ID), 1)
+    bare = F.regexp_extract_all(s, F.lit(BARE_ID), 1)
     bare = F.filter(bare, lambda x: ~(x.rlike("^[0-9]{4}$") & x.try_cast("int").between(1900, 2100)))
     return F.array_distinct(F.transform(F.concat(prefixed, bare), hex_id))
 
 
 def time_hints(c: Column | str) -> Column:
     """Clock times HH:MM[:SS], hours padded; distinct, in order."""
-    found = F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"(?<![0-9:])((?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)(?![0-9:])"), 1)
+    found = F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(CLOCK_TIME), 1)
     return F.array_distinct(F.transform(found, lambda t: F.when(t.rlike(r"^\d:"), F.concat(F.lit("0"), t)).otherwise(t)))
 
 

@@ -113,9 +113,13 @@ def table_of_contents(lines: DataFrame) -> DataFrame:
     return found.select("docno", "line", F.when(num != "", num).alias("num"), F.when(num != "", F.trim(F.regexp_extract("head", number, 2))).otherwise(F.col("head")).alias("title"), F.regexp_extract("text", pattern, 2).cast("long").alias("page"))
 
 
+#: How a title begins, the script whose titles may be short, its least and greatest length, and marks it doesn't hold.
+TITLE_START, SHORT_SCRIPT, TITLE_LENGTH, NOT_IN_TITLE = r"^[\u4e00-\u9fffA-Za-z]", r"[\u4e00-\u9fff]", (4, 60), "[。；：,，]"
+
+
 def plausible_title(c: Column) -> Column:
-    letter, cjk = r"^[\u4e00-\u9fffA-Za-z]", r"[\u4e00-\u9fff]"
-    return c.rlike(letter) & (c.rlike(cjk) | (F.length(c) >= 4)) & (F.length(c) <= 60) & ~c.rlike("[。；：,，]")
+    least, most = TITLE_LENGTH
+    return c.rlike(TITLE_START) & (c.rlike(SHORT_SCRIPT) | (F.length(c) >= least)) & (F.length(c) <= most) & ~c.rlike(NOT_IN_TITLE)
 
 
 def numbered_headings(lines: DataFrame) -> DataFrame:

@@ -59,10 +59,10 @@ def resolve(wanted: DataFrame, entries: DataFrame, by: str = "wanted", key: str
 def missing_required(fields: DataFrame, payload: DataFrame) -> DataFrame:
     """Required fields that a record leaves out or blank. fields: id, required; payload: record, id, value (JSON text)."""
     blank = F.trim("value").isin("", '""', "[]", "{}", "null")
-    given = payload.where(F.col("value").isNotNull() & ~blank).select("record", "id")
-    # every record must hold every required field: the required list is metadata, a few rows
-    wanted = payload.select("record").distinct().crossJoin(fields.where("required").select("id"))
-    return wanted.join(given, ["record", "id"], "left_anti")
+    given = F.collect_set(F.when(F.col("value").isNotNull() & ~blank, F.col("id"))).alias("given")
+    needed = fields.where("required").agg(F.collect_set("id").alias("needed"))  # one row of metadata
+    lacking = F.explode(F.array_except("needed", "given")).alias("id")
+    return payload.groupBy("record").agg(given).crossJoin(F.broadcast(needed)).select("record", lacking)
 
 
 def planned_changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -477,10 +477,10 @@ def receipt_totals(spark, sf):
     return rc.rollup(_receipts(spark, sf), "state", ["ok", "failed", "missing"])
 
 
-@query("with f as (select distinct conv_id as key, left(text, 12) as filename from conversations where turn <= 3) select key, filename from f where not exists (select 1 from conversations c where c.conv_id = f.key and c.turn > 0 and contains(lower(c.text), lower(f.filename)))")
+@query("with f as (select distinct conv_id as key, split_part(text, ' ', 1) as filename from conversations) select key, filename from f where not exists (select 1 from conversations c where c.conv_id = f.key and c.turn > 0 and contains(lower(c.text), lower(f.filename)))")
 def not_mentioned(spark, sf):
     c = table(spark, sf, "conversations")
-    return rc.not_mentioned(c.where("turn <= 3").select(F.col("conv_id").alias("key"), F.left("text", F.lit(12)).alias("filename")).distinct(), c.where("turn > 0").select(F.col("conv_id").alias("key"), F.col("text").alias("body")))
+    return rc.not_mentioned(c.select(F.col("conv_id").alias("key"), F.split_part("text", F.lit(" "), F.lit(1)).alias("filename")).distinct(), c.where("turn > 0").select(F.col("conv_id").alias("key"), F.col("text").alias("body")))
 
 
 # ---- modules

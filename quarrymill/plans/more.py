@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cdc, evidence as evd, lines as ln, modules as mo, projections as pj, records as rc, sheets as sh
+from ..operators import cdc, evidence as evd, lines as ln, modules as mo, planned, projections as pj, records as rc, sheets as sh
 from ..sources import html_text, inputs, sinks
 from .catalog import CAND_SQL, CHUNKS, FILES_SQL, GRID, HEADS, HITS, LOCATED_SQL, MD_SQL, MODULES, NUM, NUM_SQL, _hits, _numbered, cells, md_lines, query, repo_files, repo_modules, table
 
@@ -464,9 +464,9 @@ def path_texts(spark, sf):
 @query("select p_partkey as doc, p_size % 3 = 0 or p_size % 5 = 0 as allowed from part where p_size % 3 = 0 or p_size % 5 = 0")
 def present_uploads(spark, sf):
     """Planned uploads whose file is there."""
-    p = table(spark, sf, "part")
-    there = p.where("p_size % 3 = 0 or p_size % 5 = 0").select(F.col("p_partkey").alias("doc"))
-    return p.select(F.col("p_partkey").alias("doc"), F.lit(True).alias("allowed")).join(there, "doc", "left_semi")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("filename"), "p_size")
+    plan = planned.planned_attachments(p, p.where("p_size % 3 = 0 or p_size % 5 = 0"), p.where("false"))
+    return plan.where("action = 'upload'").select(F.col("key").alias("doc"), F.lit(True).alias("allowed"))
 
 
 # ---- inputs

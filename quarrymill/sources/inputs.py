@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +64,6 @@ def metadata_pages(rows: DataFrame, order: list[Column], page: int, most: int) -
     """The first `most` rows of a dimension in order, with nth, their page from 0, and whether rows were left out."""
     total = rows.agg(F.count(F.lit(1)).alias("__total"))
     kept = rows.orderBy(*order).limit(most)  # a dimension: `most` is a few thousand
-    at = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.struct(*rows.columns).alias("row"))))
-    ranked = kept.agg(at.alias("rows")).select(F.posexplode("rows").alias("k", "x")).select((F.col("k") + 1).alias("nth"), F.floor(F.col("k") / page).cast("int").alias("page"), "x.row.*")
+    nth = F.row_number().over(Window.orderBy(*order))  # of the kept rows alone
+    ranked = kept.select(nth.alias("nth"), F.floor((nth - 1) / page).cast("int").alias("page"), *rows.columns)
     return ranked.crossJoin(total).withColumn("truncated", F.col("__total") > most).drop("__total")  # one row
