@@ -126,12 +126,12 @@ TOC = "concat(case when p_partkey % 3 = 0 then concat(cast(p_size as string), '.
 
 
 @query(
-    f"with t as (select p_partkey % 50 as docno, p_partkey as line, {TOC} as text from part), m as (select *, trim(regexp_extract(text, '^(.*?)\\.{{4,}}\\s*(\\d+)\\s*$', 1)) as head from t where regexp_matches(text, '^(.*?)\\.{{4,}}\\s*(\\d+)\\s*$')), "
+    f"with t as (select p_partkey // 50 as docno, p_partkey as line, {TOC} as text from part), m as (select *, trim(regexp_extract(text, '^(.*?)\\.{{4,}}\\s*(\\d+)\\s*$', 1)) as head from t where regexp_matches(text, '^(.*?)\\.{{4,}}\\s*(\\d+)\\s*$')), "
     "n as (select *, regexp_extract(head, '^(\\d+(?:\\.\\d+)*)\\.?\\s*(.*)$', 1) as num from m) "
     "select docno, line, nullif(num, '') as num, case when num <> '' then trim(regexp_extract(head, '^(\\d+(?:\\.\\d+)*)\\.?\\s*(.*)$', 2)) else head end as title, cast(regexp_extract(text, '(\\d+)\\s*$', 1) as bigint) as page from n"
 )
 def table_of_contents(spark, sf):
-    return ln.table_of_contents(table(spark, sf, "part").select(F.expr("p_partkey % 50").alias("docno"), F.col("p_partkey").alias("line"), F.expr(TOC).alias("text")))
+    return ln.table_of_contents(table(spark, sf, "part").select(F.expr("p_partkey div 50").alias("docno"), F.col("p_partkey").alias("line"), F.expr(TOC).alias("text")))
 
 
 @query(f"with recursive {MD_SQL}, {FENCE_SQL} select docno, line, case when not fenced and regexp_matches(text, '^#{{1,6}}\\s') then repeat('#', cast(least(length(regexp_extract(text, '^(#+)', 1)) + 2, 6) as integer)) || regexp_replace(text, '^#+', '') else text end as text from fe")
@@ -228,11 +228,11 @@ NUM = "case when p_partkey % 4 = 0 then concat(cast(p_partkey % 6 + 1 as string)
 
 
 def _numbered(spark, sf):
-    w = Window.partitionBy(F.expr("p_partkey % 40")).orderBy("p_partkey")
-    return table(spark, sf, "part").select(F.expr("p_partkey % 40 + 0").alias("docno"), F.row_number().over(w).alias("line"), F.expr(NUM.replace("p_partkey % 4 ", "(p_partkey div 40) % 4 ")).alias("text"))
+    w = Window.partitionBy(F.expr("p_partkey div 50")).orderBy("p_partkey")
+    return table(spark, sf, "part").select(F.expr("p_partkey div 50").alias("docno"), F.row_number().over(w).alias("line"), F.expr(NUM).alias("text"))
 
 
-NUM_SQL = f"np as (select p_partkey % 40 as docno, cast(row_number() over (partition by p_partkey % 40 order by p_partkey) as integer) as line, {NUM.replace('p_partkey % 4 ', '(p_partkey // 40) % 4 ')} as text from part)"
+NUM_SQL = f"np as (select p_partkey // 50 as docno, cast(row_number() over (partition by p_partkey // 50 order by p_partkey) as integer) as line, {NUM} as text from part)"
 CAND_SQL = (
     NUM_SQL + r", c1 as (select *, first_value(case when trim(text) <> '' then struct_pack(l := line, s := trim(text)) end ignore nulls) over (partition by docno order by line rows between 1 following and unbounded following) as f, "
     r"regexp_matches(trim(text), '^(\d+(\.\d+)*)(\.?)$') as single from np), c2 as (select docno, line, case when single then rtrim(trim(text), '.') else regexp_extract(trim(text), '^(\d{1,3}(?:\.\d+){0,4})[.\s、:：]{1,4}(\S.*)$', 1) end as num, "
@@ -355,12 +355,12 @@ def segments(spark, sf):
     return ev.segments(f, "user_id", "seq", F.col("cmd") == first).groupBy("user_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
-GRID = "ce as (select cast(o_custkey % 20 as string) as sheet, cast(o_orderkey % 60 as integer) as \"row\", cast(o_orderkey % 7 as integer) as col, min(case when o_orderkey % 5 = 0 then ' ' when o_orderkey % 3 = 0 then cast(o_orderkey as string) else o_orderpriority end) as value from orders group by 1, 2, 3)"
+GRID = "ce as (select cast(o_orderkey // 600 as string) as sheet, cast(o_orderkey % 60 as integer) as \"row\", cast(o_orderkey % 7 as integer) as col, min(case when o_orderkey % 5 = 0 then ' ' when o_orderkey % 3 = 0 then cast(o_orderkey as string) else o_orderpriority end) as value from orders group by 1, 2, 3)"
 
 
 def cells(spark, sf):
     value = F.expr("case when o_orderkey % 5 = 0 then ' ' when o_orderkey % 3 = 0 then cast(o_orderkey as string) else o_orderpriority end")
-    keys = [F.expr("cast(o_custkey % 20 as string)").alias("sheet"), F.expr("cast(o_orderkey % 60 as int)").alias("row"), F.expr("cast(o_orderkey % 7 as int)").alias("col")]
+    keys = [F.expr("cast(o_orderkey div 600 as string)").alias("sheet"), F.expr("cast(o_orderkey % 60 as int)").alias("row"), F.expr("cast(o_orderkey % 7 as int)").alias("col")]
     return table(spark, sf, "orders").groupBy(*keys).agg(F.min(value).alias("value"))
 
 

@@ -77,7 +77,7 @@ def outlines(spark, sf):
 
 
 TABLED = "case when p_partkey % 7 = 0 then concat('| 1.', cast(p_size as string), ' | Name ', p_brand, ' | x |') when p_partkey % 7 = 1 then '| --- | --- | --- |' when p_partkey % 7 = 2 then concat('- 2.', cast(p_size as string), '. Part ', p_brand, ' and ', p_type) else p_name end"
-TABLED_SQL = f"tb as (select p_partkey % 40 as docno, cast(row_number() over (partition by p_partkey % 40 order by p_partkey // 40) as integer) as line, {TABLED} as text, p_partkey % 7 as k, p_size as z, p_brand as b, p_type as m from part)"
+TABLED_SQL = f"tb as (select p_partkey // 50 as docno, cast(row_number() over (partition by p_partkey // 50 order by p_partkey) as integer) as line, {TABLED} as text, p_partkey % 7 as k, p_size as z, p_brand as b, p_type as m from part)"
 
 
 @query(
@@ -88,8 +88,8 @@ TABLED_SQL = f"tb as (select p_partkey % 40 as docno, cast(row_number() over (pa
 )
 def injected_tables(spark, sf):
     """Headings inside tables split them; what a heading's line holds besides stays."""
-    w = Window.partitionBy("docno").orderBy(F.expr("p_partkey div 40"))
-    rows = table(spark, sf, "part").withColumn("docno", F.expr("p_partkey % 40")).withColumn("line", F.row_number().over(w)).withColumn("text", F.expr(TABLED))
+    w = Window.partitionBy("docno").orderBy("p_partkey")
+    rows = table(spark, sf, "part").withColumn("docno", F.expr("p_partkey div 50")).withColumn("line", F.row_number().over(w)).withColumn("text", F.expr(TABLED))
     k = F.col("p_partkey") % 7
     num = F.concat(F.when(k == 0, "1.").otherwise("2."), F.col("p_size").cast("string"))
     heads = rows.where(k.isin(0, 2)).select("docno", "line", F.col("line").alias("last"), num.alias("num"), F.concat(F.when(k == 0, "Name ").otherwise("Part "), "p_brand").alias("title"))
@@ -157,7 +157,7 @@ def sheet_notes(spark, sf):
 
 
 MESSAGE_SQL = (
-    "r as (select cast(o_custkey % 10 as string) as sheet, cast(row_number() over (partition by o_custkey % 10 order by o_orderkey) as integer) as \"row\", o_orderkey as k, case when o_orderkey % 6 = 0 then 'M' || o_orderkey end as name, "
+    "r as (select cast(o_orderkey // 2000 as string) as sheet, cast(row_number() over (partition by o_orderkey // 2000 order by o_orderkey) as integer) as \"row\", o_orderkey as k, case when o_orderkey % 6 = 0 then 'M' || o_orderkey end as name, "
     "case when o_orderkey % 12 = 0 then '0x' || lower(to_hex(o_orderkey % 4096)) when o_orderkey % 6 = 0 then 'none' end as id, case when o_orderkey % 5 = 0 then ' ' else 'sig' || o_orderkey end as signal, o_orderstatus as unit, o_custkey as len from orders), "
     "s as (select *, sum(case when name is not null then 1 else 0 end) over (partition by sheet order by \"row\") as g from r), "
     "ms as (select *, first_value(name) over w as message, first_value(id) over w as message_id, first_value(k) over w as hk, row_number() over w as nth from s where g > 0 window w as (partition by sheet, g order by \"row\")) "
@@ -167,7 +167,7 @@ MESSAGE_SQL = (
 def _messages(spark, sf):
     k = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(
-        F.expr("cast(o_custkey % 10 as string)").alias("sheet"), F.row_number().over(Window.partitionBy(F.expr("o_custkey % 10")).orderBy("o_orderkey")).alias("row"), F.when(k % 6 == 0, F.concat(F.lit("M"), k.cast("string"))).alias("name"),
+        F.expr("cast(o_orderkey div 2000 as string)").alias("sheet"), F.row_number().over(Window.partitionBy(F.expr("o_orderkey div 2000")).orderBy("o_orderkey")).alias("row"), F.when(k % 6 == 0, F.concat(F.lit("M"), k.cast("string"))).alias("name"),
         F.when(k % 12 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k % 4096)))).when(k % 6 == 0, "none").alias("id"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("sig"), k.cast("string"))).alias("signal"),
         F.col("o_orderstatus").alias("unit"), F.col("o_custkey").alias("len"),
     )

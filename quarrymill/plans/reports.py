@@ -103,7 +103,7 @@ def document_specs(spark, sf):
     return evd.with_spec(docs, spark.createDataFrame(SPECS, "pattern string, spec_index int, category string"), "none")
 
 
-MATRIX = "select cast(o_custkey % 10 as string) as sheet, cast(row_number() over (partition by o_custkey % 10 order by o_orderkey) as integer) as \"row\", o_orderkey as k from orders"
+MATRIX = "select cast(o_orderkey // 2000 as string) as sheet, cast(row_number() over (partition by o_orderkey // 2000 order by o_orderkey) as integer) as \"row\", o_orderkey as k from orders"
 
 
 @query(
@@ -115,9 +115,9 @@ def signal_matrix(spark, sf):
     from pyspark.sql import Window
 
     k = F.col("o_orderkey")
-    sheet = F.expr("cast(o_custkey % 10 as string)")
+    sheet = F.expr("cast(o_orderkey div 2000 as string)")
     rows = table(spark, sf, "orders").select(
-        sheet.alias("sheet"), F.row_number().over(Window.partitionBy(F.expr("o_custkey % 10")).orderBy("o_orderkey")).alias("row"), F.when(k % 6 == 0, F.concat(F.lit("M"), k.cast("string"))).otherwise("").alias("message"),
+        sheet.alias("sheet"), F.row_number().over(Window.partitionBy(F.expr("o_orderkey div 2000")).orderBy("o_orderkey")).alias("row"), F.when(k % 6 == 0, F.concat(F.lit("M"), k.cast("string"))).otherwise("").alias("message"),
         F.when(k % 12 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k % 4096)))).otherwise("bad").alias("id"), F.when(k % 5 == 0, " ").otherwise("sig").alias("signal"),
     )
     return evd.signal_rows(rows)
