@@ -8,8 +8,9 @@ Scan: tasks stream the approximation file, and nothing else. One matrix product
 widths bound each query's scores from both sides (the negated upper bound is the lower bound of the distance -score).
 A vector stays a candidate while its upper bound reaches the k-th greatest lower bound, in its task and then overall.
 
-Refine: exact vectors of candidates alone are read, by row number, and go to their query in lower-bound order of the
-distance; reading a query's exact vectors stops as soon as the k-th result is certain to beat every bound not read.
+Refine: the stored exact vectors meet the candidates by row number, and those of candidates alone go to their query, in
+lower-bound order of the distance; a query stops taking them as soon as the k-th result is certain to beat every bound that is left.
+Spark's readers can't fetch single rows, so the stored table is scanned once for each block of queries.
 
 Queries go out in blocks of `query_block` (a bounded broadcast each); a table of queries of any size is a sequence of
 such blocks. Candidates of a block are broadcast up to BROADCAST_CANDIDATES rows, and meet the vectors by a shuffle
