@@ -399,7 +399,7 @@ def repeated_lines(lines: DataFrame, least: int = 12, files: int = 2, boilerplat
 
 
 def markdown_faults(lines: DataFrame) -> DataFrame:
-    """docno, kind, line: not exactly one H1, first line no H1, stray trailing blanks, table separators of another width."""
+    """docno, kind, line: not exactly one H1, first line no H1, stray trailing blanks, table separators of another width, more than six heading marks."""
     whole = Window.partitionBy("docno")
     h1 = F.col("text").rlike(r"^#\s")
     rows = with_fence(lines).withColumn("h1s", F.sum((h1 & ~F.col("fenced")).cast("int")).over(whole)).withColumn("before", F.lag("text").over(in_order()))
@@ -409,6 +409,7 @@ def markdown_faults(lines: DataFrame) -> DataFrame:
         F.when((F.col("line") == 1) & ~h1, "first_line"),
         F.when(F.col("text").rlike(r"\s$") & ~F.col("text").rlike(r"\S  $"), "trailing_blank"),
         F.when(F.trim("text").rlike(SEPARATOR) & F.ltrim("before").startswith("|") & (pipes(F.trim("text")) != pipes(F.trim("before"))), "separator_width"),
+        F.when(F.col("text").rlike(r"^#{7,}\s") & ~F.col("fenced"), "too_deep"),
     )
     return rows.select("docno", "line", F.explode(F.array_compact(faults)).alias("kind"))
 

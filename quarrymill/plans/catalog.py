@@ -218,7 +218,7 @@ def repeated_lines(spark, sf):
     f"with recursive {MD_SQL}, {FENCE_SQL}, x as (select *, sum(case when regexp_matches(text, '^#\\s') and not fenced then 1 else 0 end) over (partition by docno) as h1s, lag(text) over (partition by docno order by line) as b from fe) "
     "select docno, line, 'h1_count' as kind from x where line = 1 and h1s <> 1 union all select docno, line, 'first_line' from x where line = 1 and not regexp_matches(text, '^#\\s') "
     "union all select docno, line, 'trailing_blank' from x where regexp_matches(text, '\\s$') and not regexp_matches(text, '\\S  $') "
-    "union all select docno, line, 'separator_width' from x where regexp_matches(text, '^\\|[\\s\\-:|]+\\|$') and starts_with(b, '|') and length(replace(text, '|', '')) - length(text) <> length(replace(b, '|', '')) - length(b)"
+    "union all select docno, line, 'separator_width' from x where regexp_matches(text, '^\\|[\\s\\-:|]+\\|$') and starts_with(b, '|') and length(replace(text, '|', '')) - length(text) <> length(replace(b, '|', '')) - length(b) union all select docno, line, 'too_deep' from x where regexp_matches(text, '^#{{7,}}\\s') and not fenced"
 )
 def markdown_faults(spark, sf):
     return ln.markdown_faults(md_lines(spark, sf))

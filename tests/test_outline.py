@@ -96,3 +96,24 @@ def test_index_keeps_the_best_places(spark):
     assert got["u"].places == ["1:b:9"] and got["u"].docs == 1
     plan = sinks.inverted_index(spark.createDataFrame(rows, "term string, docno int, section string, hits long, first_line int, rank int"))._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_headings_deeper_than_six_are_faults(spark):
+    rows = [(1, 1, "# A"), (1, 2, "####### seven"), (1, 3, "```"), (1, 4, "######## fenced"), (1, 5, "```"), (1, 6, "#######no")]
+    assert [tuple(r) for r in ln.markdown_faults(spark.createDataFrame(rows, LINES)).collect()] == [(1, 2, "too_deep")]
+
+
+def test_fences_by_a_walk(spark):
+    rng = random.Random(9)
+    rows, want = [], []
+    for doc in range(20):
+        open_ = ""
+        for line in range(1, rng.randint(2, 60)):
+            text = rng.choice(["```", "~~~", "```py", " ~~~ x", "words", "# h"])
+            mark = (re.match(r"\s*(```|~~~)", text) or [None, ""])[1]
+            was = open_
+            open_ = mark if mark and not was else "" if mark and mark == was else was
+            rows.append((doc, line, text))
+            want.append((doc, line, bool(mark), bool(open_ or mark), mark if mark and not was else ""))
+    got = ln.with_fence(spark.createDataFrame(rows, LINES), keep_open=True)
+    assert sorted(tuple(r) for r in got.select("docno", "line", "is_fence", "fenced", "opened").collect()) == want
