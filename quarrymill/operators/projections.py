@@ -74,11 +74,14 @@ def short_issue(key: Column, fields: Column, base: str, most: int = 200) -> list
     ]
 
 
-def full_issue(key: Column, fields: Column, base: str, comment_limit: int = 20) -> list[Column]:
-    """short_issue with the whole summary, components and the first comments, their total and whether some were left out."""
+def full_issue(key: Column, fields: Column, base: str, comment_limit: int = 20, body_limit: int = 2000) -> list[Column]:
+    """short_issue with the whole summary, components and the first comments, their total and whether some were left out.
+
+    body_limit: characters of a comment's body; what is beyond gives way to a mark with the whole length.
+    """
     held = F.coalesce(fields["comment"]["comments"], F.array())
     total = F.coalesce(fields["comment"]["total"], F.nullif(F.size(held), F.lit(0)))
-    shown = F.transform(F.slice(held, 1, max(comment_limit, 0)), lambda c: comment(c))
+    shown = F.transform(F.slice(held, 1, max(comment_limit, 0)), lambda c: comment(c, body_limit))
     short = [c for c in short_issue(key, fields, base)]
     return [
         *short[:2], fields["summary"].alias("summary"), *short[3:],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as tx
 from quarrymill.operators import cdc, evidence as evd, events as ev, lines as ln, modules as mo, sheets as sh
+from quarrymill.plans import more
 from quarrymill.sources import html_text, inputs
 
 
@@ -93,3 +94,10 @@ def test_markdown_of_odd_pages(spark):
     html = "<H2 class=x>A &lt;b&gt;</h2><p>x<b>y</b> <a title=t href=\"/u\">l <i>i</i></a><br/>z</p><script>1</p></script><!-- <p> --><ul><li>one<li>two</ul>"
     rows = spark.createDataFrame([(html,), (None,), ("",), ("plain  text",)], "html string").select(html_text.html_markdown("html")).collect()
     assert [r[0] for r in rows] == ["## A <b>\nxy [l i](/u)\nz\n- one\n- two", "", "", "plain text"]
+
+
+def test_long_comments_tell_their_own_length(spark, tmp_path):
+    """A text longer than a comment's usual limit was cut twice, so its mark told the length of the first cut."""
+    spark.createDataFrame([(1, 0, "user", "x" * 2500), (1, 1, "user", "short"), (2, 0, "user", "y" * 31)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = more.flat_comments(spark, str(tmp_path)).orderBy("conv_id").collect()
+    assert [tuple(r) for r in got] == [(1, 2, ["x" * 30 + "…[2500]", "short"], False), (2, 1, ["y" * 30 + "…[31]"], False)]
