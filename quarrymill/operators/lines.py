@@ -64,16 +64,25 @@ def headings(lines: DataFrame, min_depth: int = 1) -> DataFrame:
     return found.where(F.length("mark") >= min_depth).select("docno", "line", F.length("mark").alias("depth"), F.trim(F.regexp_extract("text", HEADING, 2)).alias("text"))
 
 
-def collapse_blank(lines: DataFrame) -> DataFrame:
-    """Of a run of blank lines the first stays, emptied; lines are numbered anew."""
+def _collapsed(lines: DataFrame) -> DataFrame:
+    """collapse_blank by the lines' old numbers, so that what follows needs no other sort."""
     blank = F.trim("text") == ""
     kept = lines.withColumn("blank", blank).withColumn("after", F.lag("blank").over(in_order())).where(~(F.col("blank") & F.coalesce("after", F.lit(False))))
-    return kept.select("docno", F.row_number().over(in_order()).alias("line"), F.when(F.col("blank"), "").otherwise(F.col("text")).alias("text"))
+    return kept.select("docno", "line", F.when(F.col("blank"), "").otherwise(F.col("text")).alias("text"))
+
+
+def _renumbered(lines: DataFrame) -> DataFrame:
+    return lines.select("docno", F.row_number().over(in_order()).alias("line"), "text")
+
+
+def collapse_blank(lines: DataFrame) -> DataFrame:
+    """Of a run of blank lines the first stays, emptied; lines are numbered anew."""
+    return _renumbered(_collapsed(lines))
 
 
 def drop_orphan_separators(lines: DataFrame) -> DataFrame:
-    """Separator rows that no table row precedes go; blanks are collapsed before and after."""
-    once = collapse_blank(lines)
+    """Separator rows that no table row precedes go; blanks are collapsed before and after, lines numbered once: one sort serves all."""
+    once = _collapsed(lines)
     separator = F.trim("text").rlike(SEPARATOR)
     # a separator after a kept separator follows a table row; so only the last line that isn't a separator decides
     last = F.last(F.when(~separator, F.col("text")), ignorenulls=True).over(before())
@@ -81,6 +90,12 @@ def drop_orphan_separators(lines: DataFrame) -> DataFrame:
     return collapse_blank(once.withColumn("good", good).where("good").drop("good"))
 
 
+def next_solid(lines: DataFrame, solid: Column, name: str) -> DataFrame:
+    """lines with the next value of solid that isn't null after each line, in one pass: a frame up to the document's end would
+    be read anew for every line."""
+    return lines.withColumn("__solid", solid).withColumn(name, F.expr("lead(__solid) ignore nulls over (partition by docno order by line)")).drop("__solid")
+
+
 #: Page marks that are dropped where no patterns are given.
 PAGE_MARKS = [r"第\s*\d+\s*页\s*/?\s*共\s*\d+\s*页$", r"\d+\s*/\s*\d+$", r"Page\s*\d+\s*(?:of\s*\d+)?$", r"\d{1,4}$"]
 
@@ -125,8 +140,7 @@ def plausible_title(c: Column) -> Column:
 def numbered_headings(lines: DataFrame) -> DataFrame:
     """Candidates `1.1` alone before a title line, or `1.1 title`: docno, line, num, title, last (line consumed)."""
     text = F.trim("text")
-    rows = lines.withColumn("s", text).withColumn("solid", F.when(text != "", F.struct(F.col("line"), text.alias("s"))))
-    rows = rows.withColumn("following", F.first("solid", ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing)))
+    rows = next_solid(lines.withColumn("s", text), F.when(text != "", F.struct(F.col("line"), text.alias("s"))), "following")
     alone, inline = NUMBER_ALONE, NUMBER_INLINE
     num = F.coalesce(F.nullif(F.regexp_extract("s", alone, 1), F.lit("")), F.regexp_extract("s", inline, 1))
     single, dotted = F.col("s").rlike(alone), F.col("s").rlike(r"\.$")
@@ -376,8 +390,7 @@ def outline_quality(heads: DataFrame, expected: Column | None = None) -> DataFra
 
 def empty_sections(lines: DataFrame) -> DataFrame:
     """`## ` lines that only blanks separate from the next one, or from the end."""
-    following = F.first(F.when(F.trim("text") != "", F.col("text")), ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing))
-    rows = lines.withColumn("following", following)
+    rows = next_solid(lines, F.when(F.trim("text") != "", F.col("text")), "following")
     return rows.where(F.col("text").startswith("## ") & (F.col("following").isNull() | F.col("following").startswith("## "))).select("docno", "line", "text")
 
 

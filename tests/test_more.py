@@ -101,3 +101,12 @@ def test_long_comments_tell_their_own_length(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "x" * 2500), (1, 1, "user", "short"), (2, 0, "user", "y" * 31)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = more.flat_comments(spark, str(tmp_path)).orderBy("conv_id").collect()
     assert [tuple(r) for r in got] == [(1, 2, ["x" * 30 + "…[2500]", "short"], False), (2, 1, ["y" * 30 + "…[31]"], False)]
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orphan_separators_sort_once(spark):
+    """Renumbering between the windows made a second sort, which a task holds beside the first."""
+    assert executed(ln.drop_orphan_separators(doc(spark, "a", "", "", "| --- |", "| b |", "| --- |"))).count("Sort [") == 1
