@@ -305,9 +305,15 @@ wa as (
 """
 
 
-@query(f"with recursive {CAND_SQL}, {LOCATED_SQL} select wa.docno, ln.line, en.num, en.title from wa join en on en.docno = wa.docno and en.i = wa.i join ln on ln.docno = wa.docno and ln.k = wa.hit")
+# long documents, so that the window from the last hit ends before the text does
+LONG_NUM = NUM.replace("p_partkey % 4 ", "(p_partkey {0} 40) % 4 ")
+LONG_SQL = f"np as (select p_partkey % 40 as docno, cast(row_number() over (partition by p_partkey % 40 order by p_partkey) as integer) as line, {LONG_NUM.format('//')} as text from part)"
+
+
+@query(f"with recursive {CAND_SQL.replace(NUM_SQL, LONG_SQL)}, {LOCATED_SQL} select wa.docno, ln.line, en.num, en.title from wa join en on en.docno = wa.docno and en.i = wa.i join ln on ln.docno = wa.docno and ln.k = wa.hit")
 def located_entries(spark, sf):
-    lines = _numbered(spark, sf)
+    w = Window.partitionBy(F.expr("p_partkey % 40")).orderBy("p_partkey")
+    lines = table(spark, sf, "part").select(F.expr("p_partkey % 40").alias("docno"), F.row_number().over(w).alias("line"), F.expr(LONG_NUM.format("div")).alias("text"))
     entries = ln.numbered_headings(lines).select("docno", F.col("line").alias("pos"), "num", "title")
     return ln.locate_entries(lines, entries)
 

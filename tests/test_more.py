@@ -124,3 +124,8 @@ def test_findings_read_what_follows_once(spark, tmp_path):
     """lint_findings takes its empty sections from the same step."""
     sf = "/root/testdata/sf0.001"
     assert "unboundedfollowing" not in executed(catalog.QUERIES["lint_findings"](spark, sf)).lower()
+
+
+def test_located_entries_search_long_documents():
+    """Forty documents of all parts: short ones never end the window from the last hit, which made the job smaller."""
+    assert "p_partkey % 40 as docno" in catalog.ORACLES["located_entries"] and "p_partkey // 50" not in catalog.ORACLES["located_entries"]
