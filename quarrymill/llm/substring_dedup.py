@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_batch, carried, in_arrow, kept, null_free, slices, utf8_rows
+from .common import as_batch, carried, in_arrow, kept, materialise, null_free, slices, utf8_rows
 from .words import WordHashes, batch_windows, window_hashes
 
 BLOCK_BITS = 20
@@ -50,6 +50,20 @@ def sketch_bits(text_bytes: int, cells_per_window: int, max_sketch_bytes: int) -
     return min(max(wanted, BLOCK_BITS), int(math.log2(max_sketch_bytes * 8)))
 
 
+#: Cells for each window, at least, once the sketch is larger than one map.
+CELLS_IN_TURNS = 4
+
+
+def sketch_turns(text_bytes: int, cells_per_window: int, max_sketch_bytes: int) -> tuple[int, int]:
+    """(log2 of the sketch's cells, turns in which tasks hold a part of it): one map as long as it has CELLS_IN_TURNS a window.
+
+    A map that is too small for the table would call most windows repeated and group nearly all of them.
+    """
+    bits = sketch_bits(text_bytes, cells_per_window, max_sketch_bytes)
+    more = math.ceil(math.log2(max(1, text_bytes // BYTES_A_WINDOW) * CELLS_IN_TURNS)) - bits
+    return (bits + more, 1 << more) if more > 0 else (bits, 1)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """uint32 values with their low bytes first, then the next bytes and so on: small values leave runs of zeros."""
     return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -134,15 +148,34 @@ def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8,
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(total, cells_per_window, max_sketch_bytes)
-    merged = merge_sketches(partition_sketches(docs, size, bits)).collect()  # at most max_sketch_bytes
-    sketch = spark.sparkContext.broadcast({r.block: bytes(r.repeated) for r in merged})
+    bits, turns = sketch_turns(total, cells_per_window, max_sketch_bytes)
+    merged = merge_sketches(partition_sketches(docs, size, bits), max(64, (1 << bits - BLOCK_BITS) // 32))
+    if turns > 1:
+        merged = materialise(merged, "repeated-sketch")
+    docs = docs.withColumn("text_key", _text_key("text"))
+    rows = None
+    for turn in range(turns):
+        part = _turn_rows(docs, merged, size, bits, turns, turn)
+        rows = part if rows is None else rows.unionByName(part)
+    same = Window.partitionBy("h", "g")
+    found = rows.withColumn("least", F.min("doc_id").over(same)).where("settled is not null or least < doc_id")
+    start = F.when(F.col("settled").isNull(), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    several = F.coalesce("settled", "more")
+    return found.groupBy("doc_id", F.shiftright("at", 32).alias("text_key")).agg(F.collect_list(start).alias("starts"), F.collect_list(several).alias("settled"))
+
+
+def _turn_rows(docs: DataFrame, merged: DataFrame, size: int, bits: int, turns: int, turn: int) -> DataFrame:
+    """The windows called repeated whose cells lie in one turn's part of the sketch, at most a map's bytes of it."""
+    spark, blocks = docs.sparkSession, (1 << bits - BLOCK_BITS) // turns
+    own = merged.where(F.col("block").between(turn * blocks, (turn + 1) * blocks - 1)) if turns > 1 else merged
+    sketch = spark.sparkContext.broadcast({r.block - turn * blocks: bytes(r.repeated) for r in own.collect()})  # at most max_sketch_bytes
+    width = bits - (turns - 1).bit_length()  # of a cell inside its turn's part
     name = f"repeated {uuid.uuid4().hex}"
     schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("more", pa.binary()), ("settled", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, count = WordHashes(), [], 0
-        bit_map = kept(name, lambda: _bit_map(bits, sketch.value))
+        bit_map = kept(name, lambda: _bit_map(width, sketch.value))
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, g, ids, at = (np.concatenate(x) for x in zip(*held))
@@ -173,7 +206,9 @@ def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8,
             if len(doc):
                 h = window_hashes(words, size)[at]
                 cell = h >> np.uint64(64 - bits)
-                hit = np.flatnonzero(bit_map[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7)).astype(np.uint8)) & 1)
+                mine = (cell >> np.uint64(width)) == turn
+                cell &= np.uint64((1 << width) - 1)
+                hit = np.flatnonzero(mine & bit_map[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7)).astype(np.uint8)) & 1)
                 if len(hit):
                     g = (window_hashes(words, size, 1)[at[hit]] >> np.uint64(32)).astype(np.uint32)
                     ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
@@ -186,12 +221,7 @@ def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8,
         if held:
             yield from flush()
 
-    rows = docs.withColumn("text_key", _text_key("text")).transform(in_arrow, run, "h long, g int, doc_id long, at long, more binary, settled binary")
-    same = Window.partitionBy("h", "g")
-    found = rows.withColumn("least", F.min("doc_id").over(same)).where("settled is not null or least < doc_id")
-    start = F.when(F.col("settled").isNull(), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    several = F.coalesce("settled", "more")
-    return found.groupBy("doc_id", F.shiftright("at", 32).alias("text_key")).agg(F.collect_list(start).alias("starts"), F.collect_list(several).alias("settled"))
+    return docs.transform(in_arrow, run, "h long, g int, doc_id long, at long, more binary, settled binary")
 
 
 def _open_rows(schema: pa.Schema, h: np.ndarray, g: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrymill.llm import substring_dedup as sd
 
@@ -63,3 +64,19 @@ def test_cut_text_keeps_columns_and_blanks(spark):
     assert got[2].text == "  new\nend\n" and got[2].n_chars == 10 and got[1].text == p and got[5].text is None
     assert sd.cut_repeats(docs(spark, [])).count() == 0
     assert sd.cut_repeats(docs(spark, data)).columns == docs(spark, data).columns
+
+
+def test_a_sketch_larger_than_a_map_is_held_in_turns(spark):
+    """A full map called nearly all windows repeated; in turns the same starts are found from few rows."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.randrange(1 << 30):x}" for _ in range(2000)) for _ in range(60)]
+    rows = [(k, t + " " + texts[0][:400]) for k, t in enumerate(texts)]
+    df = docs(spark, rows)
+    total, small = sum(len(t) for _, t in rows), 1 << 14
+    bits, turns = sd.sketch_turns(total, 8, 1 << 17)
+    assert turns == 1 and bits == 20 and sd.sketch_turns(64 * total, 8, 1 << 17)[1] > 1 and sd.sketch_turns(10**10, 8, small << 13)[0] == 33
+    key = df.select(F.col("doc_id").cast("long"), "text").withColumn("text_key", sd._text_key("text"))
+    merged = sd.merge_sketches(sd.partition_sketches(key, 13, 22))
+    whole = sd._turn_rows(key, merged, 13, 22, 1, 0).select("h", "g", "doc_id").collect()
+    parts = [r for t in range(4) for r in sd._turn_rows(key, merged, 13, 22, 4, t).select("h", "g", "doc_id").collect()]
+    assert sorted(r for r in map(tuple, parts) if r[1]) == sorted(r for r in map(tuple, whole) if r[1]) and len(parts) > 60
