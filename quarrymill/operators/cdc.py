@@ -13,18 +13,19 @@ def change_set(current: DataFrame, state: DataFrame) -> DataFrame:
 
     A path that is new and whose content an absent or retired path had is a rename of it (active before retired, then by
     path, paired one to one); its old path is not removed. A copy of a file that is still there is an addition.
+    Joins are merges: paths made from narrow columns are far larger than Spark's estimate, and would go through the driver.
     """
     live = state.where("not retired").select("relpath", F.col("hash").alias("old_hash"))
-    both = current.join(live, "relpath", "full_outer")
+    both = current.join(live.hint("merge"), "relpath", "full_outer")
     stay = both.where("hash is not null and old_hash is not null").select(F.when(F.col("hash") == F.col("old_hash"), "unchanged").otherwise("modified").alias("kind"), "relpath", F.lit(None).cast("string").alias("from_path"), "hash", "old_hash")
     fresh = both.where("old_hash is null").select("relpath", "hash")
     gone = both.where("hash is null").select(F.col("relpath").alias("from_path"), F.col("old_hash").alias("hash"), F.lit(False).alias("retired"))
-    lost = gone.unionByName(state.where("retired").join(current.select("relpath"), "relpath", "left_anti").select(F.col("relpath").alias("from_path"), "hash", "retired"))
+    lost = gone.unionByName(state.where("retired").join(current.select("relpath").hint("merge"), "relpath", "left_anti").select(F.col("relpath").alias("from_path"), "hash", "retired"))
     a = fresh.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("relpath")))
     b = lost.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("retired", "from_path")))
-    paired = a.join(b, ["hash", "n"], "left")
+    paired = a.join(b.hint("merge"), ["hash", "n"], "left")
     new = paired.select(F.when(F.col("from_path").isNotNull(), "renamed").otherwise("added").alias("kind"), "relpath", "from_path", "hash", F.when(F.col("from_path").isNotNull(), F.col("hash")).alias("old_hash"))
-    removed = gone.join(paired.where("from_path is not null").select("from_path"), "from_path", "left_anti").select(F.lit("removed").alias("kind"), F.col("from_path").alias("relpath"), F.lit(None).cast("string").alias("from_path"), F.lit(None).cast("string").alias("hash"), F.col("hash").alias("old_hash"))
+    removed = gone.join(paired.where("from_path is not null").select("from_path").hint("merge"), "from_path", "left_anti").select(F.lit("removed").alias("kind"), F.col("from_path").alias("relpath"), F.lit(None).cast("string").alias("from_path"), F.lit(None).cast("string").alias("hash"), F.col("hash").alias("old_hash"))
     return stay.unionByName(new).unionByName(removed)
 
 
@@ -46,7 +47,7 @@ def free_numbers(used: DataFrame, wanted: int) -> DataFrame:
     """The `wanted` smallest positive numbers not in used (n): n, rank. Candidates are as many as used and wanted ones together."""
     spark = used.sparkSession
     taken = used.select(F.col("n").cast("long").alias("n")).distinct()
-    free = spark.range(1, used.count() + wanted + 1).toDF("n").join(taken, "n", "left_anti")
+    free = spark.range(1, used.count() + wanted + 1).toDF("n").join(taken.hint("merge"), "n", "left_anti")
     return ranked(free, "n").where(F.col("rank") <= wanted)
 
 
@@ -56,9 +57,9 @@ def assign_numbers(changes: DataFrame, state: DataFrame, wanted: int) -> DataFra
     wanted: how many documents were added (a count the caller has from the change set).
     """
     numbers = state.select(F.col("relpath").alias("owner"), F.col("docno").cast("int").alias("n"))
-    kept = changes.where("kind in ('unchanged', 'modified', 'renamed')").join(numbers, F.coalesce("from_path", "relpath") == F.col("owner")).select("relpath", "n")
+    kept = changes.where("kind in ('unchanged', 'modified', 'renamed')").join(numbers.hint("merge"), F.coalesce("from_path", "relpath") == F.col("owner")).select("relpath", "n")
     added = ranked(changes.where("kind = 'added'").select("relpath"), "relpath")
-    new = added.join(free_numbers(numbers.select("n"), wanted), "rank").select("relpath", "n")
+    new = added.join(free_numbers(numbers.select("n"), wanted).hint("merge"), "rank").select("relpath", "n")
     return kept.unionByName(new).select("relpath", docno(F.col("n")).alias("docno"))
 
 

@@ -129,3 +129,9 @@ def test_findings_read_what_follows_once(spark, tmp_path):
 def test_located_entries_search_long_documents():
     """Forty documents of all parts: short ones never end the window from the last hit, which made the job smaller."""
     assert "p_partkey % 40 as docno" in catalog.ORACLES["located_entries"] and "p_partkey // 50" not in catalog.ORACLES["located_entries"]
+
+
+def test_change_sets_do_not_pass_through_the_driver(spark):
+    """Paths made from narrow columns were taken for small tables and broadcast."""
+    sf = "/root/testdata/sf0.001"
+    assert "BroadcastExchange" not in executed(catalog.QUERIES["change_set"](spark, sf))
