@@ -47,6 +47,8 @@ _OFFSETS = dict(zip(BANDS, np.cumsum([0, *(len(b) + 1 for b in BANDS.values())])
 TERMS = WORD_BUCKETS + sum(len(b) + 1 for b in BANDS.values())
 #: Weight of a shape term against a word seen once.
 SHAPE_WEIGHT = 3.0
+#: Rows of the sample that are dense at once while the driver decomposes it.
+DENSE_ROWS = 512
 _CLASSES = np.zeros(256, np.uint8)
 _CLASSES[[c for c in range(33, 127) if not chr(c).isalnum()]] = 1
 _CLASSES[48:58] = 2
@@ -106,23 +108,50 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray, rank: int, k: int) -> Neighbours:
-    """shares: of all labelled rows, by label; neighbours of a label that the sample favours weigh less."""
-    frequency = np.bincount(np.concatenate([t for t, _ in rows]), minlength=TERMS)
+    """shares: of all labelled rows, by label; neighbours of a label that the sample favours weigh less.
+
+    The weighted matrix is never held whole: products with it are made from DENSE_ROWS rows at a time.
+    """
+    frequency = np.zeros(TERMS, np.int64)
+    for terms, _ in rows:
+        frequency += np.bincount(terms, minlength=TERMS)
     idf = np.log((1 + len(rows)) / (1 + frequency)).astype(np.float32) + 0.1
-    x = np.zeros((len(rows), TERMS), np.float32)
-    for i, (terms, values) in enumerate(rows):
-        x[i, terms] = values
-    x = _unit(x * idf)
+    room = np.zeros((min(DENSE_ROWS, len(rows)), TERMS), np.float32)
+
+    def blocks() -> Iterator[tuple[slice, np.ndarray]]:
+        for at in range(0, len(rows), DENSE_ROWS):
+            x = room[: len(rows) - at]
+            x[:] = 0
+            for i, (terms, values) in enumerate(rows[at : at + DENSE_ROWS]):
+                x[i, terms] = values * idf[terms]
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            yield slice(at, at + len(x)), x
+
+    def times(y: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ y for _, x in blocks()])
+
+    def transposed_times(y: np.ndarray) -> np.ndarray:
+        return sum(x.T @ y[rows_of] for rows_of, x in blocks())
+
     rng = np.random.default_rng(0)
     rank = min(rank, len(rows))
-    q = np.linalg.qr(x @ (x.T @ rng.standard_normal((len(rows), rank + 8)).astype(np.float32)))[0]
+    q = np.linalg.qr(times(transposed_times(rng.standard_normal((len(rows), rank + 8)).astype(np.float32))))[0]
     for _ in range(3):
-        q = np.linalg.qr(x @ (x.T @ q))[0]
-    _, s, vt = np.linalg.svd(q.T @ x, full_matrices=False)
+        q = np.linalg.qr(times(transposed_times(q)))[0]
+    _, s, vt = np.linalg.svd(transposed_times(q).T, full_matrices=False)
     components = vt[:rank].T
     balance = np.bincount(labels, minlength=2) / len(labels)
     weights = (shares / np.maximum(balance, 1e-9))[labels]
-    return Neighbours((components * idf[:, None]).astype(np.float32), _unit(x @ components).astype(np.float32), labels.astype(np.float32), weights.astype(np.float32), k)
+    return Neighbours((components * idf[:, None]).astype(np.float32), _unit(times(components)).astype(np.float32), labels.astype(np.float32), weights.astype(np.float32), k)
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A column of lists as numpy views, no number as a Python object."""
+    made = []
+    for chunk in column.chunks:
+        flat, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        made += [flat[a:b] for a, b in zip(at, at[1:])]
+    return made
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", teaches: Column | None = None, max_labelled: int = 6000, rank: int = 64, k: int = 15) -> Neighbours | None:
@@ -153,9 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", teaches: Co
     found = keyed.transform(in_arrow, run, spec).orderBy("by_id", "by_text", "label").limit(2 * max_labelled).toArrow()
     if not found.num_rows:
         return None
-    rows = [(np.asarray(t), np.asarray(v, np.float32)) for t, v in zip(found.column("terms").to_pylist(), found.column("counts").to_pylist())]
-    y = np.asarray(found.column("label").to_pylist(), np.int64)
-    order = sorted(range(len(rows)), key=lambda i: (zlib.crc32(rows[i][0].tobytes() + rows[i][1].tobytes()), int(y[i])))  # the same model whatever order the tasks end in
+    rows = list(zip(_lists(found.column("terms")), _lists(found.column("counts"))))
+    y = found.column("label").to_numpy().astype(np.int64)
+    order = sorted(range(len(rows)), key=lambda i: (zlib.crc32(rows[i][0].astype(np.int64).tobytes() + rows[i][1].tobytes()), int(y[i])))  # the same model whatever order the tasks end in
     shares = np.array([totals.get(0, 0), totals.get(1, 0)], float) / sum(totals.values())
     return train([rows[i] for i in order], y[order], shares, rank, k)
 

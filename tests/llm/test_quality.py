@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 
@@ -57,3 +58,23 @@ def test_scores_equal_voting_by_brute_force(spark):
         assert math.isclose(got[row.doc_id], sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs_tol=1e-4)
         checked += 1
     assert checked > 100
+
+
+def test_the_driver_never_holds_the_dense_sample():
+    """Three blocks of rows: the same cosines as from the dense matrix, in less memory than one such matrix takes."""
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(q.TERMS, 60, replace=False)).astype(np.int32), rng.random(60).astype(np.float32)) for _ in range(2 * q.DENSE_ROWS + 100)]
+    for terms, _ in rows[::2]:
+        terms[:40] = np.arange(40)  # half of the texts share words, so the leading components are told apart
+    labels = np.arange(len(rows)) % 2
+    tracemalloc.start()
+    model = q.train(rows, labels, np.array([0.5, 0.5]), 1, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(rows) * q.TERMS * 4
+    x = np.zeros((len(rows), q.TERMS))
+    for i, (terms, values) in enumerate(rows):
+        x[i, terms] = values
+    x = q._unit(x * (np.log((1 + len(rows)) / (1 + (x > 0).sum(0))) + 0.1))
+    first = np.linalg.eigh(x.T @ x)[1][:, -1]
+    assert abs(np.sign(x @ first) @ model.vectors[:, 0]) > 0.999 * len(rows)
