@@ -103,12 +103,21 @@ class LogBilinear:
         return a1, a2, np.log(np.exp(a1) @ np.exp(a2).T)
 
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, sums of their values)."""
-    order = np.argsort(rows, kind="stable")
+def _summed(rows: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows, then the sums of each of values over them. Small row numbers are sorted as 16 bits, by radix."""
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
     at = rows[order]
     cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[cuts], np.add.reduceat(values[order], cuts, axis=0)
+    return [at[cuts], *[np.add.reduceat(x.take(order, 0), cuts, axis=0) for x in values]]
+
+
+def _logistic(x: np.ndarray, scale: float) -> np.ndarray:
+    """scale / (1 + exp(-x)), made in x's own place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(np.float32(scale), x, out=x)
 
 
 class Trainer:
@@ -129,18 +138,24 @@ class Trainer:
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         m = self.model
         n = np.searchsorted(self.noise, self.rng.random(NOISE) * self.noise[-1]).clip(0, len(m.b) - 1)
-        ru, rv, qw, qn = m.r[u], m.r[v], m.q[w], m.q[n]
-        p = ru @ m.c1 + rv @ m.c2
-        true = (p * qw).sum(1) + m.b[w] - self.log_kq[w]
-        fake = p @ qn.T + m.b[n] - self.log_kq[n]
-        g = 1 / (1 + np.exp(np.clip(true, -30, 30))) / len(w)
-        h = -1 / (1 + np.exp(-np.clip(fake, -30, 30))) / len(w)
-        dp = g[:, None] * qw + h @ qn
+        ru, rv, qw, qn = m.r.take(u, 0), m.r.take(v, 0), m.q.take(w, 0), m.q.take(n, 0)
+        p = ru @ m.c1
+        p += rv @ m.c2
+        bias = m.b - self.log_kq
+        true = np.einsum("ij,ij->i", p, qw) + bias.take(w)
+        fake = p @ qn.T
+        fake += bias.take(n)
+        g = _logistic(-true, 1 / len(w))
+        h = _logistic(fake, -1 / len(w))
+        dp = h @ qn
+        qw *= g[:, None]
+        dp += qw
         d1, d2 = dp @ m.c1.T, dp @ m.c2.T
         dc1, dc2 = ru.T @ dp, rv.T @ dp
-        rows, dq = _summed(np.concatenate((w, n)), np.concatenate((g[:, None] * p, h.T @ p)))
+        hp, hs = h.T @ p, h.sum(0)
+        p *= g[:, None]
+        rows, dq, db = _summed(np.concatenate((w, n)), np.concatenate((p, hp)), np.concatenate((g, hs)))
         self._move(1, rows, dq)
-        rows, db = _summed(np.concatenate((w, n)), np.concatenate((g, h.sum(0))))
         self._move(4, rows, db)
         rows, dr = _summed(np.concatenate((u, v)), np.concatenate((d1, d2)))
         self._move(0, rows, dr)
@@ -148,15 +163,30 @@ class Trainer:
         self._move(3, slice(None), dc2)
 
 
+class Endings(dict):
+    """Ending to class, filled on demand: endings are of two bytes at most, so there are some 65,000."""
+
+    def __init__(self, rest: int, groups: int):
+        self.rest, self.groups = rest, groups
+
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = g = self.rest + crc32(ending) % self.groups
+        return g
+
+
 class Classes(dict):
     """Word to class; every other word is in one of the last classes, from `rest` on."""
 
     def __init__(self, words: list[bytes], rest: int, groups: int = 1):
         super().__init__(zip(words, range(len(words))))
-        self.rest, self.groups = rest, groups
+        self.rest, self.endings = rest, Endings(rest, groups)
 
     def __missing__(self, word: bytes) -> int:
-        return self.rest + crc32(word[-ENDING:]) % self.groups
+        return self.endings[word[-ENDING:]]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        get, endings = self.get, self.endings
+        return np.array([endings[x[-ENDING:]] if (k := get(x)) is None else k for x in words], np.int64)
 
 
 def group_of(word: str, groups: int) -> Column:
@@ -164,19 +194,22 @@ def group_of(word: str, groups: int) -> Column:
     return (F.crc32(F.substring(word, -ENDING, ENDING)) % groups).cast("int")
 
 
-def _classed(texts: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(next class, class before, second before, document) of every token, and the documents' tokens. Before a text stands its end token."""
-    lists = [[*t.lower().split(), END] for t in texts]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = [w for x in lists for w in x]
-    w = np.fromiter(map(classes.__getitem__, flat), np.int64, len(flat))
+def _classed(texts: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(next class, class before, second before, document) of every token, and the tokens. Before a text stands its end token."""
+    flat, counts = [], np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        before = len(flat)
+        flat += t.lower().split()
+        flat.append(END)
+        counts[k] = len(flat) - before
+    w = classes.of(flat)
     end = classes[END]
     first = np.cumsum(counts) - counts
     u = np.concatenate(([end], w[:-1]))
     u[first] = end
     v = np.concatenate(([end], u[:-1]))
     v[first] = end
-    return w, u, v, np.repeat(np.arange(len(lists)), counts), lists
+    return w, u, v, np.repeat(np.arange(len(texts)), counts), flat
 
 
 def _sum_models(rows: DataFrame, tasks: int) -> DataFrame:
@@ -288,10 +321,9 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         rest, rid = len(words), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 200):
             n_docs = batch.num_rows
-            w, u, v, doc, lists = _classed(utf8_rows(batch.column("text")), classes)
+            w, u, v, doc, flat = _classed(utf8_rows(batch.column("text")), classes)
             logp = np.bincount(doc, (a1[u, w] + a2[v, w] - z[u, v]) / math.log(10) - mass_log[w], n_docs)
             # log10(count + 1) of head words; nan marks the words that the distributed counts must tell
-            flat = [x for y in lists for x in y]
             known = np.fromiter((logs.get(x, math.nan) for x in flat), np.float64, len(flat))
             tail = np.isnan(known)
             in_rest = w >= rest

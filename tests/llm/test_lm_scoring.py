@@ -97,3 +97,44 @@ def test_no_training_rows(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = lm.score_documents(docs(spark, [(only, "a b")])).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def test_groups_are_told_by_their_endings_once(monkeypatch):
+    """A text's words outside the classes cost one checksum an ending, not one a token."""
+    calls = []
+    monkeypatch.setattr(lm, "crc32", lambda x: calls.append(x) or zlib.crc32(x))
+    classes = lm.Classes([lm.END, b"the"], 2, 1024)
+    texts = [b"The " + b" ".join(b"w%dab c%dde" % (k, k) for k in range(500)), b"", b"x the \xc3\xa9"]
+    w, u, v, doc, flat = lm._classed(texts, classes)
+    assert flat == [x for t in texts for x in (*t.lower().split(), lm.END)]
+    assert w.tolist() == [0 if x == lm.END else 1 if x == b"the" else 2 + zlib.crc32(x[-2:]) % 1024 for x in flat]
+    assert doc.tolist() == [0] * 1002 + [1] + [2] * 4 and u[:3].tolist() == [0, 1, w[1]] and v[:3].tolist() == [0, 0, 1]
+    assert sorted(calls) == [b"ab", b"de", b"x", b"\xc3\xa9"]
+
+
+def test_a_step_moves_as_its_gradients_say():
+    """One step against the objective's gradients in double precision, summed row by row."""
+    rng = np.random.default_rng(3)
+    shares = rng.random(40) + 0.1
+    shares /= shares.sum()
+    model = lm.LogBilinear.start(shares)
+    u, v, w = (rng.integers(0, 40, 300) for _ in range(3))
+    trainer = lm.Trainer(model, shares, 7)
+    n = np.searchsorted(np.cumsum(shares), np.random.default_rng(7).random(lm.NOISE) * np.cumsum(shares)[-1]).clip(0, 39)
+    trainer.step(u, v, w)
+    r, qq, c1, c2, b = (x.astype(float) for x in model.arrays())
+    kq = np.log(lm.NOISE * shares)
+    p = r[u] @ c1 + r[v] @ c2
+    g = 1 / (1 + np.exp((p * qq[w]).sum(1) + b[w] - kq[w])) / 300
+    h = -1 / (1 + np.exp(-(p @ qq[n].T + b[n] - kq[n]))) / 300
+    dp = g[:, None] * qq[w] + h @ qq[n]
+    grads = [np.zeros_like(x) for x in (r, qq, c1, c2, b)]
+    np.add.at(grads[0], u, dp @ c1.T)
+    np.add.at(grads[0], v, dp @ c2.T)
+    np.add.at(grads[1], w, g[:, None] * p)
+    np.add.at(grads[1], n, h.T @ p)
+    grads[2], grads[3] = r[u].T @ dp, r[v].T @ dp
+    np.add.at(grads[4], w, g)
+    np.add.at(grads[4], n, h.sum(0))
+    for x, d, got in zip((r, qq, c1, c2, b), grads, trainer.model.arrays()):
+        assert np.allclose(x + lm.RATE * d / np.sqrt(1e-3 + d * d), got, atol=1e-4)
