@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STORE_CONF = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 STAYS = ("unchanged", "modified")
 CHANGE = "kind string, relpath string, from_path string, hash string, old_hash string"
+CHANGED = Row("kind", "relpath", "from_path", "hash", "old_hash")
 
 
 class PairedRenames(StatefulProcessor):
@@ -32,47 +33,51 @@ class PairedRenames(StatefulProcessor):
         self.paths = handle.getMapState("paths", "relpath string", "role string, was string")
         self.closes = handle.getValueState("closes", "at long")
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N802, N803
-        for path in initialState["relpath"]:
-            self.paths.updateValue((path,), ("retired", None))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        latest = None
-        for part in rows:
-            for path, role, was, at in zip(part["relpath"], part["role"], part["was"], part["ts"]):
-                if role == "back":  # a retired path is there again, so nothing can be a rename of it
-                    if self.paths.containsKey((path,)) and self.paths.getValue((path,))[0] == "retired":
-                        self.paths.removeKey((path,))
-                else:
-                    self.paths.updateValue((path,), (role, was))
-                    at = int(at.timestamp() * 1000)
-                    latest = at if latest is None else max(latest, at)
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: Any) -> None:  # noqa: N802, N803
+        self.paths.updateValue((initialState.relpath,), ("retired", None))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        told, latest = {}, None
+        for row in rows:
+            path = row.relpath
+            if row.role == "back":  # a retired path is there again, so nothing can be a rename of it
+                held = None if path in told else self.paths.getValue((path,))
+                if held is not None and held[0] == "retired":
+                    self.paths.removeKey((path,))
+            else:
+                told[path] = (row.role, row.was)
+                latest = row.at if latest is None else max(latest, row.at)
+        for path, role in told.items():  # every call is a message to the JVM, so each path is written once
+            self.paths.updateValue((path,), role)
         if latest is not None:
             closes = latest + self.delay_ms
-            before = self.closes.get()[0] if self.closes.exists() else None
-            if before is None or closes > before:
+            before = self.closes.get()
+            if before is None or closes > before[0]:
                 if before is not None:
-                    self.handle.deleteTimer(before)
+                    self.handle.deleteTimer(before[0])
                 self.handle.registerTimer(closes)
                 self.closes.update((closes,))
-        yield pd.DataFrame()
+        return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         held = {path[0]: (role[0], role[1]) for path, role in self.paths.iterator()}
         roles = sorted((role, path) for path, (role, _) in held.items())
         fresh = [p for r, p in roles if r == "fresh"]
         lost = [(r, p) for r, p in roles if r in ("gone", "retired")]  # active before retired, then by path
-        out = [(role, path, None, key[0], was) for path, (role, was) in held.items() if role in STAYS]
+        out = [CHANGED(role, path, None, key[0], was) for path, (role, was) in held.items() if role in STAYS]
         for path, (_, source) in zip(fresh, lost):
-            out.append(("renamed", path, source, key[0], key[0]))
-        out += [("added", path, None, key[0], None) for path in fresh[len(lost) :]]
-        out += [("removed", path, None, None, key[0]) for role, path in lost[len(fresh) :] if role == "gone"]
+            out.append(CHANGED("renamed", path, source, key[0], key[0]))
+        out += [CHANGED("added", path, None, key[0], None) for path in fresh[len(lost) :]]
+        out += [CHANGED("removed", path, None, None, key[0]) for role, path in lost[len(fresh) :] if role == "gone"]
         taken = {path for _, path in lost[: len(fresh)]}
-        for role, path in roles:  # what is still retired may be the source of a later rename
-            if role != "retired" or path in taken:
+        ended = [path for role, path in roles if role != "retired" or path in taken]  # what is still retired may be the source of a later rename
+        if len(ended) == len(roles):
+            self.paths.clear()
+        else:
+            for path in ended:
                 self.paths.removeKey((path,))
         self.closes.clear()
-        yield pd.DataFrame(out, columns=["kind", "relpath", "from_path", "hash", "old_hash"])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -103,6 +108,6 @@ def change_stream(observed: DataFrame, state: DataFrame, delay: str = "10 minute
     """
     delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
     told = observed.withWatermark("ts", delay).alias("o").join(state.alias("s"), F.col("o.relpath") == F.col("s.relpath"), "left")
-    events = told.select(F.col("o.relpath").alias("relpath"), F.col("o.ts").alias("ts"), F.col("s.hash").alias("was"), F.inline(_transitions()))
+    events = told.select(F.col("o.relpath").alias("relpath"), F.col("o.ts").alias("ts"), F.unix_millis("o.ts").alias("at"), F.col("s.hash").alias("was"), F.inline(_transitions()))
     retired = state.where("retired").select("hash", "relpath").groupBy("hash")
-    return events.groupBy("hash").transformWithStateInPandas(PairedRenames(delay_ms), CHANGE, "Append", "EventTime", initialState=retired)
+    return events.groupBy("hash").transformWithState(PairedRenames(delay_ms), CHANGE, "Append", "EventTime", initialState=retired)

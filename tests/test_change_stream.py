@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarrymill.operators import cdc
@@ -37,3 +38,25 @@ def test_equals_the_batch(spark, tmp_path, seed):
     want = rows(cdc.change_set(spark.createDataFrame(NOW, "relpath string, hash string"), state))
     assert rows(spark.read.parquet(f"{tmp_path}/out")) == want
     assert {r[0] for r in want} == {"unchanged", "modified", "renamed", "added", "removed"}
+
+
+def test_a_content_costs_few_messages():
+    """Each call on the state is a message to the JVM: one a path and few a content, and no frame is made for it."""
+    calls = []
+
+    class Told:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, method):
+            return lambda *a: calls.append((self.name, method)) or (iter([(("a",), ("fresh", None)), (("b",), ("gone", None))]) if method == "iterator" else None)
+
+    p = rn.PairedRenames(1000)
+    p.paths, p.closes, p.handle = Told("paths"), Told("closes"), Told("handle")
+    said = Row("relpath", "role", "was", "at")
+    rows = [said("a", "fresh", None, 5), said("b", "gone", "h", 9), said("a", "fresh", None, 7)]
+    assert list(p.handleInputRows(("h",), iter(rows), None)) == []
+    assert calls == [("paths", "updateValue")] * 2 + [("closes", "get"), ("handle", "registerTimer"), ("closes", "update")]
+    calls.clear()
+    assert [tuple(r) for r in p.handleExpiredTimer(("h",), None, None)] == [("renamed", "a", "b", "h", "h")]
+    assert calls == [("paths", "iterator"), ("paths", "clear"), ("closes", "clear")]
