@@ -390,8 +390,10 @@ def outline_quality(heads: DataFrame, expected: Column | None = None) -> DataFra
 
 def empty_sections(lines: DataFrame) -> DataFrame:
     """`## ` lines that only blanks separate from the next one, or from the end."""
-    rows = next_solid(lines, F.when(F.trim("text") != "", F.col("text")), "following")
-    return rows.where(F.col("text").startswith("## ") & (F.col("following").isNull() | F.col("following").startswith("## "))).select("docno", "line", "text")
+    # without blanks the next line decides, and only such lines' texts are sorted
+    rows = lines.where(F.trim("text") != "").select("docno", "line", F.when(F.col("text").startswith("## "), F.col("text")).alias("text"))
+    rows = rows.withColumn("ends", F.lead(F.col("text").isNotNull(), 1, True).over(in_order()))
+    return rows.where(F.col("text").isNotNull() & F.col("ends")).select("docno", "line", "text")
 
 
 def section_slice(lines: DataFrame, title: str) -> DataFrame:

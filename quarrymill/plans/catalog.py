@@ -61,8 +61,10 @@ ROUTED_SQL = "routed as (select rel, max_by(id, (length(prefix), id)) as module
 
 
 def md_lines(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy(*[c.strip() for c in MD_ORDER.split(",")])
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("docno"), F.row_number().over(w).alias("line"), F.expr(MD_TEXT).alias("text"))
+    # rows are dealt by docno itself, so that later windows need no other shuffle, and get their texts after it
+    w = Window.partitionBy("docno").orderBy(*[c.strip() for c in MD_ORDER.split(",")])
+    rows = table(spark, sf, "lineitem").withColumn("docno", F.col("l_suppkey")).withColumn("line", F.row_number().over(w))
+    return rows.select("docno", "line", F.expr(MD_TEXT).alias("text"))
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -120,6 +120,14 @@ def test_what_follows_is_read_once(spark):
         assert "unboundedfollowing" not in executed(found).lower()
 
 
+def test_empty_sections_shuffle_and_sort_little(spark):
+    """Lines were shuffled a second time, by another name of their document, and twice sorted with their texts."""
+    plan = executed(catalog.QUERIES["empty_sections"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning") == 1
+    lines = doc(spark, "## a", " ", None, "## b", "## c", "x", "##", "## ", None)
+    assert [tuple(r) for r in ln.empty_sections(lines).select("line", "text").orderBy("line").collect()] == [(1, "## a"), (4, "## b"), (8, "## ")]
+
+
 def test_findings_read_what_follows_once(spark, tmp_path):
     """lint_findings takes its empty sections from the same step."""
     sf = "/root/testdata/sf0.001"
