@@ -91,6 +91,10 @@ def unindexed(top: DataFrame, index: DataFrame) -> DataFrame:
     return top.join(index, ["docno", "term", "section"], "left_anti")
 
 
+#: Shares that the findings of one kind are dealt to.
+SHARES = 256
+
+
 def findings(parts: dict[str, DataFrame], most: dict[str, int], default: int = 10) -> DataFrame:
     """kind, nth, subject, detail, total: the findings of several checks (subject, detail) in one table.
 
@@ -101,10 +105,16 @@ def findings(parts: dict[str, DataFrame], most: dict[str, int], default: int = 1
         part = part.select(F.lit(kind).alias("kind"), F.col("subject").cast("string").alias("subject"), F.col("detail").cast("string").alias("detail"))
         rows = part if rows is None else rows.unionByName(part)
     limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("kind")), F.lit(default)) if most else F.lit(default)
-    order = Window.partitionBy("kind").orderBy("subject", "detail")
-    # a rank's limit, here the largest of all, is met by every task before the shuffle
-    kept = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max([default, *most.values()])).where(F.col("nth") <= limit)
-    return kept.join(rows.groupBy("kind").agg(F.count(F.lit(1)).alias("total")), "kind").select("kind", "nth", "subject", "detail", "total")
+    # the checks run once: shares of a kind give their first rows and, by their last row's place, their sizes
+    order = Window.partitionBy("kind", "share").orderBy("subject", "detail")
+    shares = rows.withColumn("share", F.pmod(F.xxhash64("subject", "detail"), F.lit(SHARES)))
+    placed = shares.withColumn("nth", F.row_number().over(order)).withColumn("ends", F.lead(F.lit(False), 1, True).over(order))
+    few = placed.where((F.col("nth") <= limit) | F.col("ends")).groupBy("kind").agg(
+        F.sum(F.when(F.col("ends"), F.col("nth"))).alias("total"),
+        F.sort_array(F.collect_list(F.when(F.col("nth") <= limit, F.struct("subject", "detail")))).alias("found"),
+    )
+    found = few.select("kind", "total", F.posexplode(F.slice("found", F.lit(1), limit)).alias("pos", "x"))
+    return found.select("kind", (F.col("pos") + 1).alias("nth"), "x.subject", "x.detail", "total")
 
 
 def with_spec(docs: DataFrame, specs: DataFrame, default: str) -> DataFrame:

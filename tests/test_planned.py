@@ -40,6 +40,20 @@ def test_findings_are_bounded_by_kind(spark):
     assert got.where("kind = 'a'").count() == 12 and {r.total for r in got.where("kind = 'a'").collect()} == {30} and got.where("kind = 'b'").count() == 3
 
 
+def test_findings_check_once(spark):
+    """Ranks and totals read every check's rows once; they were read once for each."""
+    a = spark.range(3000).select((F.col("id") % 1400).alias("subject"), (F.col("id") % 7).cast("string").alias("detail"))
+    b = spark.createDataFrame([(None, "x"), ("y", None), ("y", None), ("z", "w")], "subject string, detail string")
+    got = evd.findings({"a": a, "b": b}, {"a": 300}, default=3)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    key = lambda r: ((r[0] is not None, r[0] or ""), (r[1] is not None, r[1] or ""))
+    want = []
+    for kind, rows, most in (("a", a, 300), ("b", b, 3)):
+        found = sorted([(None if r.subject is None else str(r.subject), r.detail) for r in rows.collect()], key=key)
+        want += [(kind, n + 1, *r, len(found)) for n, r in enumerate(found[:most])]
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[:2]) == want
+
+
 def test_modules_by_churn_then_files(spark):
     modules = spark.createDataFrame([("a", "x/"), ("b", "x/y/"), ("c", "z/"), ("d", "none/")], "id string, prefix string")
     files = spark.createDataFrame([("x/1",), ("x/y/1",), ("X/Y/2",), ("z/1",)], "rel string")
