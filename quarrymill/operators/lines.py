@@ -219,30 +219,55 @@ def outline_strategy(docs: DataFrame, numbered: DataFrame, entries: DataFrame, h
 BEFORE_NUMBER, BLANK_OR_BAR = r"(?U)^[\s|\-*#>]*([0-9]+(?:\.[0-9]+)*)", r"(?U)[\s|]"
 
 
+#: Entries that are walked before their hits join the ones found before; appending to all of them one by one is quadratic.
+WALKED = 256
+
+
+def first_at(at: Column, k: Column) -> Column:
+    """The index in `at`, an array of structs in order of their k, of the first with this k or a larger one: a binary search."""
+    halves = F.sequence(F.lit(1), F.ceil(F.log2(F.size(at) + 1)).cast("int"))
+    middle = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+    before = lambda s: F.get(at, middle(s))["k"] < k
+    half = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(before(s), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
+    return F.aggregate(halves, F.struct(F.lit(0).alias("lo"), F.size(at).alias("hi")), half, lambda s: s["lo"])
+
+
 def locate_entries(lines: DataFrame, entries: DataFrame, window: int = 1200) -> DataFrame:
     """Where numbered entries of a table of contents stand in the body: found in order from the last hit within a window,
     else from the top. entries: docno, pos, num, title.
 
-    A line can only hold the entry whose number it begins with, so lines meet entries by document and number; what stays is a
-    walk over each document's entries with the lines that fit them.
+    A line can only hold the entry whose number it begins with, so lines meet entries by document and number, once for all
+    entries of one number and title; what stays is a walk over each document's entries that finds the next fitting line by halves.
     """
     flat = lambda c: F.regexp_replace(c, BLANK_OR_BAR, "")
     placed = lines.withColumn("k", F.row_number().over(in_order()) - 1)
     numbers = placed.select("docno", "k", "line", F.regexp_extract("text", BEFORE_NUMBER, 1).alias("num"), flat("text").alias("flat")).where("num <> ''")
-    order = Window.partitionBy("docno").orderBy("pos", "num", "title")
-    wanted = entries.where("num is not null").select("docno", "num", "title", F.row_number().over(order).alias("i"), flat("title").alias("want"))
-    met = wanted.join(numbers, ["docno", "num"]).where(F.col("flat").contains(F.col("want")))
-    fits = met.groupBy("docno", "i", "num", "title").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("at"))
-    told = fits.groupBy("docno").agg(F.sort_array(F.collect_list(F.struct("i", "num", "title", "at"))).alias("told"))
-    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<struct<line:int,num:string,title:string>>").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.filter(x["at"], lambda h: (h["k"] >= acc["k"]) & (h["k"] < acc["k"] + window))
-        hit = F.coalesce(F.get(near, F.lit(0)), F.get(x["at"], F.lit(0)))
-        row = lambda h: F.array(F.struct(h["line"].cast("int").alias("line"), x["num"].alias("num"), x["title"].alias("title")))
-        return F.aggregate(F.array(hit), acc, lambda a, h: F.struct(F.greatest(a["k"], h["k"]).alias("k"), F.concat(a["found"], row(h)).alias("found")))
-
-    return told.select("docno", F.inline(F.aggregate("told", start, step, lambda acc: acc["found"])))
+    wanted = entries.where("num is not null").select("docno", "pos", "num", "title")
+    names = wanted.select("docno", "num", "title").distinct().withColumn("want", flat("title"))
+    met = names.join(numbers, ["docno", "num"]).where(F.col("flat").contains(F.col("want")))
+    fits = met.groupBy("docno", "num", "title").agg(F.sort_array(F.collect_list(F.struct("k", F.col("line").cast("int").alias("line")))).alias("at"))
+    fits = fits.withColumn("q", F.row_number().over(Window.partitionBy("docno").orderBy("num", "title")) - 1)
+    told = fits.groupBy("docno").agg(F.sort_array(F.collect_list(F.struct("q", "num", "title", "at"))).alias("told"))
+    asked = wanted.join(fits.select("docno", "num", "title", "q"), ["docno", "num", "title"])
+    block = F.floor((F.row_number().over(Window.partitionBy("docno").orderBy("pos", "num", "title")) - 1) / WALKED)
+    asked = asked.select("docno", block.alias("b"), "pos", "q").groupBy("docno", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "q"))), lambda x: x["q"]).alias("asked"))
+    asked = asked.groupBy("docno").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "asked"))), lambda x: x["asked"]).alias("asked"))
+    none = F.array().cast("array<struct<line:int,q:int>>")
+
+    def step(acc: Column, q: Column) -> Column:
+        at = F.get("told", q)["at"]
+        near = F.get(at, first_at(at, acc["k"]))
+        hit = F.when(near["k"] < acc["k"] + window, near).otherwise(F.get(at, F.lit(0)))
+        return F.aggregate(F.array(hit), acc, lambda a, h: F.struct(F.greatest(a["k"], h["k"]).alias("k"), F.concat(a["found"], F.array(F.struct(h["line"].alias("line"), q.alias("q")))).alias("found")))
+
+    def walk(acc: Column, block: Column) -> Column:
+        walked = F.aggregate(block, F.struct(acc["k"].alias("k"), none.alias("found")), step)
+        return F.aggregate(F.array(walked), acc, lambda a, w: F.struct(w["k"].alias("k"), F.concat(a["found"], w["found"]).alias("found")))
+
+    found = F.aggregate("asked", F.struct(F.lit(0).alias("k"), none.alias("found")), walk, lambda acc: acc["found"])
+    hits = asked.join(told, "docno").select("docno", "told", F.explode(found).alias("hit"))
+    named = F.get("told", F.col("hit.q"))
+    return hits.select("docno", "hit.line", named["num"].alias("num"), named["title"].alias("title"))
 
 
 def outline(lines: DataFrame, specs: DataFrame, manual: DataFrame | None = None, least: int = 3, window: int = 1200) -> DataFrame:

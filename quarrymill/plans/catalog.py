@@ -314,8 +314,8 @@ LONG_SQL = f"np as (select p_partkey % 40 as docno, cast(row_number() over (part
 
 @query(f"with recursive {CAND_SQL.replace(NUM_SQL, LONG_SQL)}, {LOCATED_SQL} select wa.docno, ln.line, en.num, en.title from wa join en on en.docno = wa.docno and en.i = wa.i join ln on ln.docno = wa.docno and ln.k = wa.hit")
 def located_entries(spark, sf):
-    w = Window.partitionBy(F.expr("p_partkey % 40")).orderBy("p_partkey")
-    lines = table(spark, sf, "part").select(F.expr("p_partkey % 40").alias("docno"), F.row_number().over(w).alias("line"), F.expr(LONG_NUM.format("div")).alias("text"))
+    part = table(spark, sf, "part").select(F.expr("p_partkey % 40").alias("docno"), "p_partkey", F.expr(LONG_NUM.format("div")).alias("text"))
+    lines = part.select("docno", F.row_number().over(Window.partitionBy("docno").orderBy("p_partkey")).alias("line"), "text")
     entries = ln.numbered_headings(lines).select("docno", F.col("line").alias("pos"), "num", "title")
     return ln.locate_entries(lines, entries)
 

@@ -38,6 +38,33 @@ def test_entries_are_located_as_by_a_walk(spark):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_entries_of_one_name_share_their_lines(spark, monkeypatch):
+    """Each entry had a list of its own of all lines that fit its name, so the rows before the walk grew with their square."""
+    monkeypatch.setattr(ln, "WALKED", 4)
+    rng = random.Random(8)
+    text = [f"{rng.choice(['1', '1.1'])} {rng.choice(['Alpha', 'Beta', ''])}" for _ in range(90)]
+    asked = [(rng.choice(["1", "1.1", "2"]), rng.choice(["Alpha", "Beta"])) for _ in range(61)]
+    lines = spark.createDataFrame([(0, k + 1, t) for k, t in enumerate(text)], LINES)
+    for window in (1, 5, 1200):
+        got = ln.locate_entries(lines, spark.createDataFrame([(0, k, *x) for k, x in enumerate(asked)], "docno int, pos int, num string, title string"), window)
+        assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(located(text, asked, window))
+    met = max(int(line.rsplit(": ", 1)[1]) for line in joined_rows(got))
+    assert met < 4 * len(text)
+
+
+def joined_rows(frame):
+    """The numbers of rows that the joins of an executed plan made."""
+    out, left = [], [frame._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.nodeName()
+        left += [node.executedPlan()] if kind.startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in kind else []
+        left += [node.children().apply(k) for k in range(node.children().size())]
+        if "Join" in kind:
+            out.append(f"{kind}: {node.metrics().apply('numOutputRows').value()}")
+    return out
+
+
 SENTENCE_END = re.compile(r"[。；：！？、，）】》”\"’…；:;,.)\]}>\-—*]$")
 
 
