@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import numpy as np
@@ -48,16 +50,48 @@ def in_arrow(df: DataFrame, run: Callable, schema: Any) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Shuffle files go when the query that made them ends; otherwise they stay until the driver happens to collect its garbage.
+_CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PASSING: ContextVar[list[DataFrame] | None] = ContextVar("passing", default=None)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. Its shuffle files go."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_CONF)
+    spark.conf.set(_CLEAN_CONF, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_CONF, before)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch = path
+    if (tables := _PASSING.get()) is not None:
+        tables.append(made)
     return made
 
 
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `materialise` makes inside are deleted at the end, but for those given to the function that it yields."""
+    outer, tables = _PASSING.get(), []
+    token = _PASSING.set(tables)
+
+    def stays(made: DataFrame) -> DataFrame:
+        tables.remove(made)
+        if outer is not None:
+            outer.append(made)
+        return made
+
+    try:
+        yield stays
+    finally:
+        _PASSING.reset(token)
+        for made in tables:
+            discard(made)
+
+
 def discard(made: DataFrame) -> None:
     """Delete a table of `materialise` that no later plan reads."""
     spark = made.sparkSession

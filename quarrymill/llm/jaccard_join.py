@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, carried, in_arrow, kept, materialise, null_free, slices, spread_join, utf8_rows
+from .common import as_batch, carried, discard, in_arrow, kept, materialise, null_free, passing, slices, spread_join, utf8_rows
 from .components import components
 from .substring_dedup import BLOCK_BITS, _planes, _unplaned, sketch_bits
 from .words import WordHashes, list_windows, window_hashes
@@ -151,8 +151,9 @@ def class_rows(docs: DataFrame, size: int, threshold: Fraction, max_sketch_bytes
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(total, 2, max_sketch_bytes // 2)  # two bits a cell
-    merged = _merge_levels(_document_sketches(docs, size, bits)).collect()  # at most max_sketch_bytes
-    sent = spark.sparkContext.broadcast({r.block: bytes(r.levels) for r in merged})
+    merged = materialise(_merge_levels(_document_sketches(docs, size, bits)), "jaccard-sketch")
+    sent = spark.sparkContext.broadcast({r.block: bytes(r.levels) for r in merged.collect()})  # at most max_sketch_bytes
+    discard(merged)
     name = f"levels {uuid.uuid4().hex}"
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("regions", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
 
@@ -446,10 +447,15 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: str | Fraction
     made = class_rows(docs, size, t, **sketch)
     real = made.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("regions").alias("regions"), F.first("signature").alias("signature")), "jaccard-classes")
-    clusters = components(near_classes(classes, t), "jaccard-clusters")
-    weights = classes.groupBy("cid").agg(F.sum("weight").alias("weight"))
-    members = clusters.join(weights, F.col("node") == F.col("cid")).select("cid", F.col("root").cast("string").alias("region"), "weight")
-    members = materialise(members, "jaccard-member-ids")
+    whole, made = made, materialise(made.drop("regions", "signature"), "jaccard-sets")
+    discard(whole)
+    with passing() as stays:
+        clusters = components(near_classes(classes, t), "jaccard-clusters")
+        weights = classes.groupBy("cid").agg(F.sum("weight").alias("weight"))
+        members = clusters.join(weights, F.col("node") == F.col("cid")).select("cid", F.col("root").cast("string").alias("region"), "weight")
+        members = stays(materialise(members, "jaccard-member-ids"))
+    whole, classes = classes, materialise(classes.drop("regions", "signature"), "jaccard-weights")
+    discard(whole)
     if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
         members = F.broadcast(members)
     rows = docs.where("text is not null").join(members, docs["doc_id"] == members["cid"]).select("region", F.lit(0).alias("side"), F.lit(True).alias("home"), "cid", "weight", "text")
@@ -471,14 +477,16 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: str | Fraction
         if big.isEmpty():
             break
         parents = big.select(F.col("region").alias("parent"), F.col("n").alias("parent_n"))
-        rows = materialise(_deal_by_pivots(rows.join(big.select("region", "n"), "region"), size, t), "jaccard-regions")
+        before, rows = rows, materialise(_deal_by_pivots(rows.join(big.select("region", "n"), "region"), size, t), "jaccard-regions")
+        discard(before)
+    discard(rows)
 
     roots = components(joined.select(F.col("cid").alias("u"), F.col("root").alias("v")), "jaccard-links")
     links = joined.groupBy("cid").agg(F.sum("links").alias("links"))
     final = classes.select("k1", "k2", "cid", "weight").join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")
     final = final.select("k1", "k2", F.coalesce("root", "cid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     hit = F.col("doc_id").isNotNull()
-    return made.drop("regions", "signature").join(final, ["k1", "k2"], "left").select(
+    return made.join(final, ["k1", "k2"], "left").select(
         "doc_id", "n_shingles", F.when(hit, F.coalesce("component", "doc_id")).alias("component_id"), F.when(hit, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")
     )
 
@@ -492,7 +500,9 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: str | Fraction = "0.8")
 
 
 def _keep_one(docs: DataFrame, size: int, threshold: str | Fraction) -> DataFrame:
-    found = jaccard_components(docs, size, threshold).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    with passing() as stays:
+        found = jaccard_components(docs, size, threshold).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
+        found = stays(materialise(found, "jaccard-copies"))
     left = docs.join(found, F.col("doc_id") == F.col("__doc"), "left_anti")
     text = F.xxhash64(null_free("text"))
     again = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text, "text")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_batch, carried, in_arrow, kept, materialise, null_free, slices, utf8_rows
+from .common import as_batch, carried, discard, in_arrow, kept, materialise, null_free, slices, utf8_rows
 from .words import WordHashes, batch_windows, window_hashes
 
 BLOCK_BITS = 20
@@ -150,18 +150,30 @@ def repeated_starts(docs: DataFrame, size: int = 13, cells_per_window: int = 8,
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, turns = sketch_turns(total, cells_per_window, max_sketch_bytes)
     merged = merge_sketches(partition_sketches(docs, size, bits), max(64, (1 << bits - BLOCK_BITS) // 32))
-    if turns > 1:
-        merged = materialise(merged, "repeated-sketch")
+    merged = materialise(merged, "repeated-sketch")
     docs = docs.withColumn("text_key", _text_key("text"))
-    rows = None
+    found = None
     for turn in range(turns):
-        part = _turn_rows(docs, merged, size, bits, turns, turn)
-        rows = part if rows is None else rows.unionByName(part)
+        part = _turn_starts(docs, merged, size, bits, turns, turn)
+        found = part if found is None else found.unionByName(part)
+    discard(merged)
+    if turns == 1:
+        return found
+    return found.groupBy("doc_id", "text_key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "settled")])
+
+
+def _turn_starts(docs: DataFrame, merged: DataFrame, size: int, bits: int, turns: int, turn: int) -> DataFrame:
+    """Starts of the windows whose cells lie in one turn's part of the sketch. All copies of a window lie in one turn, so
+    it is grouped there; the turn's rows and its map are gone before the next."""
+    rows = _turn_rows(docs, merged, size, bits, turns, turn)
     same = Window.partitionBy("h", "g")
     found = rows.withColumn("least", F.min("doc_id").over(same)).where("settled is not null or least < doc_id")
     start = F.when(F.col("settled").isNull(), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     several = F.coalesce("settled", "more")
-    return found.groupBy("doc_id", F.shiftright("at", 32).alias("text_key")).agg(F.collect_list(start).alias("starts"), F.collect_list(several).alias("settled"))
+    found = found.groupBy("doc_id", F.shiftright("at", 32).alias("text_key")).agg(F.collect_list(start).alias("starts"), F.collect_list(several).alias("settled"))
+    found = materialise(found, "repeated-starts")
+    rows.sketch.destroy()  # the starts are kept, so no task needs the map again
+    return found
 
 
 def _turn_rows(docs: DataFrame, merged: DataFrame, size: int, bits: int, turns: int, turn: int) -> DataFrame:
@@ -221,7 +233,9 @@ def _turn_rows(docs: DataFrame, merged: DataFrame, size: int, bits: int, turns:
         if held:
             yield from flush()
 
-    return docs.transform(in_arrow, run, "h long, g int, doc_id long, at long, more binary, settled binary")
+    rows = docs.transform(in_arrow, run, "h long, g int, doc_id long, at long, more binary, settled binary")
+    rows.sketch = sketch
+    return rows
 
 
 def _open_rows(schema: pa.Schema, h: np.ndarray, g: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:

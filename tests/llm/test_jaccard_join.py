@@ -1,3 +1,4 @@
+import os
 import random
 from fractions import Fraction
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 
 from quarrymill.llm import jaccard_join as jj
+from quarrymill.llm.common import shared_root
 
 from .util import ODD, docs
 
@@ -111,6 +113,18 @@ def test_keep_one(spark):
     assert jj.keep_one(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def test_keep_one_leaves_no_table_but_the_copies(spark, monkeypatch):
+    """Its tables and shuffle files stayed on disk while all texts were shuffled, and in the pipeline's later stages."""
+    monkeypatch.setattr(jj, "TASK_MEMBERS", 12)
+    rows = near(9, groups=2, copies=70)
+    folder = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    kept = jj.keep_one(docs(spark, rows), 3, "0.9")
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("jaccard-copies")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c, _ in brute(rows, 3, "0.9") if i == c)
+
+
 def test_signatures_never_exceed_the_distance():
     rng = np.random.default_rng(2)
     for n in (5, 300, 1500, 5000):

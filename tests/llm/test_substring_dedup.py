@@ -1,13 +1,14 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import substring_dedup as sd
+from quarrymill.llm import common, substring_dedup as sd
 
-from .util import ODD, docs
+from .util import ODD, docs, shuffle_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,3 +81,32 @@ def test_a_sketch_larger_than_a_map_is_held_in_turns(spark):
     whole = sd._turn_rows(key, merged, 13, 22, 1, 0).select("h", "g", "doc_id").collect()
     parts = [r for t in range(4) for r in sd._turn_rows(key, merged, 13, 22, 4, t).select("h", "g", "doc_id").collect()]
     assert sorted(r for r in map(tuple, parts) if r[1]) == sorted(r for r in map(tuple, whole) if r[1]) and len(parts) > 60
+
+
+def test_a_turn_leaves_its_starts_alone(spark, monkeypatch):
+    """Every turn's rows, maps and the sketch's shuffle files stayed on disk together until the texts were cut."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(1 << 30):x}" for _ in range(2500)) for _ in range(110)]
+    rows = [(k, t + " " + texts[k // 2][:300]) for k, t in enumerate(texts)]
+    assert sd.sketch_turns(sum(len(t) for _, t in rows), 8, 1 << 17)[1] > 1
+    made, left = [], []
+
+    def materialise(df, name):
+        made.append(df)
+        out = common.materialise(df, name)
+        for _ in range(50):  # they go beside the next work
+            if (now := shuffle_bytes(spark)) < before + 100_000:
+                break
+            time.sleep(0.1)
+        left.append(now)
+        return out
+
+    spark.sparkContext._jvm.System.gc()
+    before = shuffle_bytes(spark)
+    monkeypatch.setattr(sd, "materialise", materialise)
+    found = sd.repeated_starts(docs(spark, rows), 13, max_sketch_bytes=1 << 17)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # read from what the turns left
+    assert len(made) == 3 and max(left) < before + 100_000
+    monkeypatch.undo()
+    got = sd.kept_digests(docs(spark, rows), max_sketch_bytes=1 << 17).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows, 13)

@@ -15,6 +15,16 @@ def docs(spark, rows, extra=False):
     return df
 
 
+def shuffle_bytes(spark):
+    """Shuffled rows on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while files.hasNext():
+        file = files.next()
+        total += file.length() if file.getName().startswith("shuffle_") else 0
+    return total
+
+
 ODD = [
     (1, None),
     (2, ""),
